@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import BLANKS, ascii_lower, lookup_join
+from helixspark.llm.common import BLANKS, ascii_lower, checkpointed, lookup_join
 
 
 def words_of(text: Column) -> Column:
@@ -89,7 +89,7 @@ def frequent_lines(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
 
 def quality_rules(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed, removed_words (in lines over the limit) and kept, one row for each row of docs."""
-    base = base_counts(docs, id_col, text_col, host_col)
+    base = checkpointed(base_counts(docs, id_col, text_col, host_col))  # small rows; no filter on them can repeat the counting
     keyed = line_keys(docs, id_col, text_col, host_col)
     over = frequent_lines(keyed, min_docs, share)
     lines = keyed.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line")).select("doc_id", "text_hash", "at", "line.key", "line.words")
