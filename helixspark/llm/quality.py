@@ -38,9 +38,14 @@ def repeat_words(words: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(at, lambda w: F.array(w["i"], w["i"] + 1, w["i"] + 2)))))
 
     def of(ws: Column) -> Column:
-        triples = F.transform(ws, lambda w, i: F.struct(F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
-        windows = F.slice(triples, 1, F.greatest(F.size(ws) - 2, F.lit(0)))
-        return F.get(F.transform(F.array(F.sort_array(windows)), covered), F.lit(0)).cast("long")
+        hashes = F.slice(F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))), 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+
+        def counted(hs: Column) -> Column:
+            windows = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+            any_again = F.size(F.array_distinct(hs)) < F.size(hs)
+            return F.when(any_again, F.get(F.transform(F.array(windows), covered), F.lit(0))).otherwise(0).cast("long")
+
+        return F.get(F.transform(F.array(hashes), counted), F.lit(0))
 
     # arrays of one element bind their value to a lambda variable: evaluated once, even if the optimiser inlines this column
     return F.get(F.transform(F.array(words), of), F.lit(0))
