@@ -115,7 +115,7 @@ def curriculum(docs: DataFrame, weights: list[float], cap_multiple: int = 3, sch
 
 def range_sorted(rows: DataFrame, position: str) -> DataFrame:
     """Range partitions by position, each sorted: the order of training."""
-    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), F.col(position).asc_nulls_last()).sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
+    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), F.col(position).asc_nulls_last(), "doc_id").sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
 
 
 def training_order(docs: DataFrame, weights: list[float], cap_multiple: int = 3, schedules: list | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ has the key (A_i, B_j), four minhashes deep, so 4 * side minhashes do the work o
 has are dropped before tables are formed (a table key cannot be shared if one of its halves isn't).
 
 Links: every bucket first proposes its members' links to two of its members (the smallest id and the smallest hash), which are
-confirmed on the full sets, and components are formed. Buckets that still hold several components then propose every pair across
-them, taken from the members outside the bucket's largest component, so no link is lost while a bucket of one component costs
-nothing more. Confirmed links of both rounds give the components.
+confirmed on the full sets, and components are formed. The members of buckets that still hold several components are compared
+further, in groups of equal A keys (a superset of the buckets): a task counts, by postings of shingles, the intersections of the
+members outside the group's largest component with all others, and sends one link for each two components that it joins. Nothing
+is emitted for pairs that don't link, and shingles that no other member has settle most members at once. A group of more than
+`block` members is dealt out as pairs of blocks. Confirmed links of both rounds give the components.
 
 Recall: two texts at similarity s meet in no table with a probability of about 2 (1 - s^2)^side (5e-4 at 0.75, 3e-8 at 0.91, for
 side = 10); what meets is decided exactly.
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import checkpointed
+from helixspark.llm.common import checkpointed, lookup_join
 from helixspark.llm.components import connected_components
 from helixspark.llm.shingles import linked, mixed, shingle_set
 
@@ -68,9 +70,16 @@ def signatures(docs: DataFrame, side: int, width: int, id_col: str, text_col: st
     return rows.mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the documents in ids; few ids are broadcast (by their checked count), so that only their texts move on."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return lookup_join(texts, ids.select(F.col(ids.columns[0]).alias("id")).distinct(), ["id"], "left_semi", F.col("id"), broadcast_rows=1_000_000, salts=1)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; a pair carries the two texts, compressed by the shuffle."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = texts_of(docs, ids, id_col, text_col)
     first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
@@ -89,7 +98,75 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     return pairs.join(first, "a").join(second, "b").mapInPandas(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joining_links(ids: np.ndarray, components: np.ndarray, first: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """One link for each two components that are joined by some pair of a member in `first` and one not in it (or any two, if all
+    are in it)."""
+    sizes = np.array([len(s) for s in sets])
+    codes, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    owner = np.repeat(np.arange(len(sets)), sizes)[shared]
+    code = inverse[shared]
+    usable = 100 * np.bincount(owner, minlength=len(sets)) >= percent * sizes  # a link can only lie in shared shingles
+    keep = usable[owner]
+    owner, code = owner[keep], code[keep]
+    within = bool(first.all())
+    left = usable & first
+    if within:
+        names, n = np.unique(components, return_counts=True)
+        left &= components != names[np.argmax(n)]
+    right = usable & (within | ~first)
+    by_code = np.argsort(code[right[owner]], kind="stable")
+    posting_owner, posting_code = owner[right[owner]][by_code], code[right[owner]][by_code]
+    ends = np.searchsorted(posting_code, np.arange(len(codes) + 1))
+    order = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[order], np.arange(len(sets) + 1))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for x in np.flatnonzero(left):
+        mine = code[order[starts[x] : starts[x + 1]]]
+        met = [posting_owner[ends[c] : ends[c + 1]] for c in mine]
+        both = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(len(sets), int)
+        hits = np.flatnonzero(right & (components != components[x]) & (100 * both >= percent * (sizes[x] + sizes - both)))
+        for y in hits:
+            u, v = find(int(components[x])), find(int(components[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return out
+
+
+def links_across(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between components inside the groups of members (group, doc_id, component)."""
+    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.join(groups, "group").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("home", "other").alias("p"), F.greatest("home", "other").alias("q"), "home", "doc_id", "component").distinct()
+    dealt = checkpointed(dealt)
+    texts = texts_of(docs, dealt.select("doc_id"), id_col, text_col).withColumnRenamed("id", "doc_id").dropDuplicates(["doc_id"])
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [shingle_set(t, width).tobytes() for t in b["text"]]})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = joining_links(
+            group["doc_id"].to_numpy(), group["component"].to_numpy(), (group["home"] == group["p"].iloc[0]).to_numpy(),
+            [np.frombuffer(s, np.uint64) for s in group["shingles"]], percent,
+        )
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    rows = dealt.join(texts.mapInPandas(sets, "doc_id long, shingles binary"), "doc_id")
+    return rows.groupBy("group", "p", "q").applyInPandas(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side: int = 10, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     signed = checkpointed(signatures(docs, side, width, id_col, text_col))
     of_set = ["set_a", "set_b", "n_shingles"]
@@ -99,6 +176,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side:
     halves = reps.select("doc_id", F.posexplode("halves").alias("slot", "half"))
     common = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     shared = halves.join(common, "half").groupBy("doc_id").agg(F.collect_set(F.struct("slot", "half")).alias("halves"))
+    shared = checkpointed(shared)
     a_side, b_side = F.filter("halves", lambda h: h["slot"] < side), F.filter("halves", lambda h: h["slot"] >= side)
     tables = F.flatten(F.transform(a_side, lambda x: F.transform(b_side, lambda y: F.xxhash64(x["half"], y["half"]))))
     keys = checkpointed(shared.select("doc_id", F.explode(tables).alias("key")))
@@ -112,12 +190,11 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side:
 
     labelled = met.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("largest")).where("parts > 1").select("key", "largest")
-    open_rows = checkpointed(labelled.join(several, "key"))
-    x, y = open_rows.where("component <> largest").alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    left = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = checkpointed(confirmed(checkpointed(left), docs, width, percent, id_col, text_col))
+    several = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+    open_ids = labelled.join(several, "key").select("doc_id", "component").distinct()
+    members = shared.join(open_ids, "doc_id").select(F.explode(F.filter("halves", lambda h: h["slot"] < side)).alias("h"), "doc_id", "component")
+    members = checkpointed(members.select(F.col("h.half").alias("group"), "doc_id", "component"))
+    late = checkpointed(links_across(members, docs, width, percent, block, id_col, text_col))
     if not late.isEmpty():
         found = connected_components(links.union(late))
 
