@@ -25,42 +25,42 @@ from helixspark.llm.common import ascii_lower
 #: The base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: Label stem, pattern of the name, versions, keyword that any match contains, identifier words.
+#: Label stem, pattern of the name, versions, keywords of which any match contains one, identifier words.
 FAMILIES = [
-    ("agpl", r"gnu affero general public|affero general public|gnu affero gpl|agpl", ["1", "3"], "a", "agpl"),
-    ("lgpl", r"gnu (?:lesser|library) general public|(?:lesser|library) general public|gnu lgpl|lgpl", ["2", "2 1", "3"], "l", "lgpl"),
-    ("gpl", r"gnu general public|general public|gnu gpl|gpl", ["1", "2", "3"], "p", "gpl"),
+    ("agpl", r"gnu affero general public|affero general public|gnu affero gpl|agpl", ["1", "3"], "affero|agpl", "agpl"),
+    ("lgpl", r"gnu (?:lesser|library) general public|(?:lesser|library) general public|gnu lgpl|lgpl", ["2", "2 1", "3"], "lesser general|library general|lgpl", "lgpl"),
+    ("gpl", r"gnu general public|general public|gnu gpl|gpl", ["1", "2", "3"], "general public|gpl", "gpl"),
     ("gfdl", r"gnu free documentation|free documentation|gfdl", ["1 1", "1 2", "1 3"], "free documentation", "gfdl"),
     ("apache", r"apache(?: software)?", ["1 0", "1 1", "2", "2 0"], "apache", "apache"),
-    ("mpl", r"mozilla public|mpl", ["1 0", "1 1", "2", "2 0"], "m", "mpl"),
-    ("epl", r"eclipse public|epl", ["1 0", "2 0"], "e", "epl"),
+    ("mpl", r"mozilla public|mpl", ["1 0", "1 1", "2", "2 0"], "mozilla|mpl", "mpl"),
+    ("epl", r"eclipse public|epl", ["1 0", "2 0"], "eclipse|epl", "epl"),
     ("edl", r"eclipse distribution", ["1 0"], "eclipse distribution", "edl"),
-    ("cddl", r"common development and distribution|cddl", ["1 0", "1 1"], "d", "cddl"),
+    ("cddl", r"common development and distribution|cddl", ["1 0", "1 1"], "common development|cddl", "cddl"),
     ("cpl", r"common public", ["1 0"], "common public", "cpl"),
     ("ipl", r"ibm public", ["1 0"], "ibm public", "ipl"),
-    ("eupl", r"european union public|eupl", ["1 0", "1 1", "1 2"], "u", "eupl"),
+    ("eupl", r"european union public|eupl", ["1 0", "1 1", "1 2"], "european union public|eupl", "eupl"),
     ("osl", r"open software", ["1 0", "2 1", "3 0"], "open software", "osl"),
     ("afl", r"academic free", ["1 2", "2 1", "3 0"], "academic free", "afl"),
     ("artistic", r"perl artistic|artistic", ["1 0", "2 0"], "artistic", "artistic"),
     ("bsl", r"boost software", ["1 0"], "boost software", "bsl"),
     ("busl", r"business source", ["1 1"], "business source", "busl"),
-    ("sspl", r"server side public|sspl", ["1"], "s", "sspl"),
+    ("sspl", r"server side public|sspl", ["1"], "server side public|sspl", "sspl"),
     ("elastic", r"elastic", ["1 0", "2 0"], "elastic", "elastic"),
     ("ofl", r"sil open font|open font", ["1 0", "1 1"], "open font", "ofl"),
-    ("odbl", r"open database|odbl", ["1 0"], "d", "odbl"),
+    ("odbl", r"open database|odbl", ["1 0"], "open database|odbl", "odbl"),
     ("odc-by", r"open data commons attribution", ["1 0"], "open data commons", "odc by"),
     ("pddl", r"public domain dedication and", ["1 0"], "public domain dedication", "pddl"),
     ("zlib", r"zlib libpng|zlib", [], "zlib", "zlib"),
-    ("mit", r"mit x11|expat|mit", [], "m", "mit"),
-    ("isc", r"isc|internet systems consortium", [], "i", "isc"),
+    ("mit", r"mit x11|expat|mit", [], "mit licen|x11 licen|expat licen", "mit"),
+    ("isc", r"isc|internet systems consortium", [], "isc licen|internet systems", "isc"),
     ("x11", r"x11", [], "x11", "x11"),
     ("bsd-2-clause", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause", [], "bsd", "bsd 2 clause"),
     ("bsd-3-clause", r"(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause", [], "bsd", "bsd 3 clause"),
     ("bsd-4-clause", r"(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause", [], "bsd", "bsd 4 clause"),
     ("bsd", r"bsd", [], "bsd", "bsd"),
     ("unlicense", r"unlicense|the unlicense", [], "unlicense", "unlicense"),
-    ("wtfpl", r"do what the fuck you want to public|wtfpl", ["2"], "w", "wtfpl"),
-    ("psf", r"python software foundation|psf", ["2"], "p", "psf"),
+    ("wtfpl", r"do what the fuck you want to public|wtfpl", ["2"], "do what the|wtfpl", "wtfpl"),
+    ("psf", r"python software foundation|psf", ["2"], "python software|psf", "psf"),
     ("php", r"php", ["3 0", "3 01"], "php", "php"),
     ("ruby", r"ruby", [], "ruby", "ruby"),
     ("openssl", r"openssl", [], "openssl", "openssl"),
@@ -93,7 +93,7 @@ NOTICES = [
     ("all-rights-reserved", 4, r"all rights reserved", "all rights reserved"),
     ("proprietary", 3, r"(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
     ("public-domain", 3, r"(?:released|placed|dedicated|is|are|work) (?:in|into|to) the public domain", "public domain"),
-    ("cc0", 2, r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc"),
+    ("cc0", 2, r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons zero"),
     ("mit", 2, r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
     ("isc", 2, r"permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy"),
     ("bsd", 2, r"redistribution and use in source and binary forms with or without modification", "redistribution and use"),
@@ -102,7 +102,7 @@ NOTICES = [
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut\w*|use) (?:\w+ ){0,2}?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 SCORES = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.5}
 #: One of these occurs in every text that any rule can match.
-GATE = ["licen", "gpl", "apache", "mozilla", "eclipse", "creative", "cc", "spdx", "bsd", "public domain", "all rights", "proprietary", "permission", "redistribution", "altered source", "mpl", "epl", "cddl", "eupl", "sspl", "odbl", "wtfpl", "psf", "cecill"]
+GATE = ["licen", "gpl", "apache", "mozilla", "eclipse", "creative", "spdx", "bsd", "public domain", "all rights", "proprietary", "permission", "redistribution", "altered source", "mpl", "epl", "cddl", "eupl", "sspl", "odbl", "wtfpl", "psf", "cecill"]
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
@@ -126,8 +126,8 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     for label, short, full in COMMONS:
         for v in COMMONS_VERSIONS:
             at = f"{label}-{v.replace(' ', '.')}"
-            out += [(1, at, "spdx", rf"spdx licen[cs]e identifier {short} {v}"), (3, at, "cc", rf"{short} {v}"), (3, at, "creative commons", rf"creative commons {full} {v}")]
-        out += [(3, label, "cc", short), (3, label, "creative commons", rf"creative commons {full}(?:{licence})?")]
+            out += [(1, at, "spdx", rf"spdx licen[cs]e identifier {short} {v}"), (3, at, "cc by", rf"{short} {v}"), (3, at, "creative commons", rf"creative commons {full} {v}")]
+        out += [(3, label, "cc by", short), (3, label, "creative commons", rf"creative commons {full}(?:{licence})?")]
     out += [(priority, label, key, pattern) for label, priority, pattern, key in NOTICES]
     return [(i, priority, label, key, rf"(?<![^ ])(?:{pattern})(?![^ ])") for i, (priority, label, key, pattern) in enumerate(out)]
 
@@ -177,9 +177,10 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gate = F.lit(False)
     for key in GATE:
         gate = gate | F.contains("lower", F.lit(key.split(" ")[0]))
+    gate = gate | (F.contains("lower", F.lit("cc")) & F.rlike("lower", F.lit(r"(?<![0-9a-z])cc(?:0|[^0-9a-z])")))  # cc within words is common
     gated = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lower.alias("lower")).where(gate)
     gated = gated.select("doc_id", "text_hash", joined_words(F.col("lower")).alias("norm"))
-    ruled = gated.select("*", F.explode(F.filter(table, lambda r: F.contains("norm", r["key"]))).alias("rule"))
+    ruled = gated.select("*", F.explode(F.filter(table, lambda r: F.exists(F.split(r["key"], r"\|"), lambda k: F.contains("norm", k)))).alias("rule"))
     ruled = ruled.where(F.regexp_like("norm", F.col("rule.pattern"))).select("doc_id", "text_hash", "rule", _marked(F.col("norm"), F.col("rule.pattern")).alias("words"))
     first = _where(F.col("words"), lambda w: F.startswith(w, F.lit("\x01")))
     last = _where(F.col("words"), lambda w: F.endswith(w, F.lit("\x02")))
