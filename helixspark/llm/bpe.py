@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces that a worker remembers at most; the memo is emptied beyond.
-MEMO = 400_000
+MEMO = 300_000
+#: Characters after which a task hands on what it has encoded, so that it never holds the ids of a whole Arrow batch.
+HAND_ON = 1 << 20
 NO_MERGE = (1 << 60, -1)
 
 
@@ -141,8 +143,18 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for b in batches:
-            ids = [c.encode(t) if t else [] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [c.decode(x) for x in ids] if check_decode else None})
+            doc_ids, texts, start = b["doc_id"], b["text"], 0
+            ids: list[np.ndarray] = []
+            decoded: list[str | None] = []
+            held = 0
+            for k, t in enumerate(texts, 1):
+                found = c.encode(t) if t else []
+                decoded.append(c.decode(found) if check_decode else None)
+                ids.append(np.array(found, np.int32))
+                held += len(t) if t else 0
+                if held >= HAND_ON or k == len(texts):
+                    yield pd.DataFrame({"doc_id": doc_ids.iloc[start:k].array, "ids": ids, "decoded": decoded})
+                    ids, decoded, held, start = [], [], 0, k
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")

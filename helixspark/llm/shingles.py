@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 500_000
+_MEMO = 300_000
 
 
 class _Words(dict):
