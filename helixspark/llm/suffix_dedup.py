@@ -282,6 +282,21 @@ def merged_intervals(d: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
     return d[new], start[new], (reach - shift)[np.r_[new[1:], len(d)] - 1]
 
 
+def sampled_leads(docs: DataFrame, span: int, k: int, documents: int = 500, each: int = 256) -> np.ndarray:
+    """Sorted leading k-grams of about documents * each anchors: documents drawn from all rows, anchors spread over their whole texts."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, texts in _chunks(batches, 2 << 20):
+            c = Chunk(texts, span, k)
+            if len(c.at):
+                at = c.at[np.unique(np.linspace(0, len(c.at) - 1, min(len(c.at), each * len(texts))).astype(int))]
+                yield pd.DataFrame({"lead": [g.tobytes() for g in sliding_window_view(c.x, k)[at]]})
+
+    some = docs.sample(min(1.0, documents / max(1, docs.count())), seed=4)
+    found = [bytes(r["lead"]) for r in some.mapInPandas(pick, "lead binary").collect()]
+    return np.sort(np.array(found, f"S{k}"))
+
+
 #: Buckets of the candidate search; a power of two up to 65536. A bucket gets as many rows as there are chunks.
 BUCKETS = 1024
 
@@ -314,8 +329,7 @@ def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int)
         shared = keyed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("shared"))
         rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "shared")
 
-    sample = Chunk([(r["text"] or "").encode() for r in docs.select(F.substring("text", 1, 20_000).alias("text")).limit(500).collect()], span, k)
-    leads = np.sort(np.ascontiguousarray(sliding_window_view(sample.x, k)[sample.at]).view(f"S{k}").ravel()) if len(sample.at) else np.zeros(0, f"S{k}")
+    leads = sampled_leads(docs, span, k)
     partitions = shuffle_partitions(spark)
     splitters = leads[np.linspace(0, len(leads) - 1, 8 * partitions).astype(int)] if len(leads) else leads
 
