@@ -66,19 +66,19 @@ def quantity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (top_pathogenic_genes, normalized_variants, variant_features, gene_left_join, source_report, gene_pathogenic_counts, interval_overlap, score_metrics, gene_score_metrics, calibration_table, release_directions, quantity_drift)
 
-_NORM = f"""v AS ({S.plain(S.VARIANTS)}),
+NORM = f"""v AS ({S.plain(S.VARIANTS)}),
 n1 AS (SELECT *, upper(regexp_replace(trim(chrom), '^[cC][hH][rR]', '')) AS c1, upper(trim(ref)) AS r1, upper(trim(alt)) AS a1 FROM v),
 n AS (SELECT CASE WHEN c1 = 'M' THEN 'MT' ELSE c1 END AS chrom, pos, r1 AS ref, a1 AS alt, gene_symbol, consequence, clinical_sig, review_status, allele_freq, protein_change, source_db, last_evaluated,
   concat_ws(':', CASE WHEN c1 = 'M' THEN 'MT' ELSE c1 END, CAST(pos AS VARCHAR), r1, a1) AS locus
   FROM n1 WHERE r1 NOT IN ('NA', 'NAN', '.', '') AND a1 NOT IN ('NA', 'NAN', '.', '')),
 l AS (SELECT *, CASE WHEN clinical_sig IN ('Pathogenic', 'Likely pathogenic') THEN 1 WHEN clinical_sig IN ('Benign', 'Likely benign') THEN 0 END AS label,
   CASE WHEN review_status LIKE '%expert panel%' THEN 2 WHEN review_status LIKE '%single submitter%' THEN 4 ELSE 5 END AS tier FROM n)"""
-_SCORED = f"s AS ({S.plain(S.SCORED)})"
+SCORED_CTE = f"s AS ({S.plain(S.SCORED)})"
 
 
 def _metrics_sql(by: str) -> str:
     key, part, group = (f"{by}, ", f"PARTITION BY {by} ", f" GROUP BY {by}") if by else ("", "", "")
-    return f"""WITH {_SCORED}, h AS (SELECT {key}score, sum(label) AS p, sum(1 - label) AS n, sum(pow(score - label, 2)) AS b FROM s GROUP BY {key}score),
+    return f"""WITH {SCORED_CTE}, h AS (SELECT {key}score, sum(label) AS p, sum(1 - label) AS n, sum(pow(score - label, 2)) AS b FROM s GROUP BY {key}score),
 r AS (SELECT *, coalesce(sum(n) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h)
 SELECT {key}CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CAST(sum(CASE WHEN score >= 0.5 THEN p ELSE 0 END) AS BIGINT) AS tp,
   CAST(sum(CASE WHEN score >= 0.5 THEN n ELSE 0 END) AS BIGINT) AS fp,
@@ -86,12 +86,12 @@ SELECT {key}CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CA
 
 
 _ORACLES = {
-    "top_pathogenic_genes": f"""WITH {_NORM}, d AS (SELECT * FROM l WHERE label IS NOT NULL AND tier <= 3 QUALIFY row_number() OVER (PARTITION BY locus ORDER BY
+    "top_pathogenic_genes": f"""WITH {NORM}, d AS (SELECT * FROM l WHERE label IS NOT NULL AND tier <= 3 QUALIFY row_number() OVER (PARTITION BY locus ORDER BY
   CASE source_db WHEN 'clinvar' THEN 0 WHEN 'uniprot' THEN 1 WHEN 'lovd' THEN 2 WHEN 'gnomad' THEN 3 ELSE 4 END, last_evaluated DESC NULLS LAST,
   chrom, pos, ref, alt, gene_symbol, consequence, clinical_sig, review_status, allele_freq NULLS FIRST, protein_change, source_db) = 1)
 SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
-    "normalized_variants": f"WITH {_NORM} SELECT chrom, pos, ref, alt, locus, gene_symbol FROM n",
-    "variant_features": f"""WITH {_NORM} SELECT locus, gene_symbol, CAST(allele_freq IS NULL AS INT) AS af_absent, CAST(coalesce(allele_freq, 0) < 0.01 AS INT) AS af_rare,
+    "normalized_variants": f"WITH {NORM} SELECT chrom, pos, ref, alt, locus, gene_symbol FROM n",
+    "variant_features": f"""WITH {NORM} SELECT locus, gene_symbol, CAST(allele_freq IS NULL AS INT) AS af_absent, CAST(coalesce(allele_freq, 0) < 0.01 AS INT) AS af_rare,
   CAST(abs(length(ref) - length(alt)) AS INT) AS len_diff, CAST(length(ref) = 1 AND length(alt) = 1 AS INT) AS is_snv, CAST(length(alt) > length(ref) AS INT) AS is_insertion,
   CAST(length(alt) < length(ref) AS INT) AS is_deletion,
   CASE consequence WHEN 'splice_donor_variant' THEN 9 WHEN 'stop_gained' THEN 9 WHEN 'frameshift_variant' THEN 8 WHEN 'missense_variant' THEN 5
@@ -99,15 +99,15 @@ SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic FROM d GROUP BY 1
   CAST(regexp_matches(consequence, 'stop_gained|frameshift|splice_(donor|acceptor)') AS INT) AS is_lof, CAST(contains(consequence, 'missense') AS INT) AS is_missense,
   CAST(contains(consequence, 'splice') AS INT) AS is_splice, CAST(regexp_extract(protein_change, '(\\d+)', 1) AS INT) AS codon_number,
   CAST((CAST(regexp_extract(protein_change, '(\\d+)', 1) AS INT) - 1) % 3 + 1 AS INT) AS codon_phase FROM n""",
-    "gene_left_join": f"""WITH {_NORM}, g AS ({S.plain(S.GENES)}) SELECT n.gene_symbol, count(*) AS n, round(avg(coalesce(pli_score, 0.0)), 6) AS pli_score, round(avg(coalesce(loeuf, 1.0)), 6) AS loeuf
+    "gene_left_join": f"""WITH {NORM}, g AS ({S.plain(S.GENES)}) SELECT n.gene_symbol, count(*) AS n, round(avg(coalesce(pli_score, 0.0)), 6) AS pli_score, round(avg(coalesce(loeuf, 1.0)), 6) AS loeuf
 FROM n LEFT JOIN g ON g.gene_symbol = n.gene_symbol GROUP BY n.gene_symbol""",
-    "source_report": f"WITH {_NORM} SELECT source_db, clinical_sig, count(*) AS n, count(DISTINCT locus) AS n_loci FROM n GROUP BY 1, 2",
-    "gene_pathogenic_counts": f"WITH {_NORM} SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic, count(*) AS n_labelled FROM l WHERE label IS NOT NULL GROUP BY 1",
-    "interval_overlap": f"""WITH {_NORM}, i AS (SELECT chrom, pos - 200 AS lo, pos + 300 AS hi, gene_symbol AS cre_id FROM n WHERE pos % 97 = 0)
+    "source_report": f"WITH {NORM} SELECT source_db, clinical_sig, count(*) AS n, count(DISTINCT locus) AS n_loci FROM n GROUP BY 1, 2",
+    "gene_pathogenic_counts": f"WITH {NORM} SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic, count(*) AS n_labelled FROM l WHERE label IS NOT NULL GROUP BY 1",
+    "interval_overlap": f"""WITH {NORM}, i AS (SELECT chrom, pos - 200 AS lo, pos + 300 AS hi, gene_symbol AS cre_id FROM n WHERE pos % 97 = 0)
 SELECT locus, count(*) AS n_hits, count(DISTINCT cre_id) AS n_elements FROM n JOIN i ON n.chrom = i.chrom AND n.pos BETWEEN lo AND hi GROUP BY locus""",
     "score_metrics": _metrics_sql(""),
     "gene_score_metrics": _metrics_sql("gene_symbol"),
-    "calibration_table": f"""WITH {_SCORED} SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM s GROUP BY 1""",
+    "calibration_table": f"""WITH {SCORED_CTE} SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM s GROUP BY 1""",
     "release_directions": f"""WITH o AS ({S.plain(S.RELEASE_OLD)}), w AS ({S.plain(S.RELEASE_NEW)})
 SELECT o.clinical_sig AS old_sig, w.clinical_sig AS new_sig, count(*) AS n FROM o FULL JOIN w ON o.variant_id = w.variant_id
 WHERE o.clinical_sig IS DISTINCT FROM w.clinical_sig GROUP BY 1, 2""",

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from helixspark.plans import catalog
+from helixspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,15 +11,15 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("lineitem", "supplier", "orders"):
+    for t in ("lineitem", "supplier", "orders", "events", "documents"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", list(catalog.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_matches_sql(spark, duck, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
-    want = duck.sql(catalog.oracle_sql()[name]).df()
+    got = registry.queries()[name](spark, SF).toPandas()
+    want = duck.sql(registry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = lambda d: sorted(map(str, (tuple(None if x != x else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x for x in r) for r in d[columns].itertuples(index=False))))
