@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import expressions as X
+from helixspark.operators.evaluation import running_sums
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -58,8 +59,10 @@ def score_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AUROC (ties count half), Brier score and counts at 0.5 from a histogram of the distinct scores."""
     by = by or []
     hist = scored.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"), F.sum(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("b"))
-    lower = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist.withColumn("below", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    if by:
+        ranked = hist.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        ranked = running_sums(hist, "score", ["n"]).withColumn("below", F.col("upto_n") - F.col("n"))
     high = F.col("score") >= 0.5
     agg = ranked.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("b").alias("b"),
@@ -83,8 +86,7 @@ def release_directions(old: DataFrame, new: DataFrame) -> DataFrame:
 def two_sample_distances(df: DataFrame, value: str, tag: str) -> DataFrame:
     """KS and Wasserstein-1 distance of a column between the rows with tag 0 and 1, from cumulative counts of its distinct values."""
     counts = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.sum(1 - F.col(tag)).alias("a"), F.sum(tag).alias("b"))
-    upto, ordered = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("x")
     total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    cdf = counts.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto), "next": F.lead("x").over(ordered)}).crossJoin(F.broadcast(total))
+    cdf = running_sums(counts, "x", ["a", "b"]).withColumnsRenamed({"upto_a": "ca", "upto_b": "cb", "next_x": "next"}).crossJoin(F.broadcast(total))
     gap = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))
     return cdf.agg(F.round(F.max(gap), 6).alias("ks"), F.round(F.sum(gap * (F.coalesce("next", "x") - F.col("x"))), 6).alias("wasserstein"))

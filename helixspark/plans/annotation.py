@@ -83,7 +83,7 @@ def release_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residue_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
-    return A.residue_order(rows, "user_id", "event_id", "value").select("user_id", "event_id", F.round("local_mean", 4).alias("local_mean"), F.round("local_var", 4).alias("local_var"), "order_class")
+    return A.residue_order(rows, "user_id", "event_id", "value").select("user_id", "event_id", F.round("local_mean", 8).alias("local_mean"), F.round("local_var", 8).alias("local_var"), "order_class")
 
 
 def index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ SELECT n_common, CAST(n_changed AS BIGINT) AS n_changed, round(n_changed::DOUBLE
   CASE WHEN n_changed::DOUBLE / n_common >= 0.025 THEN 'urgent' WHEN n_changed::DOUBLE / n_common >= 0.01 OR s / n_common >= 0.015 THEN 'retrain' WHEN n_changed::DOUBLE / n_common >= 0.005 THEN 'monitor' ELSE 'none' END AS urgency FROM c""",
     "release_membership": f"""WITH {_RELEASES} SELECT o_orderkey IN (SELECT variant_id FROM o) AS in_old, o_orderkey IN (SELECT variant_id FROM w) AS in_new, count(*) AS n FROM orders GROUP BY 1, 2""",
     "residue_windows": """WITH r AS (SELECT user_id, event_id, avg(value) OVER w AS m, var_pop(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-SELECT user_id, event_id, round(m, 4) AS local_mean, round(v, 4) AS local_var, CASE WHEN m >= 90 AND v < 20 THEN 1 WHEN m >= 80 AND v < 40 THEN 2 ELSE 0 END AS order_class FROM r""",
+SELECT user_id, event_id, round(m, 8) AS local_mean, round(v, 8) AS local_var, CASE WHEN m >= 90 AND v < 20 THEN 1 WHEN m >= 80 AND v < 40 THEN 2 ELSE 0 END AS order_class FROM r""",
     "index_quality": f"""WITH {NORM} SELECT 'chrom' AS "column", count(*) AS n, count_if(chrom IS NULL)::BIGINT AS n_null, min(chrom) AS lowest, max(chrom) AS highest FROM n
 UNION ALL SELECT 'pos', count(*), count_if(pos IS NULL)::BIGINT, min(pos)::VARCHAR, max(pos)::VARCHAR FROM n
 UNION ALL SELECT 'allele_freq', count(*), count_if(allele_freq IS NULL)::BIGINT, NULL, NULL FROM n

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog
+from helixspark.plans import annotation, catalog, evaluation
 
-MODULES = (catalog, annotation)
+MODULES = (catalog, annotation, evaluation)
 
 
 def queries() -> dict:

@@ -1,11 +1,13 @@
 """Every registered query of the variant library against its SQL in DuckDB at sf0.001."""
 
+import os
+
 import duckdb
 import pytest
 
 from helixspark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
