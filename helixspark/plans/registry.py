@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog, evaluation
+from helixspark.plans import annotation, catalog, evaluation, learned
 
-MODULES = (catalog, annotation, evaluation)
+MODULES = (catalog, annotation, evaluation, learned)
 
 
 def queries() -> dict:
