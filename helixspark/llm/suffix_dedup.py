@@ -98,10 +98,12 @@ class Chunk:
 def _chunks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     """Rows in chunks of about limit bytes; a longer text is one by itself."""
     for b in batches:
-        texts = [t.encode() if t else b"" for t in b["text"]]
-        sizes = np.cumsum([len(t) for t in texts]) // limit if texts else []
-        for _, rows in b.groupby(sizes, sort=False):
-            yield rows, [texts[b.index.get_loc(i)] for i in rows.index]
+        sizes = np.cumsum([len(t) if t else 0 for t in b["text"]]) // limit
+        cuts = np.flatnonzero(np.diff(sizes)) + 1
+        for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(b)]):
+            if i < j:
+                rows = b.iloc[i:j]
+                yield rows, [t.encode() if t else b"" for t in rows["text"]]
 
 
 def _ids(rows: pd.DataFrame) -> np.ndarray:
@@ -113,7 +115,7 @@ def shared_hashes(docs: DataFrame, span: int, k: int, buckets: int) -> DataFrame
     low = np.uint64(buckets - 1)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, texts in _chunks(batches, 8 << 20):
+        for rows, texts in _chunks(batches, 3 << 20):
             c, ids = Chunk(texts, span, k), _ids(rows)
             if not len(c.at):
                 continue
@@ -375,10 +377,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes
     joined = rows.join(gone, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id"), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b, texts in _chunks(batches, 4 << 20):
             out = []
-            for i, text, gone in zip(b["doc_id"], b["text"], b["gone"]):
-                raw, spans = text.encode() if text else b"", []
+            for i, raw, gone in zip(b["doc_id"], texts, b["gone"]):
+                spans = []
                 if gone is not None:
                     g = np.array([(x["start"], x["stop"]) for x in gone], np.int64)
                     _, a, z = merged_intervals(np.zeros(len(g), np.int64), g[:, 0], g[:, 1])
