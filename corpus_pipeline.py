@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixspark.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from helixspark.llm.common import checkpointed
@@ -16,7 +17,8 @@ from helixspark.llm.registry import TOKENIZER, WEIGHTS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.drop_rejected(docs)
+    rows = quality.drop_rejected(docs)  # texts without their lines over the limit
+    return rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

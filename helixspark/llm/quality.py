@@ -7,7 +7,8 @@ Line frequency: lines are normalised (ASCII lower case, runs of white space to o
 their host (the source). For each host the distinct documents of a line are counted, where documents with equal texts count once
 (their lines are counted at one representative), by partial aggregates before the shuffle. A line in more than
 max(min_docs, share * documents of its host) documents is removed, and a document that keeps less than min_left of its words is
-rejected. Lines over the limit are few and are joined broadcast only after their count was checked, else salted.
+rejected. Lines over the limit are few and are joined broadcast only after their count was checked, else salted. clean_texts and
+drop_rejected give the texts themselves without these lines; the counts and the verdict are those of the texts as given.
 
 Cases: null text is an empty one (no words, fails the base rules). A null source is a host of its own. Rows that repeat an id
 and text are one document. Extra columns are ignored; an empty table gives no rows. Very long texts stay in one row: every
@@ -70,13 +71,14 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, text_hash, lines: the distinct normalised lines of a text as (key, words); the key hashes host and line."""
+    """doc_id, host, text_hash, lines: a text's normalised lines as (key, words, at); the key hashes host and line, at is the place among all lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.col("host")
     lower = F.regexp_replace(F.regexp_replace(ascii_lower(F.col("text")), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"))
-    lines = F.filter(F.transform(F.split(lower, "\n"), F.trim), lambda x: x != "")
-    entries = F.transform(lines, lambda x: F.struct(F.xxhash64(host.isNull(), host, x).alias("key"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    lines = F.filter(F.transform(F.split(lower, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("at"))), lambda x: x["line"] != "")
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    entries = F.transform(lines, lambda x: F.struct(F.xxhash64(host.isNull(), host, x["line"]).alias("key"), words(x["line"]).alias("words"), x["at"].alias("at")))
     return rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), entries.alias("lines"))
 
 
@@ -92,29 +94,66 @@ def frequent_lines(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
     return counts.join(limits, "host_key").where(F.col("in_docs") > F.col("limit")).select("key")
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, the counts, base_failed, removed_words (in lines over the limit) and kept, one row for each row of docs."""
-    base = checkpointed(base_counts(docs, id_col, text_col, host_col))  # small rows; no filter on them can repeat the counting
+def lines_over_limit(docs: DataFrame, min_docs: int = 100, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """_id, _hash, removed_words and removed_lines (sorted places among all lines), one row for each document that has lines over the limit."""
     keyed = line_keys(docs, id_col, text_col, host_col)
     over = frequent_lines(keyed, min_docs, share)
-    lines = keyed.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line")).select("doc_id", "text_hash", "at", "line.key", "line.words")
+    lines = keyed.select("doc_id", "text_hash", F.explode("lines").alias("line")).select("doc_id", "text_hash", "line.at", "line.key", "line.words")
     hit = lookup_join(lines, over, ["key"], "inner", F.col("doc_id"))
-    removed = hit.groupBy("doc_id", "text_hash", "at").agg(F.max("words").alias("words")).groupBy("doc_id", "text_hash").agg(F.sum("words").alias("removed_words"))
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed_words")
+    removed = hit.groupBy("doc_id", "text_hash", "at").agg(F.max("words").alias("words")).groupBy("doc_id", "text_hash")
+    removed = removed.agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("at")).alias("removed_lines"))
+    return removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed_words", "removed_lines")
+
+
+def judged(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The columns of quality_rules and removed_lines (null without any)."""
+    base = checkpointed(base_counts(docs, id_col, text_col, host_col))  # small rows; no filter on them can repeat the counting
+    removed = lines_over_limit(docs, min_docs, share, id_col, text_col, host_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = base.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    judged = judged.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", failed)
+    rows = base.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    rows = rows.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", failed)
     left = F.col("n_words") - F.col("removed_words")
-    return judged.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "text_hash"
+    return rows.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "text_hash", "removed_lines"
     )
 
 
-def drop_rejected(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    kept = quality_rules(docs, **rules).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+def quality_rules(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, the counts, base_failed, removed_words (in lines over the limit) and kept, one row for each row of docs."""
+    return judged(docs, min_words, min_docs, share, min_left, id_col, text_col, host_col).drop("removed_lines")
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text less the lines at the sorted places `removed`: the slices between them, so linear in the lines."""
+
+    def between(lines: Column, ends: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.slice(lines, F.get(ends, k - 1) + 2, F.get(ends, k) - F.get(ends, k - 1) - 1)))
+
+    def of(lines: Column) -> Column:
+        ends = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
+        return F.array_join(F.get(F.transform(F.array(ends), lambda e: between(lines, e)), F.lit(0)), "\n")
+
+    return F.get(F.transform(F.array(F.split(text, "\n")), of), F.lit(0))
+
+
+def _cleaned(docs: DataFrame, removed: DataFrame, how: str) -> DataFrame:
+    """docs joined to one row a document (_id, _hash, removed_lines), their texts without the removed lines."""
     marked = docs.withColumn("_id_key", F.col("doc_id")).withColumn("_hash_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return marked.join(kept, F.col("_id_key").eqNullSafe(F.col("_id")) & (F.col("_hash_key") == F.col("_hash")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = marked.join(removed.withColumnRenamed("removed_lines", "_removed"), F.col("_id_key").eqNullSafe(F.col("_id")) & (F.col("_hash_key") == F.col("_hash")), how)
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("_removed"))).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def clean_texts(docs: DataFrame, **limits) -> DataFrame:
+    """All rows of docs with all their columns, the texts without their lines over the limit."""
+    return _cleaned(docs, lines_over_limit(docs, **limits).drop("removed_words"), "left")
+
+
+def drop_rejected(docs: DataFrame, **rules) -> DataFrame:
+    """The rows of docs that pass, with all their columns, the texts without their lines over the limit."""
+    kept = judged(docs, **rules).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed_lines")
+    return _cleaned(docs, kept.dropDuplicates(["_id", "_hash"]), "inner")
+
 
 
 ORACLE = r"""

@@ -93,6 +93,31 @@ def test_quality(docs, duck, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_removes_lines(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"word{chr(97 + (i * 7 + k) % 26)}{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i // 26)}" for k in range(60))
+    foot = "Read 12 more stories  in our shop"
+    table = [(i, f"{own(i)}\n\n{foot.upper() if i % 2 else foot}\n {foot} \nend {own(i + 1)}\n" if i % 3 == 0 else own(i), "en", "hot" if i < 420 else None, -1) for i in range(430)] + [(500, None, "en", "hot", 0)]
+    table.append(table[0])
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    norm = lambda x: "".join("0" if c in "0123456789" else c for c in " ".join(x.split()).lower())
+    texts = {(s, t or "") for _, t, _, s, _ in table}
+    holders: dict = {}
+    for s, t in texts:
+        for x in {norm(x) for x in t.split("\n")} - {""}:
+            holders[s, x] = holders.get((s, x), 0) + 1
+    hosts = {s: sum(h == s for h, _ in texts) for s, _ in texts}
+    gone = {k for k, n in holders.items() if n > 100 and n > 0.02 * hosts[k[0]]}
+    want = sorted((i, "\n".join(x for x in t.split("\n") if (s, norm(x)) not in gone)) for i, t, _, s, _ in table if t)
+    assert gone and want[0][1] != table[0][1]
+    assert sorted((r.doc_id, r.text) for r in quality.clean_texts(docs).where("text IS NOT NULL").collect()) == want
+    assert quality.clean_texts(docs).columns == docs.columns and quality.clean_texts(docs).where("text IS NULL").count() == 1
+    passed = corpus_pipeline.quality_stage(spark, docs, "")
+    assert passed.schema == docs.schema and sorted((r.doc_id, r.text) for r in passed.collect()) == want
+    assert passed.where("n_chars <> length(text)").count() == 0
+
+
 def test_near_dedup(docs, rows, duck, empty):
     got = near_dedup.similar_components(docs)
     same(got.toPandas(), duck.sql(near_dedup.ORACLE).df())
