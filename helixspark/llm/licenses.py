@@ -2,7 +2,7 @@ r"""Operator 8, licence scans: ordered signature rules (DataFrame functions only
 
 A text becomes its words (A-Z lower-cased; runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]`) joined by single spaces. The base phrases
 are found in every text. The rules, some hundreds of patterns made from the fixed tables below by four wordings, run only where
-their keyword occurs: texts without any keyword leave at once, and in the others each rule is gated by its own keyword. Every
+their keyword occurs: rules that share keywords are grouped, and a text without the keywords of any group leaves at once. Every
 match is a detection (first word, last word, priority, label). Per document a running maximum over detections in order of start
 suppresses each detection that lies within another of the same or a better priority; what survives gives the labels.
 
@@ -30,7 +30,7 @@ FAMILIES = [
     ("agpl", r"gnu affero general public|affero general public|gnu affero gpl|agpl", ["1", "3"], "affero|agpl", "agpl"),
     ("lgpl", r"gnu (?:lesser|library) general public|(?:lesser|library) general public|gnu lgpl|lgpl", ["2", "2 1", "3"], "lesser general|library general|lgpl", "lgpl"),
     ("gpl", r"gnu general public|general public|gnu gpl|gpl", ["1", "2", "3"], "general public|gpl", "gpl"),
-    ("gfdl", r"gnu free documentation|free documentation|gfdl", ["1 1", "1 2", "1 3"], "free documentation", "gfdl"),
+    ("gfdl", r"gnu free documentation|free documentation|gfdl", ["1 1", "1 2", "1 3"], "free documentation|gfdl", "gfdl"),
     ("apache", r"apache(?: software)?", ["1 0", "1 1", "2", "2 0"], "apache", "apache"),
     ("mpl", r"mozilla public|mpl", ["1 0", "1 1", "2", "2 0"], "mozilla|mpl", "mpl"),
     ("epl", r"eclipse public|epl", ["1 0", "2 0"], "eclipse|epl", "epl"),
@@ -101,8 +101,6 @@ NOTICES = [
 ]
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut\w*|use) (?:\w+ ){0,2}?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 SCORES = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.5}
-#: One of these occurs in every text that any rule can match.
-GATE = ["licen", "gpl", "apache", "mozilla", "eclipse", "creative", "spdx", "bsd", "public domain", "all rights", "proprietary", "permission", "redistribution", "altered source", "mpl", "epl", "cddl", "eupl", "sspl", "odbl", "wtfpl", "psf", "cecill"]
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
@@ -132,6 +130,14 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     return [(i, priority, label, key, rf"(?<![^ ])(?:{pattern})(?![^ ])") for i, (priority, label, key, pattern) in enumerate(out)]
 
 
+def gated_rules() -> list[dict]:
+    """The rules grouped by keywords; a text in which none of a group's keywords occurs can't match its rules."""
+    groups: dict[str, list[dict]] = {}
+    for i, priority, label, key, pattern in rules():
+        groups.setdefault(key, []).append({"id": i, "priority": priority, "label": label, "pattern": pattern})
+    return [{"keys": key.split("|"), "rules": of} for key, of in groups.items()]
+
+
 def joined_words(text: Column) -> Column:
     """The text's words, each two apart by one space."""
     return F.trim(F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -170,17 +176,18 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, label, priority, first, last of all matches of all rules, before suppression."""
-    names = ("id", "priority", "label", "key", "pattern")
-    table = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rules()])), "array<struct<id:int,priority:int,label:string,key:string,pattern:string>>")
+    groups = gated_rules()
+    table = F.from_json(F.lit(json.dumps(groups)), "array<struct<keys:array<string>,rules:array<struct<id:int,priority:int,label:string,pattern:string>>>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lower = ascii_lower(F.col("text"))
     gate = F.lit(False)
-    for key in GATE:
-        gate = gate | F.contains("lower", F.lit(key.split(" ")[0]))
-    gate = gate | (F.contains("lower", F.lit("cc")) & F.rlike("lower", F.lit(r"(?<![0-9a-z])cc(?:0|[^0-9a-z])")))  # cc within words is common
+    for word in sorted({k.split(" ")[0] for g in groups for k in g["keys"]}):  # a keyword's first word stands in the raw text too, a number may follow it at once
+        hit = F.contains("lower", F.lit(word))
+        gate = gate | ((hit & F.rlike("lower", F.lit(rf"(?<![0-9a-z]){word}(?![a-z])"))) if len(word) < 4 else hit)  # short ones are common within words
     gated = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lower.alias("lower")).where(gate)
     gated = gated.select("doc_id", "text_hash", joined_words(F.col("lower")).alias("norm"))
-    ruled = gated.select("*", F.explode(F.filter(table, lambda r: F.exists(F.split(r["key"], r"\|"), lambda k: F.contains("norm", k)))).alias("rule"))
+    matching = F.filter(table, lambda g: F.exists(g["keys"], lambda k: F.contains("norm", k)))
+    ruled = gated.select("*", F.explode(F.flatten(F.transform(matching, lambda g: g["rules"]))).alias("rule"))
     ruled = ruled.where(F.regexp_like("norm", F.col("rule.pattern"))).select("doc_id", "text_hash", "rule", _marked(F.col("norm"), F.col("rule.pattern")).alias("words"))
     first = _where(F.col("words"), lambda w: F.startswith(w, F.lit("\x01")))
     last = _where(F.col("words"), lambda w: F.endswith(w, F.lit("\x02")))

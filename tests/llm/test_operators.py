@@ -171,6 +171,42 @@ def test_licenses(docs, rows, empty):
     assert len(licenses.rules()) >= 200 and licenses.license_scan(empty).count() == 0
 
 
+def test_license_keywords(spark):
+    from re import _parser
+
+    def samples(tree) -> list[str]:
+        """Strings that the pattern matches: every branch once, optional parts left out."""
+        out = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                parts = [chr(arg)]
+            elif op == "BRANCH":
+                parts = [x for b in arg[1] for x in samples(b)]
+            elif op == "SUBPATTERN":
+                parts = samples(arg[-1])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                parts = [x * arg[0] for x in samples(arg[2])] if arg[0] else [""]
+            elif op == "IN":
+                parts = [chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else ["x"]
+            else:
+                assert op == "ASSERT_NOT", op
+                parts = [""]
+            out = [a + b for a in out for b in parts]
+        return out
+
+    made = [(i, key, x) for i, _, _, key, pattern in licenses.rules() for x in samples(_parser.parse(pattern))]
+    assert {i for i, _, _ in made} == {r[0] for r in licenses.rules()}
+    assert not [x for _, key, x in made if not any(k in x for k in key.split("|"))]
+    cut = {(i, x.split(" under ")[-1]): (i, x) for i, _, x in made}  # one wording of the grants for each name
+    texts = [(k, i, x) for k, (i, x) in enumerate(cut.values())]
+    found = licenses.detections(spark.createDataFrame([(k, x) for k, _, x in texts], "doc_id long, text string").repartition(8))
+    assert {(k, i) for k, i, _ in texts} <= {(r.doc_id, r.id) for r in found.collect()}
+    texts = ["Distributed under the Boost Software 1.0.", "Artistic-2.0", "PHP 3.01", "GFDL 1.3", "a phpx 3.01"]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").labels
+    assert got.to_dict() == {0: "bsl-1", 1: "artistic-2", 2: "php-3.01", 3: "gfdl-1.3", 4: ""}
+
+
 def test_containment(spark):
     found = spark.createDataFrame([(1, 1, 5, 4, "a", 0, 9), (1, 1, 6, 2, "b", 2, 5), (1, 1, 7, 4, "c", 3, 4), (1, 1, 8, 4, "d", 8, 12)], "doc_id long, text_hash long, id int, priority int, label string, first int, last int")
     assert sorted(r.label for r in licenses.surviving(found).collect()) == ["a", "b", "d"]
