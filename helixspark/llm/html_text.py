@@ -4,7 +4,8 @@ r"""Operator 2, HTML extraction: consensus host paths.
    and the page proposes its best container as a generalised path: tag names with their first class, digits as 0, no positions.
 2. Vote (Spark): per host the pages' proposals are summed by path; the paths with at least min_share of a host's votes win.
 3. Re-extract: a page is read again and the containers on a winning path of its host give its text; a page in which none of them
-   has text falls back to its own best container.
+   has text falls back to its own best container. A container inside an article or main is extended to the nearest of these, and
+   blocks directly in the containers around it come along if they have text outside links (headings and ledes beside the body).
 
 The text: character references decoded, white space inside a block one space, blocks in page order joined by one newline.
 Never part of it: head, script, style, forms, navigation, header, footer, aside, comments and whatever a class, id or role names
@@ -140,14 +141,27 @@ def best_path(blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, int]
     return "/".join(path), int(scores[path])
 
 
+def enclosing(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path up to its nearest article or main; the path itself if it is in none."""
+    for k in range(len(path), 0, -1):
+        if path[k - 1].split(".")[0] in ("article", "main"):
+            return path[:k]
+    return path
+
+
 def under(blocks: list[tuple[tuple[str, ...], str, int]], winners: set[str]) -> str:
-    """The texts of the blocks inside a container on a winning path."""
+    """The texts of the blocks inside a container on a winning path or its article, and of those directly in a container around it."""
+    won = {path[:k] for path in {p for p, _, _ in blocks} for k in range(1, len(path) + 1) if "/".join(path[:k]) in winners}
+    if not won:
+        return ""
+    whole = {enclosing(p) for p in won}
+    around = {p[:k] for p in whole for k in range(1, len(p))}
     memo: dict[tuple[str, ...], bool] = {}
     kept = []
-    for path, text, _ in blocks:
+    for path, text, linked in blocks:
         if path not in memo:
-            memo[path] = any("/".join(path[:k]) in winners for k in range(1, len(path) + 1))
-        if memo[path]:
+            memo[path] = any(path[:k] in whole for k in range(1, len(path) + 1))
+        if memo[path] or (path in around and len(text) > 2 * linked):
             kept.append(text)
     return "\n".join(kept)
 

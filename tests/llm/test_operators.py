@@ -254,6 +254,15 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_beside_body(spark):
+    body = "<div class='body'><section><p>" + "long text " * 100 + "</p></section><p>" + "more text " * 60 + "</p></div>"
+    text = ("long text " * 100).strip() + "\n" + ("more text " * 60).strip()
+    pages = [(k, f"https://a.example/{k}", f"<body><p><a href='/'>home page of all</a></p><article><h1>Title {k}</h1><p>Lede</p>{body}<div class='note'><p>End</p></div></article></body>") for k in range(3)]
+    pages += [(k, f"https://b.example/{k}", f"<body><h1>Title {k}</h1><div class='page'><p>Lede</p>{body}</div></body>") for k in range(3, 6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nLede\n{text}" + "\nEnd" * (k < 3) for k in range(6)}
+
+
 def test_null_ids(spark):
     t = spark.createDataFrame([(None, "a b c d e f", "en", "s"), (3, "a b c d e f", "en", None), (3, "a b c d e f", "en", None)], "doc_id long, text string, lang string, source string")
     assert exact_dedup.exact_groups(t, "largest").count() == 3
