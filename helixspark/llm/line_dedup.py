@@ -1,9 +1,10 @@
 r"""Operator 7, substring dedup by line hashing.
 
-A unit is a line or, in a line, a sentence (ended by . ! or ? and white space), so that a passage inside a paragraph is found too.
-Units are normalised (lower case, white space to one space) and hashed (64 bits and the word count). Digests are grouped
-globally, by partial aggregates, to the smallest id that has them; a unit is a repeat if a document of a smaller id, or an earlier
-place in its own document, has it. Repeats that stand in a row are removed together if they come to at least min_words words;
+Units are the lines and, in them, the sentences (ended by . ! or ? and white space), so that a passage inside a paragraph is found
+too. Units are normalised (lower case, white space to one space) and hashed (64 bits and the word count; lines apart from sentences).
+Digests are grouped globally, by partial aggregates, to the smallest id that has them; a unit is a repeat if a document of a smaller
+id, or an earlier place in its own document, has it. Repeated lines are removed whatever their length. Of the other lines, repeated
+sentences that stand in a row (together with removed lines beside them) are removed if they come to at least min_words words;
 shorter ones (stock phrases) stay. What is removed keeps its original offsets.
 
 Cases: null text counts as empty: no units, nothing removed, an empty kept text. Rows that repeat an id rank equal and get equal
@@ -13,7 +14,7 @@ results. A null id ranks last. Extra columns are ignored; an empty table gives n
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
@@ -26,21 +27,33 @@ from helixspark.llm.common import lookup_join
 _UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*", re.S)
 
 
-def units_of(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit; ends include the white space behind."""
-    out, at = [], 0
+def units_of(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(number, start, end, words, digest, 0) of each sentence; (first sentence, start, end, words, digest, sentences) of each line.
+
+    Ends include the white space behind.
+    """
+    out, at, k = [], 0, 0
+    line: list[str] = []
+    first = start = 0
     for m in _UNIT.finditer(text):
         if m.end() == at:
             continue
         words = m.group().lower().split()
         if words:
-            out.append((at, m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)))
+            out.append((k, at, m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), 0))
+            if not line:
+                first, start = k, at
+            line += words
+            k += 1
         at = m.end()
+        if line and ("\n" in m.group() or at == len(text)):
+            out.append((first, start, at, len(line), xxhash.xxh3_64_intdigest(" ".join(line) + "\n") - (1 << 63), k - first))
+            line = []
     return out
 
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, at (number of the unit), start, stop, words, digest, again (seen before in the same text)."""
+    """doc_id, at (number of the unit's first sentence), start, stop, words, digest, sentences (of a line, else 0), again (seen before in the same text)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,22 +61,33 @@ def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             rows = []
             for i, t in zip(b["doc_id"], b["text"]):
                 seen: set = set()
-                for k, (start, stop, words, digest) in enumerate(units_of(t) if t else ()):
-                    rows.append((i, k, start, stop, words, digest, digest in seen))
+                for k, start, stop, words, digest, sentences in units_of(t) if t else ():
+                    rows.append((i, k, start, stop, words, digest, sentences, digest in seen))
                     seen.add(digest)
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "start", "stop", "words", "digest", "again"])
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "start", "stop", "words", "digest", "sentences", "again"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, at int, start int, stop int, words int, digest long, again boolean")
+    return rows.mapInPandas(run, f"doc_id {id_type}, at int, start int, stop int, words int, digest long, sentences int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its repeated units [(at, start, stop, words)]."""
+    """doc_id and its repeated units [(at, start, stop, words, sentences)]."""
     units = unit_rows(docs, id_col, text_col)
     owners = units.where("NOT again").groupBy("digest", "words").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("digest", "words", "owner")
     judged = lookup_join(units, owners, ["digest", "words"], "left", F.col("doc_id"), broadcast_rows)
     repeat = F.col("again") | (F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))))
-    return judged.where(repeat).groupBy("doc_id").agg(F.collect_set(F.struct("at", "start", "stop", "words")).alias("repeats"))
+    return judged.where(repeat).groupBy("doc_id").agg(F.collect_set(F.struct("at", "start", "stop", "words", "sentences")).alias("repeats"))
+
+
+def joined(sentences: Iterable) -> list[list[int]]:
+    """The runs [last sentence, start, stop, words, sentences] of sentences in a row."""
+    runs: list[list[int]] = []
+    for u in sentences:
+        if runs and runs[-1][0] + 1 == u["at"]:
+            runs[-1] = [u["at"], runs[-1][1], u["stop"], runs[-1][3] + u["words"], runs[-1][4] + 1]
+        else:
+            runs.append([u["at"], u["start"], u["stop"], u["words"], 1])
+    return runs
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -77,13 +101,11 @@ def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
         for b in batches:
             out = []
             for i, text, repeats in zip(b["doc_id"], b["text"], b["repeats"]):
-                runs: list[list[int]] = []  # last unit, start, stop, words, units
-                for u in sorted(repeats, key=lambda u: u["at"]) if repeats is not None else ():
-                    if runs and runs[-1][0] + 1 == u["at"]:
-                        runs[-1] = [u["at"], runs[-1][1], u["stop"], runs[-1][3] + u["words"], runs[-1][4] + 1]
-                    else:
-                        runs.append([u["at"], u["start"], u["stop"], u["words"], 1])
-                runs = [r for r in runs if r[3] >= min_words]
+                found = sorted(repeats, key=lambda u: u["at"]) if repeats is not None else []
+                sentences = [u for u in found if not u["sentences"]]
+                in_lines = {k for u in found for k in range(u["at"], u["at"] + u["sentences"])}
+                long = {k for r in joined(sentences) if r[3] >= min_words for k in range(r[0] - r[4] + 1, r[0] + 1)}
+                runs = joined(u for u in sentences if u["at"] in in_lines or u["at"] in long)
                 text, kept, at = text or "", [], 0
                 for _, start, stop, _, _ in runs:
                     kept.append(text[at:start])

@@ -162,6 +162,14 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.remove_repeats(empty).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["A short copy.", "a SHORT  copy.", "own one\nsame line\nown two\nsame line\n\nown three", "own four\nSame line\nFirst own. Two words here. Last own.", "Begins new. Two words here. Ends new.", "Two words here. Ends new.\nsame line"]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i].kept_text for i in range(6)] == [texts[0], "", "own one\nsame line\nown two\nown three", "own four\nFirst own. Two words here. Last own.", texts[4], "Two words here. Ends new.\n"]
+    assert [got[i].n_removed_words for i in range(6)] == [0, 3, 2, 2, 0, 2]
+    assert [(s.start, s.stop) for s in got[2].removed_spans] == [(26, 37)] and got[1].n_removed_units == 1
+
+
 def test_licenses(docs, rows, empty):
     got = licenses.license_scan(docs).toPandas().set_index("doc_id")
     r = got.loc[rows[-1][0]]
