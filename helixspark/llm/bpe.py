@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.llm.common import map_frames
+
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces that a worker remembers at most; the memo is emptied beyond.
@@ -157,7 +159,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids, decoded, held, start = [], [], 0, k
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
+    return map_frames(rows, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -168,7 +170,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [c.decode([] if x is None else list(x)) for x in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_frames(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the contracts: space and \x09-\x0D.
@@ -22,13 +27,30 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by checkpoint() in the folder of spark.checkpoint.dir; only where that is unset (tests) one is made."""
+    """Cuts the lineage by checkpoint() in the folder of spark.checkpoint.dir; only a local session (tests) may go without the setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype()}
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInArrow over pandas frames whose integer columns are nullable: an id keeps all its digits in a batch that has a null one."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(b.to_pandas(types_mapper=_NULLABLE.get) for b in found):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False, nthreads=1)
+
+    return df.mapInArrow(batches, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

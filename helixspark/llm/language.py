@@ -18,18 +18,19 @@ equal results. lang, source and id are no inputs of a prediction; extra columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import checkpointed
+from helixspark.llm.common import checkpointed, map_frames
 
 ORDERS = (1, 2, 3, 4)
-_BREAK = re.compile(r"[\W\d_]+")
+#: All but letters and the marks (vowel signs, accents) that belong to them.
+_BREAK = regex.compile(r"[^\p{L}\p{M}]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,6 +136,6 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             out = [score(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x for x, _ in out], "score": [y for _, y in out]})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double")
+    rows = map_frames(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, lang_pred string, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import lookup_join
+from helixspark.llm.common import lookup_join, map_frames
 
-#: A unit with the white space behind it.
-_UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)\s*", re.S)
+#: A unit with the white space behind it; the possessive runs keep it linear in texts like !!!!.
+_UNIT = re.compile(r"(?:[^\n.!?]++|[.!?]++(?!\s))*+[.!?]*+\s*")
 
 
 def units_of(text: str) -> list[tuple[int, int, int, int, int, int]]:
@@ -67,7 +67,7 @@ def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pd.DataFrame(rows, columns=["doc_id", "at", "start", "stop", "words", "digest", "sentences", "again"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {id_type}, at int, start int, stop int, words int, digest long, sentences int, again boolean")
+    return map_frames(rows, run, f"doc_id {id_type}, at int, start int, stop int, words int, digest long, sentences int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,4 +114,4 @@ def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
                 out.append((i, sum(r[4] for r in runs), sum(r[3] for r in runs), sum(r[2] - r[1] for r in runs), [{"start": r[1], "stop": r[2]} for r in runs], "".join(kept)))
             yield pd.DataFrame(out, columns=["doc_id", "n_removed_units", "n_removed_words", "n_removed_chars", "removed_spans", "kept_text"])
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, n_removed_units long, n_removed_words long, n_removed_chars long, removed_spans array<struct<start:int,stop:int>>, kept_text string")
+    return map_frames(rows, run, f"doc_id {id_type}, n_removed_units long, n_removed_words long, n_removed_chars long, removed_spans array<struct<start:int,stop:int>>, kept_text string")
