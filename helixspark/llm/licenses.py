@@ -1,10 +1,12 @@
 r"""Operator 8, licence scans: ordered signature rules (DataFrame functions only).
 
 A text becomes its words (A-Z lower-cased; runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]`) joined by single spaces. The base phrases
-are found in every text. The rules, some hundreds of patterns made from the fixed tables below by four wordings, run only where
-their keyword occurs: rules that share keywords are grouped, and a text without the keywords of any group leaves at once. Every
-match is a detection (first word, last word, priority, label). Per document a running maximum over detections in order of start
-suppresses each detection that lies within another of the same or a better priority; what survives gives the labels.
+are found in every text. The rules, some hundreds of patterns (notices written out, names and versions in four wordings), run only
+where their keyword occurs: one pattern of all keywords sends texts without any away, rules that share keywords are grouped, and a
+group runs where one of its keywords is. Every keyword stands at a word's start in each match of its rules, so the gates lose
+nothing. Every match is a detection (first word, last word, priority, label). Per document a running maximum over detections in
+order of start suppresses each detection that lies within another of the same or a better priority; what survives gives the labels.
+Names that are words of other things too (apache, elastic) need a licence word beside their version.
 
 Priorities: 1 identifier tags, 2 grants ("licensed under ..."), 3 name with version, 4 bare names. The score is that of the best
 surviving wording: 1, 0.95, 0.8 and 0.5; base phrases count 0.95.
@@ -31,8 +33,8 @@ FAMILIES = [
     ("lgpl", r"gnu (?:lesser|library) general public|(?:lesser|library) general public|gnu lgpl|lgpl", ["2", "2 1", "3"], "lesser general|library general|lgpl", "lgpl"),
     ("gpl", r"gnu general public|general public|gnu gpl|gpl", ["1", "2", "3"], "general public|gpl", "gpl"),
     ("gfdl", r"gnu free documentation|free documentation|gfdl", ["1 1", "1 2", "1 3"], "free documentation|gfdl", "gfdl"),
-    ("apache", r"apache(?: software)?", ["1 0", "1 1", "2", "2 0"], "apache", "apache"),
-    ("mpl", r"mozilla public|mpl", ["1 0", "1 1", "2", "2 0"], "mozilla|mpl", "mpl"),
+    ("apache", r"apache(?: software)?", ["1 0", "1 1", "2"], "apache", "apache"),
+    ("mpl", r"mozilla public|mpl", ["1 0", "1 1", "2"], "mozilla|mpl", "mpl"),
     ("epl", r"eclipse public|epl", ["1 0", "2 0"], "eclipse|epl", "epl"),
     ("edl", r"eclipse distribution", ["1 0"], "eclipse distribution", "edl"),
     ("cddl", r"common development and distribution|cddl", ["1 0", "1 1"], "common development|cddl", "cddl"),
@@ -88,46 +90,166 @@ COMMONS = [
     ("cc-by", "cc by", r"attribution"),
 ]
 COMMONS_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
+#: Names whose bare version is no licence.
+COMMON_NAMES = {"apache", "elastic"}
 #: Notices without a licence name: label, priority, pattern, keyword.
 NOTICES = [
     ("all-rights-reserved", 4, r"all rights reserved", "all rights reserved"),
-    ("proprietary", 3, r"(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("public-domain", 3, r"(?:released|placed|dedicated|is|are|work) (?:in|into|to) the public domain", "public domain"),
+    ("no-rights-reserved", 3, r"no rights reserved", "no rights reserved"),
+    ("some-rights-reserved", 3, r"some rights reserved", "some rights reserved"),
+    ("proprietary", 3, r"(?:proprietary and confidential|confidential and proprietary)", "proprietary and|confidential and"),
+    ("proprietary", 3, r"unauthori[sz]ed (?:copying|reproduction|distribution|use) (?:of \w+ \w+ )?(?:is )?(?:strictly )?prohibited", "unauthorized|unauthorised"),
+    ("proprietary", 3, r"(?:may|must) not be (?:copied|reproduced|distributed|redistributed)(?: \w+){0,8} without (?:the )?(?:prior |express )*(?:written )?(?:permission|consent)", "not be copied|not be reproduced|not be distributed|not be redistributed"),
+    ("proprietary", 3, r"for internal use only", "for internal use"),
+    ("proprietary", 3, r"trade secrets? of", "trade secret"),
+    ("non-commercial", 3, r"(?:for|only) non ?commercial (?:use|purposes)(?: only)?", "noncommercial|non commercial"),
+    ("non-commercial", 3, r"not for (?:commercial use|resale)", "not for commercial|not for resale"),
+    ("non-commercial", 3, r"personal and non ?commercial use", "personal and non"),
+    ("evaluation-only", 3, r"for evaluation (?:purposes|use) only", "for evaluation"),
+    ("academic-use", 3, r"for (?:academic|research|educational) (?:use|purposes) only", "use only|purposes only"),
+    ("freeware", 4, r"this (?:program|software) is freeware", "is freeware"),
+    ("shareware", 4, r"this (?:program|software) is shareware", "is shareware"),
+    ("public-domain", 3, r"(?:released|placed|dedicated|is|are|work) (?:in|into|to) the public domain", "the public domain"),
+    ("public-domain", 3, r"the authors? disclaims? copyright to this source code", "disclaims copyright|disclaim copyright"),
+    ("public-domain", 3, r"no copyright is claimed", "no copyright is"),
+    ("public-domain", 3, r"not subject to copyright protection", "not subject to copyright"),
+    ("public-domain", 3, r"public domain mark(?: 1 0)?", "public domain mark"),
+    ("blessing", 2, r"may you do good and not evil", "may you do good"),
     ("cc0", 2, r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons zero"),
+    ("cc0", 2, r"affirmer overtly fully permanently irrevocably and unconditionally waives", "affirmer overtly"),
+    ("cc0", 2, r"dedicated the work to the public domain by waiving all of his or her rights", "dedicated the work"),
     ("mit", 2, r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
+    ("mit", 2, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", "the above copyright notice"),
+    ("mit-0", 2, r"mit no attribution", "mit no attribution"),
+    ("mit-modern", 2, r"permission is hereby granted without written agreement and without license or royalty fees", "permission is hereby granted"),
     ("isc", 2, r"permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy"),
+    ("isc", 2, r"permission to use copy modify and distribute this software for any purpose with or without fee", "permission to use copy"),
+    ("0bsd", 2, r"bsd zero clause|zero clause bsd|0bsd", "bsd zero|zero clause|0bsd"),
+    ("hpnd", 2, r"permission to use copy modify (?:and )?distribute and sell this software and its documentation for any purpose", "permission to use copy"),
+    ("hpnd", 2, r"permission to use copy modify and distribute this software and its documentation for any purpose", "permission to use copy"),
+    ("ntp", 2, r"the name \w+(?: \w+){0,4} not be used in advertising or publicity pertaining to distribution", "not be used in advertising"),
     ("bsd", 2, r"redistribution and use in source and binary forms with or without modification", "redistribution and use"),
+    ("bsd-2-clause", 2, r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
+    ("bsd-2-clause", 2, r"redistributions of source code must retain the above copyright notice", "redistributions of source"),
+    ("bsd-3-clause", 2, r"may be used to endorse or promote products derived from this software without", "may be used to endorse"),
+    ("bsd-4-clause", 2, r"all advertising materials mentioning features or use of this software must display", "all advertising materials"),
+    ("warranty-disclaimer", 4, r"this software is provided (?:by \w+(?: \w+){0,8} )?as is", "this software is provided"),
+    ("warranty-disclaimer", 4, r"the software is provided as is without warranty of any kind", "the software is provided"),
+    ("warranty-disclaimer", 4, r"without even the implied warranty of merchantability or fitness for a particular purpose", "without even the implied"),
     ("zlib", 2, r"altered source versions must be plainly marked", "altered source versions"),
+    ("zlib", 2, r"the origin of this software must not be misrepresented", "the origin of this software"),
+    ("zlib", 2, r"this notice may not be removed or altered from any source distribution", "this notice may not be removed"),
+    ("libpng", 2, r"the png reference library is supplied as is", "the png reference"),
+    ("curl", 2, r"copyright \w+ daniel stenberg|daniel stenberg daniel haxx se", "daniel stenberg"),
+    ("gpl", 2, r"this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of the gnu general public", "is free software you can"),
+    ("lgpl", 2, r"this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public", "is free software you can"),
+    ("agpl", 2, r"this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of the gnu affero general public", "is free software you can"),
+    ("gpl", 3, r"you should have received a copy of the gnu general public", "you should have received"),
+    ("lgpl", 3, r"you should have received a copy of the gnu (?:lesser|library) general public", "you should have received"),
+    ("agpl", 3, r"you should have received a copy of the gnu affero general public", "you should have received"),
+    ("gpl-2", 2, r"either version 2 of the license or at your option any later version", "either version 2"),
+    ("gpl-3", 2, r"either version 3 of the license or at your option any later version", "either version 3"),
+    ("lgpl-2.1", 2, r"either version 2 1 of the license or at your option any later version", "either version 2 1"),
+    ("gpl", 3, r"www gnu org licenses gpl(?: \w+)*? html|gnu org copyleft gpl", "gnu org licenses|gnu org copyleft"),
+    ("gfdl", 2, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation", "permission is granted to copy"),
+    ("apache-2", 2, r"www apache org licenses license 2 0", "apache org licenses"),
+    ("apache-2", 2, r"licensed to the apache software foundation asf under one or more contributor license agreements", "apache software foundation"),
+    ("apache-2", 3, r"unless required by applicable law or agreed to in writing software distributed under the license", "unless required by applicable law"),
+    ("apache-2", 3, r"you may not use this file except in compliance with the license", "you may not use this file"),
+    ("mpl-2", 2, r"this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form"),
+    ("mpl-2", 2, r"mozilla org mpl 2 0", "mozilla org mpl"),
+    ("mpl-1.1", 2, r"the contents of this file are subject to the mozilla public license version 1 1", "the contents of this file are"),
+    ("cddl", 2, r"the contents of this file are subject to the terms of the common development and distribution", "the contents of this file are"),
+    ("epl", 2, r"this program and the accompanying materials are made available under the terms of the eclipse public", "this program and the accompanying"),
+    ("epl-1", 3, r"www eclipse org legal epl v10", "eclipse org legal"),
+    ("epl-2", 3, r"www eclipse org legal epl (?:2 0|v20)", "eclipse org legal"),
+    ("bsl-1", 2, r"permission is hereby granted free of charge to any person or organization obtaining a copy", "permission is hereby granted"),
+    ("bsl-1", 2, r"www boost org license 1 0 txt", "boost org license"),
+    ("unlicense", 2, r"this is free and unencumbered software released into the public domain", "free and unencumbered"),
+    ("unlicense", 2, r"unlicense org", "unlicense org"),
+    ("wtfpl", 2, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified"),
+    ("beerware", 2, r"if we meet some day and you think this stuff is worth it you can buy me a beer", "if we meet some day"),
+    ("beerware", 3, r"beerware|the beer ware", "beerware|the beer ware"),
+    ("artistic", 2, r"the intent of this document is to state the conditions under which a package may be copied", "the intent of this document"),
+    ("psf", 2, r"psf is making python available to licensee on an as is basis", "psf is making"),
+    ("openssl", 2, r"this product includes software developed by the openssl project", "the openssl project"),
+    ("ssleay", 2, r"this product includes cryptographic software written by eric young", "includes cryptographic software"),
+    ("bsd-4-clause", 2, r"this product includes software developed by the university of california", "the university of california"),
+    ("postgresql", 2, r"in no event shall the university of california be liable to any party", "the university of california"),
+    ("w3c", 2, r"by obtaining using and or copying this work you the licensee agree", "by obtaining using"),
+    ("ofl", 2, r"this font software is licensed under", "this font software"),
+    ("ofl", 2, r"scripts sil org ofl", "sil org ofl"),
+    ("odbl", 2, r"opendatacommons org licenses odbl", "opendatacommons org"),
+    ("pddl", 2, r"opendatacommons org licenses pddl", "opendatacommons org"),
+    ("odc-by", 2, r"opendatacommons org licenses by", "opendatacommons org"),
+    ("ecl", 2, r"opensource org licenses ecl", "opensource org licenses"),
+    ("mit", 2, r"opensource org licenses mit(?: license)?", "opensource org licenses"),
+    ("isc", 2, r"opensource org licenses isc(?: license)?", "opensource org licenses"),
+    ("bsd-3-clause", 2, r"opensource org licenses bsd 3 clause", "opensource org licenses"),
+    ("bsd-2-clause", 2, r"opensource org licenses bsd 2 clause", "opensource org licenses"),
+    ("cecill", 2, r"cecill info licences", "cecill info"),
+    ("ncsa", 2, r"deal with the software without restriction including without limitation the rights", "deal with the software"),
+    ("upl-1", 2, r"the universal permissive license upl version 1 0", "universal permissive license upl"),
+    ("sspl-1", 2, r"if you make the functionality of the program or a modified version available to third parties as a service", "if you make the functionality"),
+    ("busl-1.1", 2, r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "the licensor hereby grants"),
+    ("elastic-2", 2, r"you may not provide the software to third parties as a hosted or managed service", "you may not provide the software"),
+    ("commons-clause", 2, r"commons clause(?: license)? condition", "commons clause"),
+    ("json", 2, r"the software shall be used for good not evil", "used for good not evil"),
+    ("cc-by", 3, r"creativecommons org licenses by(?: \d \d)?", "creativecommons org"),
+    ("cc-by-sa", 2, r"creativecommons org licenses by sa(?: \d \d)?", "creativecommons org"),
+    ("cc-by-nc", 2, r"creativecommons org licenses by nc(?: \d \d)?", "creativecommons org"),
+    ("cc-by-nd", 2, r"creativecommons org licenses by nd(?: \d \d)?", "creativecommons org"),
+    ("cc-by-nc-sa", 2, r"creativecommons org licenses by nc sa(?: \d \d)?", "creativecommons org"),
+    ("cc-by-nc-nd", 2, r"creativecommons org licenses by nc nd(?: \d \d)?", "creativecommons org"),
+    ("cc0", 2, r"creativecommons org publicdomain zero(?: 1 0)?", "creativecommons org"),
+    ("public-domain", 2, r"creativecommons org publicdomain mark(?: 1 0)?", "creativecommons org"),
+    ("crown-copyright", 3, r"crown copyright", "crown copyright"),
+    ("ogl", 2, r"open government licen[cs]e(?: v?\d(?: 0)?)?", "open government"),
+    ("us-government-work", 3, r"(?:is )?a work of the (?:united states|u s) government", "work of the united|work of the u s"),
+    ("eula", 3, r"end user licen[cs]e agreement", "end user licen"),
+    ("commercial", 4, r"commercial licen[cs]e", "commercial licen"),
 ]
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribut\w*|use) (?:\w+ ){0,2}?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 SCORES = {1: 1.0, 2: 0.95, 3: 0.8, 4: 0.5}
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
-    """(id, priority, label, keyword, pattern), in order."""
+    """(id, priority, label, keyword, pattern), in order; none twice."""
     out: list[tuple[int, str, str, str]] = []
     licence = r" licen[cs]e"
     for stem, name, versions, key, tag in FAMILIES:
         for v in versions:
             label, number = f"{stem}-{v.replace(' ', '.').removesuffix('.0')}", v.removesuffix(" 0") + (r"(?: 0)?" if v.endswith(" 0") or " " not in v else "")
             version = rf"(?: version| v)? ?{number}(?! [0-9])"
+            named = rf"(?:{name})(?:{licence}{version}|{version}{licence})" if stem in COMMON_NAMES else rf"(?:{name})(?:{licence})?{version}"
             out += [
-                (1, label, "spdx", rf"spdx licen[cs]e identifier {tag} {number}(?! [0-9])(?: only| or later)?"),
+                (1, label, f"identifier {tag}", rf"spdx licen[cs]e identifier {tag} {number}(?! [0-9])(?: only| or later)?"),
                 (2, label, key, rf"{GRANT}(?:{name})(?:{licence})?{version}(?: or (?:any )?later(?: version)?)?"),
-                (3, label, key, rf"(?:{name})(?:{licence})?{version}"),
+                (3, label, key, named),
             ]
         out += [
-            (1, stem, "spdx", rf"spdx licen[cs]e identifier {tag}"),
+            (1, stem, f"identifier {tag}", rf"spdx licen[cs]e identifier {tag}"),
             (2, stem, key, rf"{GRANT}(?:{name}){licence}"),
             (4, stem, key, rf"(?:{name}){licence}"),
         ]
     for label, short, full in COMMONS:
         for v in COMMONS_VERSIONS:
             at = f"{label}-{v.replace(' ', '.')}"
-            out += [(1, at, "spdx", rf"spdx licen[cs]e identifier {short} {v}"), (3, at, "cc by", rf"{short} {v}"), (3, at, "creative commons", rf"creative commons {full} {v}")]
-        out += [(3, label, "cc by", short), (3, label, "creative commons", rf"creative commons {full}(?:{licence})?")]
+            out += [(1, at, f"identifier {short}", rf"spdx licen[cs]e identifier {short} {v}"), (3, at, short, rf"{short} {v}"), (3, at, "creative commons attribution", rf"creative commons {full} {v}")]
+        out += [(3, label, short, short), (3, label, "creative commons attribution", rf"creative commons {full}(?:{licence})?")]
     out += [(priority, label, key, pattern) for label, priority, pattern, key in NOTICES]
-    return [(i, priority, label, key, rf"(?<![^ ])(?:{pattern})(?![^ ])") for i, (priority, label, key, pattern) in enumerate(out)]
+    return [(i, priority, label, key, rf"(?<![^ ])(?:{pattern})(?![^ ])") for i, (priority, label, key, pattern) in enumerate(dict.fromkeys(out))]
+
+
+def gate_pattern() -> str:
+    """One pattern that finds any rule's keyword at a word's start, branched by first letters so that few branches are tried at a place."""
+    by_letter: dict[str, list[str]] = {}
+    for key in sorted({k for _, _, _, keys, _ in rules() for k in keys.split("|")}):
+        same = by_letter.setdefault(key[0], [])
+        if not any(key.startswith(k) for k in same):  # a shorter one finds it too
+            same.append(key)
+    branches = "|".join(f"{letter}(?:{'|'.join(k[1:] for k in keys)})" for letter, keys in by_letter.items())
+    return f"(?:^| )(?:{branches})"
 
 
 def gated_rules() -> list[dict]:
@@ -174,26 +296,27 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, label, priority, first, last of all matches of all rules, before suppression."""
-    groups = gated_rules()
-    table = F.from_json(F.lit(json.dumps(groups)), "array<struct<keys:array<string>,rules:array<struct<id:int,priority:int,label:string,pattern:string>>>>")
+def _places(marked: Column) -> Column:
+    """(first, last) words of the matches in a marked text; null without any."""
+
+    def of(words: Column) -> Column:
+        return F.arrays_zip(_where(words, lambda w: F.startswith(w, F.lit("\x01"))).alias("first"), _where(words, lambda w: F.endswith(w, F.lit("\x02"))).alias("last"))
+
+    return F.when(F.exists(marked, lambda w: F.startswith(w, F.lit("\x01"))), of(marked))
+
+
+def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gated: bool = True) -> DataFrame:
+    """doc_id, text_hash, label, priority, first, last of all matches of all rules, before suppression. gated=False, for tests, runs every rule on every text."""
+    table = F.from_json(F.lit(json.dumps(gated_rules())), "array<struct<keys:array<string>,rules:array<struct<id:int,priority:int,label:string,pattern:string>>>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lower = ascii_lower(F.col("text"))
-    gate = F.lit(False)
-    for word in sorted({k.split(" ")[0] for g in groups for k in g["keys"]}):  # a keyword's first word stands in the raw text too, a number may follow it at once
-        hit = F.contains("lower", F.lit(word))
-        gate = gate | ((hit & F.rlike("lower", F.lit(rf"(?<![0-9a-z]){word}(?![a-z])"))) if len(word) < 4 else hit)  # short ones are common within words
-    gated = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lower.alias("lower")).where(gate)
-    gated = gated.select("doc_id", "text_hash", joined_words(F.col("lower")).alias("norm"))
-    matching = F.filter(table, lambda g: F.exists(g["keys"], lambda k: F.contains("norm", k)))
-    ruled = gated.select("*", F.explode(F.flatten(F.transform(matching, lambda g: g["rules"]))).alias("rule"))
-    ruled = ruled.where(F.regexp_like("norm", F.col("rule.pattern"))).select("doc_id", "text_hash", "rule", _marked(F.col("norm"), F.col("rule.pattern")).alias("words"))
-    first = _where(F.col("words"), lambda w: F.startswith(w, F.lit("\x01")))
-    last = _where(F.col("words"), lambda w: F.endswith(w, F.lit("\x02")))
-    return ruled.select("doc_id", "text_hash", "rule.*", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("at")).select(
-        "doc_id", "text_hash", "id", "priority", "label", F.col("at.first").alias("first"), F.col("at.last").alias("last")
-    )
+    # an array of one element binds the normalised text: it is made once and tested by one pattern, whatever the optimiser moves
+    one = F.array(joined_words(F.col("text")))
+    norm = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.filter(one, lambda n: F.rlike(n, F.lit(gate_pattern()))) if gated else one).alias("norm"))
+    matching = F.filter(table, lambda g: F.exists(g["keys"], lambda k: F.contains("norm", k))) if gated else table
+    ruled = norm.select("doc_id", "text_hash", "norm", F.explode(F.flatten(F.transform(matching, lambda g: g["rules"]))).alias("rule"))
+    marked = F.array(_marked(F.col("norm"), F.col("rule.pattern")))
+    found = ruled.select("doc_id", "text_hash", "rule.id", "rule.priority", "rule.label", F.explode(F.get(F.transform(marked, _places), F.lit(0))).alias("at"))
+    return found.select("doc_id", "text_hash", "id", "priority", "label", F.col("at.first").alias("first"), F.col("at.last").alias("last"))
 
 
 def surviving(found: DataFrame) -> DataFrame:
