@@ -10,12 +10,15 @@ byte; this one is sparse. Anchors are chosen by winnowing: of the k-grams of eve
    equal suffixes send only those of the smallest document; the others are removed on the spot, so a text with thousands of
    copies sends one row a chunk.
 3. Range partitions: splitters sampled from the leading k bytes of suffixes deal them into buckets. A bucket is sorted by Spark
-   and then, run by run, by a multikey sort (8-byte tokens, ties only are refined by the next token); neighbours of equal leading
-   k bytes are compared on every window through the anchor. Splitters fall between different leading k-grams, and every window
-   that holds the anchor starts within its k-gram's run, so no comparison crosses a boundary unseen; a run split over two Arrow
-   batches is carried over to the next.
+   and then, run by run, by multikey quicksort (8-byte tokens: less, equal, greater than a pivot; the equal part goes on with the
+   next token); suffixes of equal leading k bytes are compared on every window through the anchor. Most splitters fall between
+   different leading k-grams. Where a k-gram is so frequent that splitters fall inside its run (or a run outgrows a task's bound),
+   the run is cut: its suffixes are dealt by their whole context over all buckets, each part settles equal contexts by itself,
+   and what remains is compared across the cuts: (window digest, smallest id) pairs are aggregated and joined back.
 4. Removed intervals are grouped by document and joined to its bytes.
 
+The number of candidate buckets follows the input's bytes, so that a bucket's hashes fit a task at any size.
+
 The candidate set is broadcast only up to broadcast_bytes (checked); beyond, candidates reach their documents by a join.
 
 Cases: null text counts as empty: n_bytes 0 and the digest of nothing. Texts shorter than span bytes lose nothing. Equal texts:
@@ -34,7 +37,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import checkpointed, shuffle_partitions
+from helixspark.llm.common import checkpointed, lookup_join, map_frames, shuffle_partitions
 
 _B = np.uint64(0x100000001B3)
 _LAST = np.iinfo(np.int64).max
@@ -107,7 +110,8 @@ def _chunks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[pd.Da
 
 
 def _ids(rows: pd.DataFrame) -> np.ndarray:
-    return rows["doc_id"].fillna(_LAST).astype("int64").to_numpy()
+    """The ids of a frame of nullable integers; null is the last."""
+    return rows["doc_id"].astype("Int64").fillna(_LAST).to_numpy(np.int64)
 
 
 def shared_hashes(docs: DataFrame, span: int, k: int, buckets: int) -> DataFrame:
@@ -147,28 +151,30 @@ def shared_hashes(docs: DataFrame, span: int, k: int, buckets: int) -> DataFrame
         bucket = int(group["bucket"].iloc[0])
         return pd.DataFrame({"bucket": [bucket], "found": [((found << np.uint64(16)) | np.uint64(bucket)).tobytes()]})
 
-    packed = docs.mapInPandas(pack, "bucket int, once binary, twice binary")
+    packed = map_frames(docs, pack, "bucket int, once binary, twice binary")
     return packed.groupBy("bucket").applyInPandas(meet, "bucket int, found binary")
 
 
-def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """The order of byte rows: sorted by their first 8-byte token, then only ties by the next token, and so on."""
+def multikey_order(rows: np.ndarray, small: int = 64) -> np.ndarray:
+    """The order of byte rows by multikey quicksort over 8-byte tokens; parts of at most `small` rows are sorted directly."""
     pad = -rows.shape[1] % 8
     tokens = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    order = np.argsort(tokens[:, 0], kind="stable")
-    group = np.cumsum(np.r_[False, tokens[order[1:], 0] != tokens[order[:-1], 0]]) if len(order) else order
-    for t in range(1, tokens.shape[1]):
-        tied = np.zeros(len(order), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        inner = np.lexsort((tokens[order[at], t], group[at]))
-        order[at] = order[at][inner]
-        new = np.r_[True, (group[1:] != group[:-1]) | (tokens[order[1:], t] != tokens[order[:-1], t])]
-        group = np.cumsum(new)
+    order, depth = np.arange(len(rows)), tokens.shape[1]
+    todo = [(0, len(rows), 0)]
+    while todo:
+        lo, hi, d = todo.pop()
+        if hi - lo < 2 or d == depth:
+            continue
+        part = order[lo:hi]
+        if len(part) <= small:
+            order[lo:hi] = part[np.lexsort(tokens[part, d:].T[::-1])]
+            continue
+        key = tokens[part, d]
+        pivot = np.sort(key[:: max(1, len(key) // 31)])[len(key[:: max(1, len(key) // 31)]) // 2]
+        less, more = key < pivot, key > pivot
+        a, b = int(less.sum()), len(part) - int(more.sum())
+        order[lo:hi] = np.concatenate([part[less], part[~less & ~more], part[more]])
+        todo += [(lo, lo + a, d), (lo + a, lo + b, d + 1), (lo + b, hi, d)]
     return order
 
 
@@ -177,58 +183,87 @@ def _windows(left: np.ndarray, right: np.ndarray, span: int, k: int) -> tuple[np
     return np.maximum(0, span - right), np.minimum(span - k, left)
 
 
-def compare_run(ctx: np.ndarray, ids: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes whose leading k-grams are complete here: (id, start, stop) of what has a window in a smaller document.
+class Run:
+    """Sorted suffixes, reduced to their distinct contexts.
 
-    A suffix is the bytes (left, right, before, from the anchor on), the latter two padded with zeros.
+    A suffix is the bytes (left, right, before, from the anchor on), the latter two padded with zeros. A context's smallest
+    document stands for it; all others lose every window of it.
     """
-    back = span - k
-    order = multikey_order(np.hstack([ctx[:, 2 + back :], ctx[:, 2 : 2 + back], ctx[:, :2]]))
-    ctx, ids, at = ctx[order], ids[order], at[order]
-    body = ctx[:, 2:]
-    new = np.r_[True, (ctx[1:] != ctx[:-1]).any(axis=1)]
-    which = np.cumsum(new) - 1
-    smallest = np.minimum.reduceat(ids, np.flatnonzero(new))
-    ctx, body = ctx[new], body[new]
-    lo, hi = _windows(ctx[:, 0].astype(np.int64), ctx[:, 1].astype(np.int64), span, k)
-    gram = body[:, back : back + k]
-    head = np.r_[True, (gram[1:] != gram[:-1]).any(axis=1)]
-    run = np.cumsum(head) - 1
-    several = np.bincount(run)[run] > 1
-    u = np.flatnonzero(several)
-    mask = np.zeros((len(ctx), back + 1), bool)
-    if len(u):
-        x = body[u].astype(np.uint64) + np.uint64(1)
-        h = np.zeros(len(u), np.uint64)
-        for t in range(span):
-            h = h * _B + x[:, t]
-        top = np.uint64(pow(int(_B), span, 1 << 64))
-        for j in range(back, -1, -1):  # the window with j bytes before the anchor starts at back - j
-            ok = np.flatnonzero((lo[u] <= j) & (j <= hi[u]))
+
+    def __init__(self, ctx: np.ndarray, ids: np.ndarray, at: np.ndarray, span: int, k: int):
+        self.span, self.k, self.back = span, k, span - k
+        order = multikey_order(np.hstack([ctx[:, 2 + self.back :], ctx[:, 2 : 2 + self.back], ctx[:, :2]]))
+        ctx, self.ids, self.at = ctx[order], ids[order], at[order]
+        new = np.r_[True, (ctx[1:] != ctx[:-1]).any(axis=1)]
+        self.which = np.cumsum(new) - 1
+        self.smallest = np.minimum.reduceat(self.ids, np.flatnonzero(new))
+        self.ctx = ctx[new]
+        self.lo, self.hi = _windows(self.ctx[:, 0].astype(np.int64), self.ctx[:, 1].astype(np.int64), span, k)
+        self.full = self.ids > self.smallest[self.which]
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, stop) of the suffixes whose context a smaller document has."""
+        f = np.flatnonzero(self.full)
+        return self.ids[f], self.at[f] - self.hi[self.which[f]], self.at[f] - self.lo[self.which[f]] + self.span
+
+    def windows(self, of: np.ndarray, base: np.uint64 = _B) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bytes before the anchor, places in `of` of the contexts that have such a window, its digests), from the most bytes down."""
+        x = self.ctx[of, 2:].astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(of), np.uint64)
+        for t in range(self.span):
+            h = h * base + x[:, t]
+        top = np.uint64(pow(int(base), self.span, 1 << 64))
+        for j in range(self.back, -1, -1):  # the window with j bytes before the anchor starts at back - j
+            ok = np.flatnonzero((self.lo[of] <= j) & (j <= self.hi[of]))
             if len(ok):
-                _, inverse = np.unique(_mix(h[ok]), return_inverse=True)
-                least = np.full(inverse.max() + 1, _LAST, np.int64)
-                np.minimum.at(least, inverse, smallest[u[ok]])
-                mask[u[ok], j] = least[inverse] < smallest[u[ok]]
+                yield j, ok, _mix(h[ok])
             if j:
-                h = h * _B + x[:, span + back - j] - top * x[:, back - j]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    full = ids > smallest[which]
-    f = np.flatnonzero(full)
-    out.append((ids[f], at[f] - hi[which[f]], at[f] - lo[which[f]] + span))
-    rest = np.flatnonzero(~full & mask.any(axis=1)[which])
-    m = mask[which[rest]]
-    edge = np.diff(np.pad(m.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    r0, j0 = np.nonzero(edge == 1)
-    _, j1 = np.nonzero(edge == -1)  # runs of windows j0 .. j1 - 1
-    out.append((ids[rest[r0]], at[rest[r0]] - (j1 - 1), at[rest[r0]] - j0 + span))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, known) -> DataFrame:
+                h = h * base + x[:, self.span + self.back - j] - top * x[:, self.back - j]
+
+    def compared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, start, stop) of all windows that a smaller document has, if each leading k-gram's suffixes are complete here."""
+        gram = self.ctx[:, 2 + self.back : 2 + self.back + self.k]
+        run = np.cumsum(np.r_[True, (gram[1:] != gram[:-1]).any(axis=1)]) - 1
+        u = np.flatnonzero(np.bincount(run)[run] > 1)
+        mask = np.zeros((len(self.ctx), self.back + 1), bool)
+        for j, ok, digest in self.windows(u) if len(u) else ():
+            _, inverse = np.unique(digest, return_inverse=True)
+            least = np.full(inverse.max() + 1, _LAST, np.int64)
+            np.minimum.at(least, inverse, self.smallest[u[ok]])
+            mask[u[ok], j] = least[inverse] < self.smallest[u[ok]]
+        rest = np.flatnonzero(~self.full & mask.any(axis=1)[self.which])
+        edge = np.diff(np.pad(mask[self.which[rest]].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        r0, j0 = np.nonzero(edge == 1)
+        _, j1 = np.nonzero(edge == -1)  # runs of windows j0 .. j1 - 1
+        part = self.ids[rest[r0]], self.at[rest[r0]] - (j1 - 1), self.at[rest[r0]] - j0 + self.span
+        return tuple(np.concatenate(x) for x in zip(self.settled(), part))
+
+    def open_windows(self) -> pd.DataFrame:
+        """doc_id, start and two digests of each window of each distinct context, for comparison across the cuts of a run."""
+        rest = np.flatnonzero(~self.full)
+        first = np.full(len(self.ctx), -1)
+        out = []
+        for (j, ok, a), (_, _, b) in zip(self.windows(np.arange(len(self.ctx))), self.windows(np.arange(len(self.ctx)), np.uint64(0x9E3779B97F4A7C15))):
+            first[:] = -1
+            first[ok] = np.arange(len(ok))
+            p = first[self.which[rest]]
+            r, p = rest[p >= 0], p[p >= 0]
+            out.append(pd.DataFrame({"doc_id": self.ids[r], "start": (self.at[r] - j).astype(np.int32), "one": a[p].view(np.int64), "two": b[p].view(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "start": [], "one": [], "two": []})
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for t in range(rows.shape[1]):
+        h = h * _B + rows[:, t] + np.uint64(1)
+    return _mix(h)
+
+
+def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, hot: np.ndarray, known, buckets: int) -> DataFrame:
     """bucket, ctx, doc_id, at, stop: candidate suffixes, and with a null ctx intervals that are settled in their chunk.
 
-    known: a broadcast of the sorted candidate hashes, or None if docs has them by row in `shared`.
+    known: a broadcast of the sorted candidate hashes, or None if docs has them by row in `shared`. hot: sorted leading k-grams
+    whose runs are cut; their buckets are negative.
     """
     back, size = span - k, 2 * span - k
 
@@ -243,7 +278,7 @@ def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, known
                 table = np.sort(table)
             if not len(c.at) or not len(table):
                 continue
-            key = (c.hash & ~np.uint64(0xFFFF)) | (c.hash & np.uint64(BUCKETS - 1))
+            key = (c.hash & ~np.uint64(0xFFFF)) | (c.hash & np.uint64(buckets - 1))
             there = np.minimum(np.searchsorted(table, key), len(table) - 1)
             hit = np.flatnonzero(table[there] == key)
             if not len(hit):
@@ -264,6 +299,9 @@ def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, known
             send = owner == least[inverse]
             lead = np.ascontiguousarray(body[:, back : back + k]).view(f"S{k}").ravel()
             bucket = np.searchsorted(splitters, lead, "right").astype(np.int32)
+            if len(hot):  # a run that is cut: dealt by the whole context
+                there = hot[np.minimum(np.searchsorted(hot, lead), len(hot) - 1)] == lead
+                bucket[there] = -1 - (_row_hash(ctx[there]) % np.uint64(len(splitters) + 1)).astype(np.int32)
             lo, hi = _windows(left, right, span, k)
             s, g = np.flatnonzero(send), np.flatnonzero(~send)
             yield pd.DataFrame({"bucket": bucket[s], "ctx": [ctx[i].tobytes() for i in s], "doc_id": owner[s], "at": at[s].astype(np.int32), "stop": np.int32(0)})
@@ -271,11 +309,13 @@ def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, known
                 d, a, z = merged_intervals(owner[g], at[g] - hi[g], at[g] - lo[g] + span)
                 yield pd.DataFrame({"bucket": (d % 1009).astype(np.int32), "ctx": None, "doc_id": d, "at": a.astype(np.int32), "stop": z.astype(np.int32)})
 
-    return docs.mapInPandas(run, "bucket int, ctx binary, doc_id long, at int, stop int")
+    return map_frames(docs, run, "bucket int, ctx binary, doc_id long, at int, stop int")
 
 
 def merged_intervals(d: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of each id, those that touch united."""
+    if not len(d):
+        return d, start, stop
     order = np.lexsort((start, d))
     d, start, stop = d[order], start[order], stop[order]
     shift = (np.cumsum(np.r_[False, d[1:] != d[:-1]])).astype(np.int64) << 33  # one axis for all ids
@@ -284,7 +324,7 @@ def merged_intervals(d: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tupl
     return d[new], start[new], (reach - shift)[np.r_[new[1:], len(d)] - 1]
 
 
-def sampled_leads(docs: DataFrame, span: int, k: int, documents: int = 500, each: int = 256) -> np.ndarray:
+def sampled_leads(docs: DataFrame, n_docs: int, span: int, k: int, documents: int = 500, each: int = 256) -> np.ndarray:
     """Sorted leading k-grams of about documents * each anchors: documents drawn from all rows, anchors spread over their whole texts."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,20 +334,24 @@ def sampled_leads(docs: DataFrame, span: int, k: int, documents: int = 500, each
                 at = c.at[np.unique(np.linspace(0, len(c.at) - 1, min(len(c.at), each * len(texts))).astype(int))]
                 yield pd.DataFrame({"lead": [g.tobytes() for g in sliding_window_view(c.x, k)[at]]})
 
-    some = docs.sample(min(1.0, documents / max(1, docs.count())), seed=4)
-    found = [bytes(r["lead"]) for r in some.mapInPandas(pick, "lead binary").collect()]
+    some = docs.sample(min(1.0, documents / max(1, n_docs)), seed=4)
+    found = [bytes(r["lead"]) for r in map_frames(some, pick, "lead binary").collect()]
     return np.sort(np.array(found, f"S{k}"))
 
 
-#: Buckets of the candidate search; a power of two up to 65536. A bucket gets as many rows as there are chunks.
-BUCKETS = 1024
+#: Bytes of packed hashes that a bucket of the candidate search gets at most, about.
+BUCKET_BYTES = 8 << 20
+#: Suffixes that a task of the comparison holds before it sorts them; a longer run of one k-gram is cut.
+HELD = 60_000
 
 
-def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int) -> DataFrame:
+def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int, held_rows: int = HELD) -> DataFrame:
     """doc_id, start, stop; docs has doc_id and text."""
     spark = docs.sparkSession
     back = span - k
-    found = checkpointed(shared_hashes(docs, span, k, BUCKETS))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = 1 << max(6, (int(n_bytes * 12 / (span - k + 2)) // BUCKET_BYTES).bit_length())  # 2 / (span - k + 2) anchors a byte, 6 bytes each
+    found = checkpointed(shared_hashes(docs, span, k, buckets))
     total = found.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0]
     if total <= broadcast_bytes:
         parts = [r["found"] for r in found.select("found").toLocalIterator()]
@@ -324,56 +368,87 @@ def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int)
         def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part, texts in _chunks(batches, 2 << 20):
                 c = Chunk(texts, span, k)
-                key = (c.hash & ~np.uint64(0xFFFF)) | (c.hash & np.uint64(BUCKETS - 1))
-                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[c.text].to_numpy(), "key": key.view(np.int64)}).drop_duplicates()
+                key = (c.hash & ~np.uint64(0xFFFF)) | (c.hash & np.uint64(buckets - 1))
+                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[c.text].array, "key": key.view(np.int64)}).drop_duplicates()
 
-        keyed = docs.mapInPandas(anchors, "doc_id long, key long").join(found.mapInPandas(listed, "key long"), "key", "left_semi")
+        keyed = map_frames(docs, anchors, "doc_id long, key long").join(found.mapInPandas(listed, "key long"), "key", "left_semi")
         shared = keyed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("shared"))
         rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "shared")
 
-    leads = sampled_leads(docs, span, k)
+    leads = sampled_leads(docs, n_docs, span, k)
     partitions = shuffle_partitions(spark)
     splitters = leads[np.linspace(0, len(leads) - 1, 8 * partitions).astype(int)] if len(leads) else leads
+    hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
+        cutting = b""  # the k-gram of a run that outgrew the task's bound
+
+        def packed(*columns: np.ndarray | None) -> pd.DataFrame:  # a row of arrays: the checkpoint stays small
+            columns = [None if c is None else c.to_numpy(np.int64) if isinstance(c, pd.Series) else c for c in columns]
+            return pd.DataFrame([columns], columns=["ids", "starts", "stops", "one", "two"])
+
+        def intervals(d: np.ndarray, a: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+            d, a, z = merged_intervals(d, a, z)
+            return packed(d, a, z, None, None)
 
-        def settle(part: tuple) -> pd.DataFrame:
-            d, a, z = merged_intervals(*compare_run(*part, span, k))
-            return pd.DataFrame({"doc_id": d, "start": a.astype(np.int32), "stop": z.astype(np.int32)})
+        def settle(part: tuple, cut: bool) -> Iterator[pd.DataFrame]:
+            run = Run(*part, span, k)
+            yield intervals(*(run.settled() if cut else run.compared()))
+            if cut:
+                w = run.open_windows()
+                yield packed(w["doc_id"], w["start"], None, w["one"], w["two"])
 
         for b in batches:
-            settled = b["ctx"].isna()
-            if settled.any():
-                yield b.loc[settled, ["doc_id", "at", "stop"]].rename(columns={"at": "start"})
-            b = b[~settled]
-            if not len(b):
-                continue
-            ctx = np.frombuffer(b"".join(b["ctx"]), np.uint8).reshape(len(b), -1)
-            held.append((ctx, b["doc_id"].to_numpy(), b["at"].to_numpy().astype(np.int64)))
-            waiting += len(b)
-            if waiting >= 60_000:
+            done = b["ctx"].isna()
+            if done.any():
+                yield packed(b["doc_id"][done], b["at"][done], b["stop"][done], None, None)
+            for cut, rows in b[~done].groupby(b["bucket"] < 0, sort=False):
+                part = np.frombuffer(b"".join(rows["ctx"]), np.uint8).reshape(len(rows), -1), rows["doc_id"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+                if cut:
+                    yield from settle(part, True)
+                    continue
+                held.append(part)
+                waiting += len(rows)
+            if waiting >= held_rows:
                 ctx, ids, at = (np.concatenate(x) for x in zip(*held))
                 gram = ctx[:, 2 + back : 2 + back + k]
-                heads = np.flatnonzero((gram[1:] != gram[:-1]).any(axis=1)) + 1
-                if len(heads):  # the last k-gram may go on in the next batch
-                    cut = heads[-1]
-                    yield settle((ctx[:cut], ids[:cut], at[:cut]))
-                    held, waiting = [(ctx[cut:], ids[cut:], at[cut:])], len(ctx) - cut
-                else:
-                    held = [(ctx, ids, at)]
+                heads = np.r_[0, np.flatnonzero((gram[1:] != gram[:-1]).any(axis=1)) + 1]
+                if gram[0].tobytes() == cutting:  # the rest of the cut run
+                    stop = heads[1] if len(heads) > 1 else len(ctx)
+                    yield from settle((ctx[:stop], ids[:stop], at[:stop]), True)
+                    ctx, ids, at, heads = ctx[stop:], ids[stop:], at[stop:], heads[1:] - stop
+                if len(heads) > 1:  # the last k-gram may go on in the next batch
+                    yield from settle((ctx[: heads[-1]], ids[: heads[-1]], at[: heads[-1]]), False)
+                    ctx, ids, at = ctx[heads[-1] :], ids[heads[-1] :], at[heads[-1] :]
+                if len(ctx) >= held_rows:
+                    cutting = ctx[0, 2 + back : 2 + back + k].tobytes()
+                    yield from settle((ctx, ids, at), True)
+                    ctx, ids, at = ctx[:0], ids[:0], at[:0]
+                held, waiting = [(ctx, ids, at)], len(ctx)
         if waiting:
-            yield settle(tuple(np.concatenate(x) for x in zip(*held)))
-
-    dealt = suffix_rows(rows, span, k, splitters, known).repartition(partitions, "bucket").sortWithinPartitions(F.substring("ctx", 3 + back, k))
-    return dealt.mapInPandas(compare, "doc_id long, start int, stop int")
-
-
-def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            ctx, ids, at = (np.concatenate(x) for x in zip(*held))
+            same = (ctx[:, 2 + back : 2 + back + k] == np.frombuffer(cutting.ljust(k), np.uint8)).all(axis=1) if cutting else np.zeros(len(ctx), bool)
+            for cut, of in ((True, same), (False, ~same)):
+                if of.any():
+                    yield from settle((ctx[of], ids[of], at[of]), cut)
+
+    dealt = suffix_rows(rows, span, k, splitters, hot, known, buckets).repartition(partitions, "bucket").sortWithinPartitions(F.col("bucket") >= 0, F.substring("ctx", 3 + back, k))
+    compared = checkpointed(map_frames(dealt, compare, "ids array<long>, starts array<int>, stops array<int>, one array<long>, two array<long>"))
+    settled = compared.where("one IS NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("starts").alias("start"), F.col("stops").alias("stop"))))
+    across = compared.where("one IS NOT NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("starts").alias("start"), "one", "two")))
+    if across.isEmpty():
+        return settled
+    owners = across.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
+    late = lookup_join(across, owners, ["one", "two"], "inner", F.struct("doc_id", "start")).where("least < doc_id")
+    return settled.unionByName(late.select("doc_id", "start", (F.col("start") + span).alias("stop")))
+
+
+def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes: int = 64 << 20, held_rows: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans [(start, stop)] in bytes, kept (binary), one row for each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_intervals(rows, span, k, broadcast_bytes).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    gone = removed_intervals(rows, span, k, broadcast_bytes, held_rows).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     joined = rows.join(gone, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id"), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,10 +463,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
                 out.append((i, len(raw), len(raw) - len(kept), len(spans), [{"start": a, "stop": z} for a, z in spans], kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>, kept binary")
+    return map_frames(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
 def brute_force(texts: dict[int, bytes], span: int = 50) -> dict[int, list[tuple[int, int]]]:
