@@ -4,10 +4,9 @@ Counts (words are runs without space and \x09-\x0D): words, code points in words
 windows that occur twice or more. A text with fewer than min_words words, or more than half of them in repeated windows, fails.
 
 Line frequency: lines are normalised (ASCII lower case, runs of white space to one space, trimmed, digits to 0) and hashed with
-their host (the source). For each host the distinct documents of a line are counted, where documents with equal texts count once
-(their lines are counted at one representative), by partial aggregates before the shuffle. A line in more than
-max(min_docs, share * documents of its host) documents is removed, and a document that keeps less than min_left of its words is
-rejected. Lines over the limit are few and are joined broadcast only after their count was checked, else salted. clean_texts and
+their host (the source). For each host the distinct documents of a line are counted, by partial aggregates before the shuffle.
+A line in more than max(min_docs, share * documents of its host) documents is removed (min_docs, a few, only keeps a line that two
+or three documents of a tiny host share), and a document that keeps less than min_left of its words is rejected. Lines over the limit are few and are joined broadcast only after their count was checked, else salted. clean_texts and
 drop_rejected give the texts themselves without these lines; the counts and the verdict are those of the texts as given.
 
 Cases: null text is an empty one (no words, fails the base rules). A null source is a host of its own. Rows that repeat an id
@@ -84,17 +83,15 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 def frequent_lines(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
     """Keys of the lines over the limit of their host."""
-    texts = keyed.groupBy("host", "text_hash").agg(F.min("doc_id").alias("first_id"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    pairs = keyed.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    # a partial aggregate removes the copies inside a task, the exchange on (key, text) those across tasks
-    distinct = pairs.select("key", "text_hash", F.xxhash64(F.col("host").isNull(), F.col("host")).alias("host_key")).distinct()
-    counts = distinct.groupBy("key").agg(F.count("*").alias("in_docs"), F.min("host_key").alias("host_key")).where(F.col("in_docs") > min_docs)
-    limits = hosts.select(F.xxhash64(F.col("host").isNull(), F.col("host")).alias("host_key"), (F.col("docs") * share).alias("limit"))
+    host_key, document = F.xxhash64(F.col("host").isNull(), F.col("host")).alias("host_key"), F.xxhash64("doc_id", "text_hash").alias("document")
+    limits = keyed.select(host_key, document).distinct().groupBy("host_key").agg((F.count("*") * share).alias("limit"))
+    pairs = keyed.select(host_key, document, F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    # rows that repeat a document fall together; then a line's documents are counted by partial aggregates
+    counts = pairs.distinct().groupBy("key").agg(F.count("*").alias("in_docs"), F.min("host_key").alias("host_key")).where(F.col("in_docs") > min_docs)
     return counts.join(limits, "host_key").where(F.col("in_docs") > F.col("limit")).select("key")
 
 
-def lines_over_limit(docs: DataFrame, min_docs: int = 100, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def lines_over_limit(docs: DataFrame, min_docs: int = 5, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """_id, _hash, removed_words and removed_lines (sorted places among all lines), one row for each document that has lines over the limit."""
     keyed = line_keys(docs, id_col, text_col, host_col)
     over = frequent_lines(keyed, min_docs, share)
@@ -105,7 +102,7 @@ def lines_over_limit(docs: DataFrame, min_docs: int = 100, share: float = 0.02,
     return removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed_words", "removed_lines")
 
 
-def judged(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judged(docs: DataFrame, min_words: int = 50, min_docs: int = 5, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The columns of quality_rules and removed_lines (null without any)."""
     base = checkpointed(base_counts(docs, id_col, text_col, host_col))  # small rows; no filter on them can repeat the counting
     removed = lines_over_limit(docs, min_docs, share, id_col, text_col, host_col)
@@ -118,7 +115,7 @@ def judged(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: flo
     )
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, min_docs: int = 100, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, min_docs: int = 5, share: float = 0.02, min_left: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed, removed_words (in lines over the limit) and kept, one row for each row of docs."""
     return judged(docs, min_words, min_docs, share, min_left, id_col, text_col, host_col).drop("removed_lines")
 
@@ -155,7 +152,6 @@ def drop_rejected(docs: DataFrame, **rules) -> DataFrame:
     return _cleaned(docs, kept.dropDuplicates(["_id", "_hash"]), "inner")
 
 
-
 ORACLE = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -167,9 +163,9 @@ cov AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM rep, (SELECT unnest([0, 1
 norm AS (SELECT doc_id, source, text, generate_subscripts(l, 1) AS ln, unnest(l) AS line FROM (SELECT doc_id, source, text,
   string_split(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), chr(10)) AS l FROM t)),
 trimmed AS (SELECT doc_id, source, text, ln, trim(line, ' ') AS line FROM norm WHERE trim(line, ' ') <> ''),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM t GROUP BY source),
-over_limit AS (SELECT x.source, x.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM trimmed GROUP BY source, line) x
-  JOIN hosts h ON x.source IS NOT DISTINCT FROM h.source WHERE n > 100 AND n > 0.02 * docs),
+hosts AS (SELECT source, count(*) AS docs FROM t GROUP BY source),
+over_limit AS (SELECT x.source, x.line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM trimmed GROUP BY source, line) x
+  JOIN hosts h ON x.source IS NOT DISTINCT FROM h.source WHERE n > 5 AND n > 0.02 * docs),
 gone AS (SELECT x.doc_id, sum(length(x.line) - length(replace(x.line, ' ', '')) + 1) AS n FROM trimmed x
   JOIN over_limit o ON x.line = o.line AND x.source IS NOT DISTINCT FROM o.source GROUP BY x.doc_id),
 counts AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
