@@ -9,7 +9,8 @@ r"""Operator 2, HTML extraction: consensus host paths.
 
 The text: character references decoded, white space inside a block one space, blocks in page order joined by one newline.
 Never part of it: head, script, style, forms, navigation, header, footer, aside, comments and whatever a class, id or role names
-as a menu, notice, advert, sidebar, reader comments and the like.
+as a menu, notice, advert, sidebar, reader comments and the like (but a container so named stays if it wraps the article and half of the
+page's text: a layout class).
 
 Cases: null html counts as empty and gives an empty text. A null url, or one without a host, is the host ''. Broken or cut
 markup is read as far as it goes. Repeated rows give equal rows, extra columns are ignored, an empty table gives no rows. Hosts'
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import lookup_join
+from helixspark.llm.common import lookup_join, map_frames
 
 #: Comments, declarations, tags, a tag cut off by the end of the page, text.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[a-zA-Z/!][^>]*\Z|([^<]+|<)""", re.S)
@@ -34,8 +35,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
-SKIP = frozenset("head nav header footer aside form button select option fieldset label dialog menu object audio video canvas".split()) | RAW
+RAW = frozenset("script style textarea title iframe xmp".split())
+SKIP = frozenset("head nav header footer aside form button select option fieldset label dialog menu object audio video canvas noscript template svg".split()) | RAW
 BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div main section td".split())
 #: Elements that end an open paragraph; and pairs in which a new element ends an open one of the same kind.
@@ -48,16 +49,23 @@ _UNWANTED = re.compile(
 )
 
 
+#: Of these the words that never stand on a wrapper of the article; an element named by others is kept if it wraps an article that has
+#: at least half of the page's text (a layout class such as has-sidebar or page-header-fixed).
+_NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|related|recommended|cookies?|consent|gdpr|newsletter|popup|modal|overlay|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(container paths from the root, text, characters in links) of each text block outside unwanted elements, in page order."""
-    stack: list[tuple[str, str | None, bool]] = []  # tag, generalised name if a container, unwanted
+    stack: list[tuple[str, str | None, bool, int]] = []  # tag, generalised name if a container, unwanted, number if its class may be a layout's
     bad = links = linked = 0
     parts: list[str] = []
     out: list[tuple[tuple[str, ...], str, int]] = []
+    doubtful: list[tuple[int, ...]] = []  # a block's elements that are unwanted unless they wrap the article
+    wraps: dict[int, bool] = {}
     raw = ""
 
     def flush() -> None:
@@ -65,13 +73,14 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((tuple(n for _, n, _ in stack if n), text, linked))
+                out.append((tuple(n for _, n, _, _ in stack if n), text, linked))
+                doubtful.append(tuple(d for *_, d in stack if d))
             parts.clear()
             linked = 0
 
     def pop() -> None:
         nonlocal bad, links
-        tag, _, unwanted = stack.pop()
+        tag, _, unwanted, _ = stack.pop()
         bad -= unwanted
         links -= tag == "a"
 
@@ -93,7 +102,7 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag == "hr":
                     flush()
             elif closing:
-                if any(tag == t for t, _, _ in stack):
+                if any(tag == t for t, *_ in stack):
                     if tag in BLOCK or tag in SKIP:
                         flush()
                     while stack[-1][0] != tag:
@@ -106,24 +115,37 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 block = tag in BLOCK or tag in SKIP
                 if block:
                     flush()
-                    if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
+                    if tag in CLOSES_P and any(t == "p" for t, *_ in stack):
                         while stack[-1][0] != "p":
                             pop()
                         pop()
                     if stack and stack[-1][0] in SAME.get(tag, ()):
                         pop()
-                name, unwanted = None, tag in SKIP
+                name, unwanted, doubt = None, tag in SKIP, 0
                 if block or attributes:
                     marks = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
                     if tag not in ("html", "body", "article", "main") and marks and not unwanted:
                         unwanted = any(_UNWANTED.search(v) for v in marks.values())
+                        if unwanted and tag in CONTAINER and not any(_NEVER.search(v) for v in marks.values()):
+                            unwanted, doubt = False, len(wraps) + 1
+                            wraps[doubt] = False
+                    elif tag in ("article", "main") and not any(_UNWANTED.search(v) for v in marks.values()) and not bad:
+                        wraps.update({d: True for *_, d in stack if d})
                     if tag in CONTAINER:
                         first = marks.get("class", "").split()[:1]
                         name = _DIGITS.sub("0", ".".join([tag, *first]))
-                stack.append((tag, name, unwanted))
+                stack.append((tag, name, unwanted, doubt))
                 bad += unwanted
                 links += tag == "a"
     flush()
+    if wraps:
+        size = {d: 0 for d in wraps}
+        for (_, text, _), ds in zip(out, doubtful):
+            for d in ds:
+                size[d] += len(text)
+        whole = sum(len(text) for _, text, _ in out)
+        gone = {d for d in wraps if not wraps[d] or 2 * size[d] < whole}
+        out = [b for b, ds in zip(out, doubtful) if not gone.intersection(ds)]
     return out
 
 
@@ -207,5 +229,5 @@ def extract(pages: DataFrame, min_share: float = 0.2, id_col: str = "page_id", u
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "path_source": origin})
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    out = with_paths.select("page_id", "url", "html", "winners").mapInPandas(run, f"page_id {id_type}, url string, text string, path_source string")
+    out = map_frames(with_paths.select("page_id", "url", "html", "winners"), run, f"page_id {id_type}, url string, text string, path_source string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path_source")
