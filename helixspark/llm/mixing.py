@@ -81,20 +81,20 @@ def training_time(u: Column, klass: Column, schedules: list) -> Column:
     return F.least(solve(F.coalesce(F.get(at, F.lit(0)), F.element_at(pieces, -1))), F.lit(1.0))
 
 
-def curriculum(docs: DataFrame, weights: list[float], cap_multiple: int = 3, schedules: list | None = None, rows_per_range: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and `copies`, an array of (pass, words, position) by pass."""
-    sizes = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+def curriculum(docs: DataFrame, weights: list[float], cap_multiple: int = 3, schedules: list | None = None, rows_per_range: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, text_hash, source, size, source_size, target, taken and `copies`, an array of (pass, words, position) by pass."""
+    sizes = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")))
     bits = min(30, max(0, math.ceil(math.log2(max(1, sizes.count()) / rows_per_range))))
     ordered = sizes.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     ordered = ordered.withColumn("range", F.shiftright(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), 32 - bits))
-    targets = source_targets(sizes, weights, cap_multiple)
+    targets = checkpointed(source_targets(sizes, weights, cap_multiple))
     ranges = ordered.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    ranges = ranges.join(F.broadcast(targets) if bits < 10 else targets, ranges["source"].eqNullSafe(targets["source"])).select(
+    ranges = ranges.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, ranges["source"].eqNullSafe(targets["source"])).select(
         ranges["source"].alias("s"), ranges["range"].alias("r"), "base", "source_size", "klass", "target", "quota"
     )
-    inside = Window.partitionBy("source", "range").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("place", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         ordered.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
@@ -109,7 +109,7 @@ def curriculum(docs: DataFrame, weights: list[float], cap_multiple: int = 3, sch
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(cap_multiple - 1)), copy), lambda c: c["words"] > 0)
     return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"), "copies"
+        "doc_id", "text_hash", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"), "copies"
     )
 
 
@@ -120,11 +120,13 @@ def range_sorted(rows: DataFrame, position: str) -> DataFrame:
 
 def training_order(docs: DataFrame, weights: list[float], cap_multiple: int = 3, schedules: list | None = None) -> DataFrame:
     """The documents themselves, a row for each copy of which at least half is taken, in training order with all columns."""
-    placed = curriculum(docs, weights, cap_multiple, schedules)
-    copies = placed.select(F.col("doc_id").alias("_id"), "size", F.explode("copies").alias("_c")).where("2 * _c.words >= size")
-    copies = copies.groupBy("_id").agg(F.array_distinct(F.collect_list("_c.position")).alias("_at"))
-    named = docs.withColumn("_key", F.col("doc_id")).join(copies, F.col("_key").eqNullSafe(F.col("_id")))
-    out = named.withColumn("_position", F.explode("_at"))
+    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_none")]
+    placed = curriculum(docs, weights, cap_multiple, schedules).select(*key, F.col("text_hash").alias("_hash"), "size", "copies")
+    times = F.transform(F.filter("copies", lambda c: 2 * c["words"] >= F.col("size")), lambda c: c["position"])
+    at = placed.groupBy("_key", "_none", "_hash").agg(F.array_sort(F.collect_list(times)).alias("_at"))  # an entry a row: rows may repeat an id
+    named = docs.select("*", *key, F.xxhash64("text").alias("_hash")).join(at, ["_key", "_none", "_hash"])
+    nth = F.row_number().over(Window.partitionBy("_key", "_none", "_hash").orderBy("_key"))
+    out = named.withColumn("_nth", nth).withColumn("_position", F.explode(F.get("_at", F.col("_nth") - 1)))
     return out.repartitionByRange(shuffle_partitions(docs.sparkSession), "_position").sortWithinPartitions("_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
