@@ -1,10 +1,11 @@
 """Operator 1, exact dedup: tree merge of digest runs (DataFrame functions only).
 
-Every row goes to one of runs = fan_in ** 2 leaf runs by the hash of its id. Each round merges fan_in neighbouring runs: a
-partial aggregate makes the sorted-out run of a task (one row a digest), the exchange brings the same digests of the runs of one
-parent together, and the final aggregate is the multiway merge, which keeps the winning id, the row count and a verification.
-After the last round one run holds every digest once. The verdicts go down the same tree: root to leaf runs on the digest, leaf
-runs to rows on (digest, run), so a digest with a third of all rows is dealt over `runs` keys.
+Every row goes to one of runs = fan_in ** rounds leaf runs by the hash of its id. A leaf run is sorted by digest, one entry a digest.
+The runs are then exchanged in binomial rounds: in round r the runs whose numbers differ only in their last digits (base fan_in) go
+to the one of them that heads the next level's subtree, which merges them as sorted streams (Spark's sort aggregate over the
+exchange's sorted partitions) and keeps per digest the winning id, the row count and a verification. After the last round one run
+holds every digest once. The verdicts go down the same tree: root to leaf runs on the digest, leaf runs to rows on (digest, run),
+so a digest with a third of all rows is dealt over `runs` keys. A run is split over tasks by digest, so no task holds one whole.
 
 Verified: each level compares an independent 64-bit hash and the length of all texts it merges; a SHA-256 collision stops the
 job instead of removing a row.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import ascii_lower, checkpointed
+from helixspark.llm.common import ascii_lower, checkpointed, lookup_join
 
 
 def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,22 +37,29 @@ def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _merge(rows: DataFrame, keys: list[str], keep: str) -> DataFrame:
+def _merged(rows: DataFrame, keep: str) -> DataFrame:
+    """The runs of rows merged: an entry for each (run, digest). The winner is kept in a struct, so Spark merges sorted streams."""
     pick = F.max if keep == "largest" else F.min
     same = F.min("proof") == F.max("proof")
-    return rows.groupBy(*keys).agg(
-        pick("keep_id").alias("keep_id"),
+    merged = rows.groupBy("run", "digest").agg(
+        pick(F.struct(F.col("keep_id").isNotNull() if keep == "largest" else F.col("keep_id").isNull(), "keep_id")).alias("best"),
         F.sum("rows").alias("rows"),
         F.when(same, F.min("proof")).otherwise(F.raise_error(F.lit("two texts share one SHA-256 digest")).cast("long")).alias("proof"),
     )
+    return merged.select("run", "digest", F.col("best.keep_id").alias("keep_id"), "rows", "proof")
 
 
-def exact_groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 4, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs. keep: 'smallest' or 'largest' id of a group."""
-    rows = checkpointed(digests(docs, fan_in * fan_in, id_col, text_col))
-    leaf = _merge(rows.select("digest", "run", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("rows"), "proof"), ["digest", "run"], keep)
-    middle = _merge(leaf.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), ["digest", "run"], keep)
-    root = _merge(middle, ["digest"], keep).select("digest", "keep_id", F.col("rows").alias("group_size"))
+    return _groups(docs, keep, fan_in, rounds, id_col, text_col).drop("proof")
+
+
+def _groups(docs: DataFrame, keep: str, fan_in: int = 4, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = checkpointed(digests(docs, fan_in**rounds, id_col, text_col))
+    leaf = level = _merged(rows.select("digest", "run", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("rows"), "proof"), keep)
+    for _ in range(rounds):
+        level = _merged(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), keep)
+    root = level.select("digest", "keep_id", F.col("rows").alias("group_size"))
     down = leaf.select("digest", "run").join(root, "digest")
     return rows.join(down, ["digest", "run"]).select(
         "doc_id",
@@ -59,17 +67,25 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 16, id_c
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "proof",
     )
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat both id and text, one."""
-    kept = exact_groups(docs, keep, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    marked = docs.withColumn("_id_key", F.col(id_col)).withColumn("_sha_key", sha)
-    stay = marked.join(kept, F.col("_id_key").eqNullSafe(F.col("_id")) & (F.col("_sha_key") == F.col("_sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_sha_key", "_id_key").orderBy("_id_key"))
-    return stay.withColumn("_first", first).where("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns; of rows that repeat both id and text, one.
+
+    Only members of groups of two or more are looked up (broadcast up to a checked count); all other rows stay where they are.
+    """
+    several = _groups(docs, keep, id_col=id_col, text_col=text_col).where("group_size > 1").groupBy("doc_id", "proof").agg(F.max("kept").alias("_kept"))
+    key = [F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), F.col("proof")]
+    lookup = several.select(*[k.alias(n) for k, n in zip(key, ("_id_key", "_none", "_proof"))], "_kept")
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select("*", F.coalesce(F.col(id_col), F.lit(0)).alias("_id_key"), F.col(id_col).isNull().alias("_none"), F.xxhash64(norm, F.octet_length(norm)).alias("_proof"))
+    found = lookup_join(marked, lookup, ["_id_key", "_none", "_proof"], "left", F.col("_proof")).where("coalesce(_kept, true)")
+    grouped = F.col("_kept").isNotNull()
+    first = F.row_number().over(Window.partitionBy("_id_key", "_none", "_proof").orderBy("_proof"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return found.where(~grouped).select(*columns).union(found.where(grouped).withColumn("_first", first).where("_first = 1").select(*columns))
 
 
 ORACLE = """
