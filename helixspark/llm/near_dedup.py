@@ -10,7 +10,7 @@ confirmed on the full sets, and components are formed. The members of buckets th
 further, in groups of equal A keys (a superset of the buckets): a task counts, by postings of shingles, the intersections of the
 members outside the group's largest component with all others, and sends one link for each two components that it joins. Nothing
 is emitted for pairs that don't link, and shingles that no other member has settle most members at once. A group of more than
-`block` members is dealt out as pairs of blocks. Confirmed links of both rounds give the components.
+`block` members, or of more than `load` shingles, is dealt out as pairs of blocks, so a task's memory is bounded by bytes. Confirmed links of both rounds give the components.
 
 Recall: two texts at similarity s meet in no table with a probability of about 2 (1 - s^2)^side (5e-4 at 0.75, 3e-8 at 0.91, for
 side = 10); what meets is decided exactly.
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.llm.common import checkpointed, lookup_join
+from helixspark.llm.common import checkpointed, lookup_join, map_frames
 from helixspark.llm.components import connected_components
 from helixspark.llm.shingles import linked, mixed, shingle_set
 
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, side: int, width: int, id_col: str, text_col: st
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
+    return map_frames(rows, run, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,10 +141,10 @@ def joining_links(ids: np.ndarray, components: np.ndarray, first: np.ndarray, se
     return out
 
 
-def links_across(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
-    """Links between components inside the groups of members (group, doc_id, component)."""
-    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+def links_across(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int, load: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between components inside the groups of members (group, doc_id, component, n_shingles)."""
+    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("weight")).where("low <> high")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / load))).cast("int")
     placed = members.join(groups, "group").withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("home", "other").alias("p"), F.greatest("home", "other").alias("q"), "home", "doc_id", "component").distinct()
@@ -166,16 +166,16 @@ def links_across(members: DataFrame, docs: DataFrame, width: int, percent: int,
     return rows.groupBy("group", "p", "q").applyInPandas(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side: int = 10, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side: int = 10, block: int = 2000, load: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     signed = checkpointed(signatures(docs, side, width, id_col, text_col))
     of_set = ["set_a", "set_b", "n_shingles"]
     classes = checkpointed(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*of_set).agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select(*of_set, F.col("rep").alias("doc_id")), [*of_set, "doc_id"]).select("doc_id", "halves")
+    reps = signed.join(classes.select(*of_set, F.col("rep").alias("doc_id")), [*of_set, "doc_id"]).select("doc_id", "n_shingles", "halves")
 
-    halves = reps.select("doc_id", F.posexplode("halves").alias("slot", "half"))
+    halves = reps.select("doc_id", "n_shingles", F.posexplode("halves").alias("slot", "half"))
     common = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    shared = halves.join(common, "half").groupBy("doc_id").agg(F.collect_set(F.struct("slot", "half")).alias("halves"))
+    shared = halves.join(common, "half").groupBy("doc_id").agg(F.collect_set(F.struct("slot", "half")).alias("halves"), F.first("n_shingles").alias("n_shingles"))
     shared = checkpointed(shared)
     a_side, b_side = F.filter("halves", lambda h: h["slot"] < side), F.filter("halves", lambda h: h["slot"] >= side)
     tables = F.flatten(F.transform(a_side, lambda x: F.transform(b_side, lambda y: F.xxhash64(x["half"], y["half"]))))
@@ -192,9 +192,9 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 75, side:
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     several = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
     open_ids = labelled.join(several, "key").select("doc_id", "component").distinct()
-    members = shared.join(open_ids, "doc_id").select(F.explode(F.filter("halves", lambda h: h["slot"] < side)).alias("h"), "doc_id", "component")
-    members = checkpointed(members.select(F.col("h.half").alias("group"), "doc_id", "component"))
-    late = checkpointed(links_across(members, docs, width, percent, block, id_col, text_col))
+    members = shared.join(open_ids, "doc_id").select(F.explode(F.filter("halves", lambda h: h["slot"] < side)).alias("h"), "doc_id", "component", "n_shingles")
+    members = checkpointed(members.select(F.col("h.half").alias("group"), "doc_id", "component", "n_shingles"))
+    late = checkpointed(links_across(members, docs, width, percent, block, load, id_col, text_col))
     if not late.isEmpty():
         found = connected_components(links.union(late))
 
