@@ -7,17 +7,29 @@ from pyspark.sql import functions as F
 
 #: Severity of consequence terms.
 SEVERITY = {
-    "transcript_ablation": 10, "splice_acceptor_variant": 9, "splice_donor_variant": 9, "stop_gained": 9, "frameshift_variant": 8, "stop_lost": 7,
-    "start_lost": 7, "missense_variant": 5, "inframe_insertion": 5, "inframe_deletion": 5, "splice_region_variant": 4, "synonymous_variant": 2, "intron_variant": 1,
+    "transcript_ablation": 10, "splice_acceptor_variant": 9, "splice_donor_variant": 9, "stop_gained": 9, "frameshift_variant": 8, "stop_lost": 8, "start_lost": 8,
+    "transcript_amplification": 7, "inframe_insertion": 6, "inframe_deletion": 6, "missense_variant": 5, "protein_altering_variant": 5, "splice_region_variant": 4,
+    "incomplete_terminal_codon_variant": 3, "start_retained_variant": 3, "stop_retained_variant": 3, "synonymous_variant": 2, "coding_sequence_variant": 2,
+    "5_prime_UTR_variant": 2, "3_prime_UTR_variant": 2, "non_coding_transcript_exon_variant": 1, "intron_variant": 1, "NMD_transcript_variant": 1,
+    "upstream_gene_variant": 0, "downstream_gene_variant": 0, "intergenic_variant": 0,
 }
-#: Order in which sources are trusted.
-SOURCE_PRIORITY = ["clinvar", "uniprot", "lovd", "gnomad"]
+#: Review tier of the first of these that the status contains; 5 without any.
+REVIEW_TIERS = [
+    ("practice guideline", 1), ("reviewed by expert panel", 1), ("criteria provided, multiple submitters, no conflicts", 2),
+    ("criteria provided, single submitter", 3), ("no assertion criteria provided", 4), ("no classification", 5),
+]
+#: Order in which sources are trusted; all others come after.
+SOURCE_PRIORITY = ["clinvar", "gnomad", "uniprot"]
+#: Consequence patterns.
+LOSS_OF_FUNCTION = "(?i)stop_gained|frameshift|splice_donor|splice_acceptor|start_lost|stop_lost"
+CODING = "(?i)missense|synonymous|stop|frameshift|inframe|splice"
 
 
 def norm_chrom(c: Column) -> Column:
-    """Trimmed, without a leading chr, M as MT, letters upper."""
-    bare = F.upper(F.regexp_replace(F.trim(c), "(?i)^chr", ""))
-    return F.when(bare == "M", "MT").otherwise(bare)
+    """Trimmed, without a leading chr, M as MT, letters upper. A prefix test, no pattern: `c` stands in it few times."""
+    up = F.upper(F.trim(c))
+    bare = F.when(up.startswith("CHR"), F.substring(up, 4, 1 << 20)).otherwise(up)
+    return F.when(up.isin("M", "CHRM"), "MT").otherwise(bare)
 
 
 def clean_allele(a: Column) -> Column:
@@ -37,7 +49,10 @@ def binary_label(sig: Column) -> Column:
 
 def review_tier(status: Column) -> Column:
     low = F.lower(status)
-    return F.when(low.contains("practice guideline"), 1).when(low.contains("expert panel"), 2).when(low.contains("multiple submitters"), 3).when(low.contains("single submitter"), 4).otherwise(5)
+    out = F
+    for text, tier in REVIEW_TIERS:
+        out = out.when(low.contains(text), tier)
+    return out.otherwise(5)
 
 
 def severity(consequence: Column) -> Column:

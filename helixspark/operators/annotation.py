@@ -17,7 +17,8 @@ FLIP_WEIGHTS = {
     ("Uncertain significance", "Pathogenic"): 1.5, ("Uncertain significance", "Likely pathogenic"): 1.0, ("Uncertain significance", "Benign"): 1.5,
     ("Uncertain significance", "Likely benign"): 1.0, ("Pathogenic", "Uncertain significance"): 1.5, ("Benign", "Uncertain significance"): 1.5,
 }
-#: Urgency by flip rate (share of the rows) and the weighted impact that asks for retraining.
+#: Urgency by flip rate (share of the training ids; the first level holds for the weighted impact too) and the weighted
+#: impact that asks for retraining.
 FLIP_LEVELS = [(0.025, "urgent"), (0.010, "retrain"), (0.005, "monitor")]
 IMPACT_RETRAIN = 0.015
 
@@ -48,9 +49,9 @@ def chromosome_class(chrom: Column) -> Column:
 
 
 def inferred_consequence(ref: Column, alt: Column) -> Column:
-    """What the alleles alone tell: length changes by a multiple of three stay in frame."""
-    change = F.length(alt) - F.length(ref)
-    return F.when(change == 0, F.when(F.length(ref) == 1, "missense_variant").otherwise("multi_nucleotide_variant")).when(change % 3 != 0, "frameshift_variant").when(change > 0, "inframe_insertion").otherwise("inframe_deletion")
+    """What the alleles alone tell: a frameshift if one is unknown (?) or one of them is longer than the other's single base, else missense."""
+    r, a = F.length(ref), F.length(alt)
+    return F.when((ref == "?") | (alt == "?") | ((r > 1) & (a == 1)) | ((r == 1) & (a > 1)), "frameshift_variant").otherwise("missense_variant")
 
 
 def protein_key(change: Column) -> Column:
@@ -101,6 +102,17 @@ def tiered_frequency(df: DataFrame, tiers: list[tuple[str, DataFrame]], key: str
     return df.withColumns({"af_source": source.otherwise("default"), "allele_freq": F.coalesce(value, F.lit(default))}).drop(*[f"_{n}" for n, _ in tiers])
 
 
+def tiered_by_source(df: DataFrame, tiers: list[str], key: str = "locus", default: float = 0.0) -> DataFrame:
+    """tiered_frequency where the tiers are other rows of the same table, by source: one exchange by key, no join of the table to itself."""
+    same = Window.partitionBy(key)
+    value, source = F.col("allele_freq"), F.when(F.col("allele_freq").isNotNull(), "own")
+    found = df.withColumns({f"_{t}": F.max(F.when(F.col("source_db") == t, F.col("allele_freq"))).over(same) for t in tiers})
+    for t in tiers:
+        source = source.when(F.col(f"_{t}").isNotNull(), t)
+        value = F.coalesce(value, F.col(f"_{t}"))
+    return found.withColumns({"af_source": source.otherwise("default"), "allele_freq": F.coalesce(value, F.lit(default))}).drop(*[f"_{t}" for t in tiers])
+
+
 def patched(df: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Values of the patch replace those of rows with its key; `patched` tells which."""
     fix = patch.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
@@ -128,16 +140,20 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def flips(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: common and changed ids, flip rate, weighted impact, urgency."""
+def flips(old: DataFrame, new: DataFrame, training: DataFrame, on: tuple[str, ...] = ("variant_id",)) -> DataFrame:
+    """One row: common and changed ids, changed training ids, and, over all training ids (one each), flip rate, weighted impact, urgency."""
     table = F.create_map(*[x for (a, b), w in FLIP_WEIGHTS.items() for x in (F.lit(f"{a}>{b}"), F.lit(w))])
-    both = old.withColumnRenamed("clinical_sig", "_old").join(new.withColumnRenamed("clinical_sig", "_new"), "variant_id")
+    ids = training.select("variant_id").distinct()
+    both = old.select(*on, F.col("clinical_sig").alias("_old")).join(new.select(*on, F.col("clinical_sig").alias("_new")), list(on))
+    both = both.join(ids.withColumn("_train", F.lit(True)), "variant_id", "left")
     changed = F.col("_old") != F.col("_new")
-    weight = F.when(changed, F.coalesce(table[F.concat_ws(">", "_old", "_new")], F.lit(0.5))).otherwise(0.0)
-    one = both.agg(F.count("*").alias("n_common"), F.count_if(changed).alias("n_changed"), F.sum(weight).alias("_w"))
-    rate, impact = F.coalesce(F.try_divide("n_changed", "n_common"), F.lit(0.0)), F.coalesce(F.try_divide("_w", "n_common"), F.lit(0.0))
-    urgency = F.when(rate >= FLIP_LEVELS[0][0], FLIP_LEVELS[0][1]).when((rate >= FLIP_LEVELS[1][0]) | (impact >= IMPACT_RETRAIN), "retrain").when(rate >= FLIP_LEVELS[2][0], "monitor").otherwise("none")
-    return one.select("n_common", "n_changed", F.round(rate, 6).alias("flip_rate"), F.round(impact, 6).alias("weighted_impact"), urgency.alias("urgency"))
+    weight = F.when(changed & F.col("_train"), F.coalesce(table[F.concat_ws(">", "_old", "_new")], F.lit(0.5))).otherwise(0.0)
+    one = both.agg(F.count("*").alias("n_common"), F.count_if(changed).alias("n_changed"), F.count_if(changed & F.col("_train")).alias("n_training_changed"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("_w"))
+    one = one.crossJoin(F.broadcast(ids.agg(F.greatest(F.count("*"), F.lit(1)).alias("_ids"))))  # one row each
+    rate, impact = F.col("n_training_changed") / F.col("_ids"), F.col("_w") / F.col("_ids")
+    top = FLIP_LEVELS[0][0]
+    urgency = F.when((rate >= top) | (impact >= top), "urgent").when((rate >= FLIP_LEVELS[1][0]) | (impact >= IMPACT_RETRAIN), "retrain").when(rate >= FLIP_LEVELS[2][0], "monitor").otherwise("none")
+    return one.select("n_common", "n_changed", "n_training_changed", F.round(rate, 6).alias("flip_rate"), F.round(impact, 6).alias("weighted_impact"), urgency.alias("urgency"))
 
 
 def membership(ids: DataFrame, sets: dict[str, DataFrame], key: str) -> DataFrame:
@@ -160,3 +176,25 @@ def quality_report(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("null", lambda c: F.count_if(F.col(c).isNull())), ("lo", F.min), ("hi", F.max))])
     row = lambda c: F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"null_{c}").alias("n_null"), F.col(f"lo_{c}").cast("string").alias("lowest"), F.col(f"hi_{c}").cast("string").alias("highest"))
     return one.select(F.explode(F.array(*map(row, columns))).alias("r")).select("r.*")
+
+
+#: Words that are never names.
+COMMON_WORDS = ["the", "and", "for", "with", "from", "using", "based", "this", "that", "these", "our", "their", "here", "also", "both", "each", "such", "thus"]
+
+
+def text_relevance(docs: DataFrame, keywords: list[str]) -> DataFrame:
+    """`presence_score`: the share of a quarter of the keywords that occur in title or abstract; `frequency_score`: 0.1 an occurrence, 0.3 of
+    keywords that the title has; both at most 1."""
+    low = docs.withColumns({"_t": F.lower("title"), "_text": F.lower(F.concat_ws(" ", "title", "abstract"))})
+    words = [w.lower() for w in keywords]
+    count = lambda w: (F.length("_text") - F.length(F.replace("_text", F.lit(w), F.lit("")))) / len(w)
+    present = sum((F.contains("_text", F.lit(w)).cast("int") for w in words), F.lit(0))
+    weighted = sum((count(w) * F.when(F.contains("_t", F.lit(w)), 0.3).otherwise(0.1) for w in words), F.lit(0.0))
+    presence = F.least(F.lit(1.0), F.col("n_keywords") / max(len(words) * 0.25, 1))
+    return low.withColumns({"n_keywords": present, "frequency_score": F.round(F.least(F.lit(1.0), weighted), 4)}).withColumn("presence_score", F.round(presence, 4)).drop("_t", "_text")
+
+
+def name_candidates(docs: DataFrame, pattern: str, known: list[str], least: int = 3, most: int = 60) -> DataFrame:
+    """doc_id and name: what the pattern's first group finds in title and abstract, unless known, a common word, too short or too long."""
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(". ", "title", "abstract"), F.lit("(?i)" + pattern), 1))).alias("name"))
+    return found.where(F.length("name").between(least, most) & ~F.lower("name").isin(*[k.lower() for k in known], *COMMON_WORDS) & ~F.col("name").rlike("^[0-9]+$"))

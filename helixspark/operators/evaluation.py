@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Drift actions by population stability index.
 PSI_LEVELS = [(0.25, "retrain"), (0.20, "monitor")]
@@ -44,6 +50,28 @@ def ranking_quality(scored: DataFrame) -> DataFrame:
     return c.agg(F.round(F.sum(F.col("recall_step") * F.col("ppv")), 6).alias("average_precision"), F.round(area, 6).alias("auroc"))
 
 
+def grid_counts(scored: DataFrame, points: int = 1000) -> DataFrame:
+    """threshold, tp, fp, fn, tn at `points` equal steps from 0 to 1 (score >= threshold is positive), from one histogram of at most points + 1 rows."""
+    step = 1.0 / (points - 1)
+    low = F.floor(F.col("score") * (points - 1))
+    k = F.when((low + 1) * step <= F.col("score"), low + 1).when(low * step > F.col("score"), low - 1).otherwise(low)
+    hist = scored.where("score IS NOT NULL").groupBy(F.least(F.lit(points - 1), F.greatest(F.lit(-1), k)).cast("int").alias("k")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    grid = scored.sparkSession.range(-1, points).select(F.col("id").cast("int").alias("k")).join(F.broadcast(hist), "k", "left").fillna(0, ["p", "n"])
+    down, whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("k")), Window.partitionBy(F.lit(0))  # at most points + 1 rows
+    c = grid.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "_p": F.sum("p").over(whole), "_n": F.sum("n").over(whole)}).where("k >= 0")
+    return c.select((F.col("k") * step).alias("threshold"), "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
+
+
+def sensitivity_point(scored: DataFrame, sensitivity: float) -> DataFrame:
+    """One row: the first of 1000 thresholds whose sensitivity is nearest the wanted one, with its rates and counts; none without positives."""
+    c = grid_counts(scored).where("tp + fn > 0").withColumn("s", F.col("tp") / (F.col("tp") + F.col("fn")))
+    best = c.agg(F.min_by(F.struct("*"), F.struct(F.abs(F.col("s") - sensitivity), F.col("threshold"))).alias("b")).where("b IS NOT NULL").select("b.*")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    ppv, npv = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tn"), F.col("tn") + F.col("fn"))
+    return best.select(F.round("threshold", 4).alias("threshold"), F.round("s", 4).alias("sensitivity"), F.round(ratio(F.col("tn"), F.col("tn") + F.col("fp")), 4).alias("specificity"),
+                       F.round(ppv, 4).alias("ppv"), F.round(npv, 4).alias("npv"), F.round(ratio(2 * ppv * F.col("s"), ppv + F.col("s")), 4).alias("f1"), (F.col("tp") + F.col("fp")).alias("n_flagged"), "tp", "fp", "fn", "tn")
+
+
 def operating_points(scored: DataFrame, sensitivity: float, ppv: float) -> DataFrame:
     """The threshold nearest a sensitivity (the highest of equal ones), and the lowest one before the walk down first misses the PPV."""
     c = score_curve(scored)
@@ -119,11 +147,12 @@ def standardised(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumns(scaled).select(*df.columns)
 
 
-def sample_weights(df: DataFrame, reclassified: DataFrame, key: str, decay: float = 0.5, boost: float = 3.0, yearly: float = 0.3) -> DataFrame:
-    """`weight`: confident and right rows count less, reclassified ids get the boost, old ones (days_old) fade; within 0.1 and the boost."""
-    sure = F.abs(F.col("score") - 0.5) * 2 * ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")
+def sample_weights(df: DataFrame, reclassified: DataFrame, key: str, decay: float = 0.5, boost: float = 2.0, yearly: float = 0.3) -> DataFrame:
+    """`weight`: confident (the larger of score and 1 - score) and right rows count less, reclassified ids get the boost as a factor, old
+    ones (days_old; null doesn't fade) fade; within 0.1 and the boost."""
+    sure = F.greatest(F.col("score"), 1 - F.col("score")) * ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")
     out = df.join(reclassified.select(key).distinct().withColumn("_flip", F.lit(True)), key, "left")
-    w = F.when(F.col("_flip"), F.lit(boost)).otherwise(1 - decay * sure) * F.exp(-yearly * F.greatest(F.col("days_old"), F.lit(0)) / 365)
+    w = (1 - decay * sure) * F.when(F.col("_flip"), F.lit(boost)).otherwise(1.0) * F.coalesce(F.exp(-yearly * F.col("days_old") / 365), F.lit(1.0))
     return out.withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(boost), w))).drop("_flip")
 
 
@@ -155,14 +184,40 @@ def feature_drift(df: DataFrame, features: list[str], tag: str, bins: int = 10)
     return parts.join(total, "feature").select("feature", F.round("psi", 6).alias("psi"), F.round("js", 6).alias("js"), F.round(F.col("move") / (F.col("s") + 1e-9), 6).alias("shift"), action.alias("action"))
 
 
+@pandas_udf(DoubleType())
+def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Two-sided p of a 2 x 2 table: the probabilities of all tables with its margins that are no likelier than it.
+
+    Terms further than 40 deviations from the mean are below 1e-300 and left out, so a row's work grows with the deviation only.
+    """
+
+    def one(a: float, b: float, c: float, d: float) -> float:
+        row, column, n = a + b, a + c, a + b + c + d
+        if n <= 0:
+            return 1.0
+        lo, hi, mean = max(0.0, row + column - n), min(row, column), row * column / n
+        reach = 40 * math.sqrt(max(1.0, mean * (1 - row / n) * (1 - column / n))) + 40
+        k = np.arange(max(lo, min(a, math.floor(mean - reach))), min(hi, max(a, math.ceil(mean + reach))) + 1)
+        start = k[0]
+        first = sum(math.lgamma(x + 1) for x in (row, n - row, column, n - column)) - sum(math.lgamma(x + 1) for x in (n, start, row - start, column - start, n - row - column + start))
+        step = np.log((row - k[:-1]) * (column - k[:-1])) - np.log((k[:-1] + 1) * (n - row - column + k[:-1] + 1))
+        p = first + np.concatenate([[0.0], np.cumsum(step)])
+        return float(min(1.0, np.exp(p[p <= p[int(a - start)] + 1e-7]).sum()))
+
+    return pd.Series([one(*x) for x in zip(a, b, c, d)])
+
+
 def association(df: DataFrame, by: str, exposed: Column) -> DataFrame:
-    """2 x 2 counts of label against `exposed` by group: odds ratio (0.5 added to each cell), Cramer's V, Wilson interval of the exposed rate."""
+    """2 x 2 counts of label against `exposed` by group: odds ratio (infinite or NaN at empty cells), exact two-sided p, Cramer's V of the
+    chi-square with continuity correction, Wilson interval of the exposed rate ((0, 0) if none is exposed)."""
     p = F.col("label") == 1
     g = df.groupBy(by).agg(F.count_if(p & exposed).cast("double").alias("a"), F.count_if(~p & exposed).cast("double").alias("b"), F.count_if(p & ~exposed).cast("double").alias("c"), F.count_if(~p & ~exposed).cast("double").alias("d"))
-    v = F.expr("coalesce(abs(a * d - b * c) / nullif(sqrt((a + b) * (c + d) * (a + c) * (b + d)), 0), 0)")
-    out = g.withColumns({"odds_ratio": F.expr("round((a + 0.5D) * (d + 0.5D) / ((b + 0.5D) * (c + 0.5D)), 6)"), "cramers_v": F.round(v, 6), "m": F.expr("a + b"), "z2": F.lit(1.959964 * 1.959964)})
+    n, cross, margins = "(a + b + c + d)", "abs(a * d - b * c)", "((a + b) * (c + d) * (a + c) * (b + d))"
+    v = f"coalesce(sqrt(pow({cross} - least({cross}, {n} / 2), 2) / nullif({margins}, 0)), 0)"
+    odds = "CASE WHEN b * c > 0 THEN a * d / (b * c) WHEN a * d > 0 THEN double('Infinity') ELSE double('NaN') END"
+    out = g.withColumns({"odds_ratio": F.expr(f"round({odds}, 4)"), "p_value": F.round(fisher_exact("a", "b", "c", "d"), 6), "cramers_v": F.expr(f"round({v}, 4)"), "m": F.expr("a + b"), "z2": F.lit(1.959964 * 1.959964)})
     mid, half = "(a / m + z2 / (2 * m)) / (1 + z2 / m)", "sqrt(z2 * (a / m * (1 - a / m) / m + z2 / (4 * m * m))) / (1 + z2 / m)"
-    return out.select(by, "odds_ratio", "cramers_v", *[F.expr(f"CASE WHEN m > 0 THEN round({mid} {sign} {half}, 6) END").alias(n) for sign, n in (("-", "low"), ("+", "high"))])
+    return out.select(by, "odds_ratio", "p_value", "cramers_v", (F.col("p_value") < 0.05).alias("significant"), *[F.expr(f"CASE WHEN m > 0 THEN round({mid} {sign} {half}, 6) ELSE 0.0D END").alias(n) for sign, n in (("-", "low"), ("+", "high"))])
 
 
 def noisy_features(long: DataFrame, limit: float = 1.0, top: int = 5) -> DataFrame:

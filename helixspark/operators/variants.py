@@ -10,19 +10,26 @@ from helixspark.operators.evaluation import running_sums
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Canonical chromosome and alleles; rows without a usable locus go; `locus` is the key across sources."""
-    out = df.withColumns({"chrom": X.norm_chrom(F.col("chrom")), "ref": X.clean_allele(F.col("ref")), "alt": X.clean_allele(F.col("alt"))})
-    out = out.where(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("ref").rlike("^[ACGTN*-]+$") & F.col("alt").rlike("^[ACGTN*-]+$"))
+    """Canonical chromosome and alleles; rows without a usable locus go; `locus` is the key across sources.
+
+    The projections are kept apart by what they compute, and the filter uses each allele once, so that no expression is inlined
+    many times into one generated method (which the JVM then would not compile).
+    """
+    up = df.withColumns({c: F.upper(F.trim(c)) for c in ("chrom", "ref", "alt")})
+    usable = "^(?!NA$|NAN$)[ACGTN*-]+$"
+    out = up.where(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("ref").rlike(usable) & F.col("alt").rlike(usable))
+    out = out.withColumn("chrom", X.norm_chrom(F.col("chrom")))
     return out.withColumn("locus", X.locus(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
 
 
 def with_features(df: DataFrame) -> DataFrame:
     """Allele, consequence and frequency features of normalised variants; no nulls."""
-    ref, alt, af, c = F.length("ref"), F.length("alt"), F.greatest(F.coalesce("allele_freq", F.lit(0.0)), F.lit(0.0)), F.col("consequence")
+    ref, alt, af, c = F.length("ref"), F.length("alt"), F.greatest(F.coalesce("allele_freq", F.lit(0.0)), F.lit(0.0)), F.coalesce("consequence", F.lit(""))
+    flag = lambda pattern: c.rlike(pattern).cast("int")
     return df.withColumns({
-        "af": af, "af_absent": F.col("allele_freq").isNull().cast("int"), "af_rare": (af < 0.01).cast("int"), "log_af": F.round(F.log10(af + 1e-8), 6),
-        "len_diff": F.abs(ref - alt), "is_snv": ((ref == 1) & (alt == 1)).cast("int"), "is_insertion": (alt > ref).cast("int"), "is_deletion": (alt < ref).cast("int"),
-        "severity": X.severity(c), "is_lof": c.rlike("(?i)stop_gained|frameshift|splice_(donor|acceptor)").cast("int"), "is_missense": c.rlike("(?i)missense").cast("int"), "is_splice": c.rlike("(?i)splice").cast("int"),
+        "af": af, "log_af": F.round(F.log10(af + 1e-8), 6), "af_absent": (af == 0).cast("int"), "af_ultra_rare": (af < 0.0001).cast("int"), "af_rare": ((af >= 0.0001) & (af < 0.001)).cast("int"), "af_common": (af >= 0.01).cast("int"),
+        "ref_len": ref, "alt_len": alt, "len_diff": F.abs(ref - alt), "is_snv": ((ref == 1) & (alt == 1)).cast("int"), "is_insertion": (alt > ref).cast("int"), "is_deletion": (alt < ref).cast("int"), "is_indel": (alt != ref).cast("int"),
+        "severity": X.severity(c), "is_lof": flag(X.LOSS_OF_FUNCTION), "is_missense": flag("(?i)missense"), "is_synonymous": flag("(?i)synonymous"), "is_splice": flag("(?i)splice"), "in_coding": flag(X.CODING),
         "codon_number": F.coalesce(X.codon_number(F.col("protein_change")), F.lit(0)), "codon_phase": X.codon_phase(F.col("protein_change")),
     })
 

@@ -20,7 +20,7 @@ def normalized_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_features(V.normalize(S.variants(spark, sf_dir))).select(
-        "locus", "gene_symbol", "af_absent", "af_rare", "len_diff", "is_snv", "is_insertion", "is_deletion", "severity", "is_lof", "is_missense", "is_splice", "codon_number", "codon_phase")
+        "locus", "gene_symbol", "af_absent", "af_ultra_rare", "af_rare", "af_common", "len_diff", "is_snv", "is_insertion", "is_deletion", "severity", "is_lof", "is_missense", "is_synonymous", "is_splice", "in_coding", "codon_number", "codon_phase")
 
 
 def gene_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ n AS (SELECT CASE WHEN c1 = 'M' THEN 'MT' ELSE c1 END AS chrom, pos, r1 AS ref,
   concat_ws(':', CASE WHEN c1 = 'M' THEN 'MT' ELSE c1 END, CAST(pos AS VARCHAR), r1, a1) AS locus
   FROM n1 WHERE r1 NOT IN ('NA', 'NAN', '.', '') AND a1 NOT IN ('NA', 'NAN', '.', '')),
 l AS (SELECT *, CASE WHEN clinical_sig IN ('Pathogenic', 'Likely pathogenic') THEN 1 WHEN clinical_sig IN ('Benign', 'Likely benign') THEN 0 END AS label,
-  CASE WHEN review_status LIKE '%expert panel%' THEN 2 WHEN review_status LIKE '%single submitter%' THEN 4 ELSE 5 END AS tier FROM n)"""
+  CASE WHEN review_status LIKE '%expert panel%' THEN 1 WHEN review_status LIKE '%single submitter%' THEN 3 WHEN review_status LIKE 'no assertion%' THEN 4 ELSE 5 END AS tier FROM n)"""
 SCORED_CTE = f"s AS ({S.plain(S.SCORED)})"
 
 
@@ -87,17 +87,18 @@ SELECT {key}CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CA
 
 _ORACLES = {
     "top_pathogenic_genes": f"""WITH {NORM}, d AS (SELECT * FROM l WHERE label IS NOT NULL AND tier <= 3 QUALIFY row_number() OVER (PARTITION BY locus ORDER BY
-  CASE source_db WHEN 'clinvar' THEN 0 WHEN 'uniprot' THEN 1 WHEN 'lovd' THEN 2 WHEN 'gnomad' THEN 3 ELSE 4 END, last_evaluated DESC NULLS LAST,
+  CASE source_db WHEN 'clinvar' THEN 1 WHEN 'gnomad' THEN 2 WHEN 'uniprot' THEN 3 ELSE 4 END, last_evaluated DESC NULLS LAST,
   chrom, pos, ref, alt, gene_symbol, consequence, clinical_sig, review_status, allele_freq NULLS FIRST, protein_change, source_db) = 1)
 SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "normalized_variants": f"WITH {NORM} SELECT chrom, pos, ref, alt, locus, gene_symbol FROM n",
-    "variant_features": f"""WITH {NORM} SELECT locus, gene_symbol, CAST(allele_freq IS NULL AS INT) AS af_absent, CAST(coalesce(allele_freq, 0) < 0.01 AS INT) AS af_rare,
+    "variant_features": f"""WITH {NORM} SELECT locus, gene_symbol, CAST(coalesce(allele_freq, 0) = 0 AS INT) AS af_absent, CAST(coalesce(allele_freq, 0) < 0.0001 AS INT) AS af_ultra_rare,
+  CAST(coalesce(allele_freq, 0) >= 0.0001 AND allele_freq < 0.001 AS INT) AS af_rare, CAST(coalesce(allele_freq, 0) >= 0.01 AS INT) AS af_common,
   CAST(abs(length(ref) - length(alt)) AS INT) AS len_diff, CAST(length(ref) = 1 AND length(alt) = 1 AS INT) AS is_snv, CAST(length(alt) > length(ref) AS INT) AS is_insertion,
   CAST(length(alt) < length(ref) AS INT) AS is_deletion,
   CASE consequence WHEN 'splice_donor_variant' THEN 9 WHEN 'stop_gained' THEN 9 WHEN 'frameshift_variant' THEN 8 WHEN 'missense_variant' THEN 5
     WHEN 'missense_variant&splice_region_variant' THEN 5 WHEN 'synonymous_variant' THEN 2 WHEN 'intron_variant' THEN 1 ELSE 0 END AS severity,
   CAST(regexp_matches(consequence, 'stop_gained|frameshift|splice_(donor|acceptor)') AS INT) AS is_lof, CAST(contains(consequence, 'missense') AS INT) AS is_missense,
-  CAST(contains(consequence, 'splice') AS INT) AS is_splice, CAST(regexp_extract(protein_change, '(\\d+)', 1) AS INT) AS codon_number,
+  CAST(contains(consequence, 'synonymous') AS INT) AS is_synonymous, CAST(contains(consequence, 'splice') AS INT) AS is_splice, CAST(consequence <> 'intron_variant' AS INT) AS in_coding, CAST(regexp_extract(protein_change, '(\\d+)', 1) AS INT) AS codon_number,
   CAST((CAST(regexp_extract(protein_change, '(\\d+)', 1) AS INT) - 1) % 3 + 1 AS INT) AS codon_phase FROM n""",
     "gene_left_join": f"""WITH {NORM}, g AS ({S.plain(S.GENES)}) SELECT n.gene_symbol, count(*) AS n, round(avg(coalesce(pli_score, 0.0)), 6) AS pli_score, round(avg(coalesce(loeuf, 1.0)), 6) AS loeuf
 FROM n LEFT JOIN g ON g.gene_symbol = n.gene_symbol GROUP BY n.gene_symbol""",

@@ -27,7 +27,7 @@ def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adwin.detected(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value")
+    return adwin.detected(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "value")
 
 
 _QUERIES = (calibrated_models, classifier_comparison, value_drift)

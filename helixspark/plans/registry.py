@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog, evaluation, learned
+from helixspark.plans import annotation, catalog, evaluation, joins, learned
 
-MODULES = (catalog, annotation, evaluation, learned)
+MODULES = (catalog, annotation, evaluation, joins, learned)
 
 
 def queries() -> dict:

@@ -35,6 +35,8 @@ SCORED = """SELECT concat(CAST(l_orderkey AS VARCHAR(12)), '-', CAST(l_linenumbe
   concat('GENE', CAST(l_suppkey AS VARCHAR(10))) AS gene_symbol, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
   CAST((l_orderkey * 7919 + l_linenumber * 104729) % 5000 + CASE WHEN l_returnflag = 'R' THEN 4000 ELSE 0 END AS DOUBLE) / 10000.0 AS score
 FROM {lineitem}"""
+EDGES = """SELECT DISTINCT concat('GENE', CAST(l_suppkey AS VARCHAR(10))) AS src, concat('GENE', CAST(1 + l_partkey % 100 AS VARCHAR(10))) AS dst,
+  400 + l_partkey % 600 AS combined_score FROM {lineitem} WHERE l_linenumber = 1"""
 _SIG = """SELECT o_orderkey AS variant_id, CASE ({key}) % 5 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely pathogenic'
   WHEN 2 THEN 'Uncertain significance' WHEN 3 THEN 'Likely benign' ELSE 'Benign' END AS clinical_sig
 FROM {orders} WHERE o_custkey % 10 <> {rest}"""
@@ -59,6 +61,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SCORED, "lineitem")
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, EDGES, "lineitem")
+
+
 def releases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, sf_dir, RELEASE_OLD, "orders"), view(spark, sf_dir, RELEASE_NEW, "orders")
 

@@ -1,8 +1,8 @@
 """Adaptive windowing (ADWIN) on a stream of values a key, and its batch twin.
 
 A value is appended to the key's window; from `least` values on every cut into an older and a newer part is tested, and at the
-first whose means differ by epsilon = sqrt((1 / 2n0 + 1 / 2n1) ln(4n / delta)) or more the older part goes. The window holds at
-most `most` values (the oldest go), so that a key's state is bounded.
+first whose means differ by epsilon = sqrt((1 / 2n0 + 1 / 2n1) ln(4n / delta)) or more the older part goes (the newest value is
+never a part of its own). The window has no other bound: a key's state is its values since its last drift.
 """
 
 from __future__ import annotations
@@ -15,18 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
-LEAST, MOST = 32, 2000
+LEAST = 32
 
 
-def updated(window: np.ndarray, value: float, delta: float, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, bool]:
+def updated(window: np.ndarray, value: float, delta: float, least: int = LEAST) -> tuple[np.ndarray, bool]:
     """The window after a value and whether drift was found."""
-    window = np.append(window, value)[-most:]
+    window = np.append(window, value)
     n = len(window)
     if n < least:
         return window, False
-    left = np.arange(1, n)
+    left = np.arange(1, n - 1)
     sums = np.cumsum(window)
-    gap = np.abs(sums[:-1] / left - (sums[-1] - sums[:-1]) / (n - left))
+    gap = np.abs(sums[:-2] / left - (sums[-1] - sums[:-2]) / (n - left))
     hit = np.flatnonzero(gap >= np.sqrt((1 / (2 * left) + 1 / (2 * (n - left))) * np.log(4 * n / delta)))
     return (window[hit[0] + 1 :], True) if len(hit) else (window, False)
 
