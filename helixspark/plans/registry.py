@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog, evaluation, joins, learned
+from helixspark.plans import annotation, catalog, evaluation, joins, learned, scores
 
-MODULES = (catalog, annotation, evaluation, joins, learned)
+MODULES = (catalog, annotation, evaluation, joins, scores, learned)
 
 
 def queries() -> dict:
