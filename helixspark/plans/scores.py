@@ -109,7 +109,7 @@ def stratified_fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Q.member_statistics(F.array("score", "second", "third"))
     rows = _rich(spark, sf_dir).select("variant_id", s.alias("s")).select("variant_id", "s.*")
-    return rows.select("variant_id", F.round("mean", 6).alias("mean"), F.round("epistemic", 6).alias("epistemic"), F.round("aleatoric", 6).alias("aleatoric"), "triage")
+    return rows.select("variant_id", F.round("mean", 6).alias("mean"), F.round("epistemic", 9).alias("epistemic"), F.round("aleatoric", 6).alias("aleatoric"), "triage")
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ SELECT variant_id, round(greatest(0.1, least(3.0, sqrt(greatest(e, 0.1) * greate
     "stratified_fold_counts": f"""WITH {_R}, k AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY variant_id) - 1) % 5 AS fold FROM r) SELECT fold::INT AS fold, label, count(*) AS n FROM k GROUP BY 1, 2""",
     "member_uncertainty": f"""WITH {_R}, a AS (SELECT variant_id, [score, second, third] AS s, (score + second + third) / 3 AS m FROM r), b AS (SELECT variant_id, m, list_sum(list_transform(s, lambda x: (x - m) * (x - m))) / 3 AS v,
   list_sum(list_transform(s, lambda x: -(greatest(1e-8, least(1 - 1e-8::DOUBLE, x)) * ln(greatest(1e-8, least(1 - 1e-8::DOUBLE, x))) + (1 - greatest(1e-8, least(1 - 1e-8::DOUBLE, x))) * ln(1 - greatest(1e-8, least(1 - 1e-8::DOUBLE, x)))))) / 3 AS e FROM a)
-SELECT variant_id, round(m, 6) AS mean, round(v, 6) AS epistemic, round(e, 6) AS aleatoric, CASE WHEN v + e > 0.05 THEN 'high' WHEN v + e > 0.02 THEN 'medium' ELSE 'low' END AS triage FROM b""",
+SELECT variant_id, round(m, 6) AS mean, round(v, 9) AS epistemic, round(e, 6) AS aleatoric, CASE WHEN v + e > 0.05 THEN 'high' WHEN v + e > 0.02 THEN 'medium' ELSE 'low' END AS triage FROM b""",
     "drift_overall": f"WITH {_DRIFT} SELECT * FROM report",
     "stored_reference_drift": """WITH x AS (UNPIVOT (SELECT (l_shipdate >= TIMESTAMP '1995-06-01 00:00:00')::INT AS tag, l_quantity, l_extendedprice, CASE WHEN l_shipdate >= TIMESTAMP '1995-06-01 00:00:00' THEN l_discount / 2 ELSE l_discount END AS l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME feature VALUE x),
 r AS (SELECT feature, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM x WHERE tag = 0 GROUP BY 1), t AS (SELECT feature, count_if(tag = 0) AS ta, count_if(tag = 1) AS tb FROM x GROUP BY 1),
