@@ -276,3 +276,105 @@ def test_null_ids(spark):
     assert exact_dedup.exact_groups(t, "largest").count() == 3
     assert quality.quality_rules(t).count() == 3 and licenses.license_scan(t).count() == 3
     assert near_dedup.similar_components(t).count() == 3 and suffix_dedup.remove_repeats(t).count() == 3 and line_dedup.remove_repeats(t).count() == 3
+
+
+def test_suffix_dedup_awkward(spark):
+    """One partition, equal texts, all texts unique, null and large ids, a k-gram that a third of the texts hold in many contexts, cut runs."""
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    text = words(30)[:109]
+    passages = ["-" * 20 + words(7) for _ in range(60)]
+    hot = {i: f"{words(10)} {rnd.choice(passages)} {words(5)}{rnd.choice(passages)}" for i in range(120)}
+    for texts, extra in (({1: text, 3: text}, {}), ({1: words(30), 2: words(30)}, {}), ({None: text, 9007199254740993: text, 9007199254740992: text + words(3)}, {}), (hot, {}), (hot, {"held_rows": 20})):
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+        want = suffix_dedup.brute_force({(1 << 62) if i is None else i: t.encode() for i, t in texts.items()})
+        got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in suffix_dedup.remove_repeats(docs, **extra).collect()}
+        assert got == {i: want[(1 << 62) if i is None else i] for i in texts}
+
+
+def test_multikey_order():
+    import numpy as np
+
+    rows = np.random.default_rng(1).integers(0, 3, (3000, 70)).astype(np.uint8)
+    assert [bytes(x) for x in rows[suffix_dedup.multikey_order(rows)]] == sorted(bytes(x) for x in rows)
+
+
+def test_license_gates_lose_nothing(spark, docs):
+    """Every rule on every text, without gates, gives the same detections; so does Python's re."""
+    import re
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.selectExpr("doc_id + 100000", "substring(text, 1, 3000)"))
+    texts = ["Artistic 2.0", "the apache 2 helicopter", "elastic 2 cm", "Apache License 2.0", "licensed under the Apache Software License, Version 1.1"]
+    table = table.union(spark.createDataFrame([(200000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).repartition(4)
+    key = lambda df: sorted((r.doc_id, r.id, r.first, r.last) for r in df.collect())
+    got = key(licenses.detections(table))
+    assert got == key(licenses.detections(table, gated=False))
+    want, patterns = [], [(i, re.compile(p, re.A)) for i, _, _, _, p in licenses.rules()]
+    for r in table.collect():
+        norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", (r.text or "").encode().lower().decode()).strip(" ")
+        for i, p in patterns:
+            want += [(r.doc_id, i, norm[: m.start()].count(" "), norm[: m.end()].count(" ")) for m in p.finditer(norm)]
+    assert got == sorted(want)
+    labels = {r.doc_id: r.labels for r in licenses.license_scan(table.where("doc_id >= 200000")).collect()}
+    assert [labels[200000 + i] for i in range(5)] == ["artistic-2", "", "", "apache-2", "apache-1.1"]
+
+
+def test_quality_acts_on_small_hosts(spark):
+    got = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("removed_words > 0")
+    assert got.count() > 0
+
+
+def test_html_wrappers(spark):
+    pages = [
+        (1, "https://w.example/1", "<body><div class='content has-sidebar'><article><p>" + "main text " * 20 + "</p></article></div><div class='sidebar'><p>aside</p></div></body>"),
+        (2, "https://v.example/2", "<body><div id='page-header-fixed'><article><p>Area <math><mi>x</mi></math> grows.</p></article></div></body>"),
+        (3, "https://u.example/3", "<body><article><p>Body " + "word " * 30 + "</p></article><div class='comments'><article><p>reader " + "says " * 90 + "</p></article></div></body>"),
+        (4, "https://t.example/4", "<body><noscript>on<article><p>kept?</p></article>"), (9007199254740993, None, "<p>one"), (None, None, "<p>two"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in html_text.extract(df.union(df.limit(1))).collect()}
+    assert got[1] == ("main text " * 20).strip() and got[2] == "Area x grows." and got[3] == ("Body " + "word " * 30).strip()
+    assert got[9007199254740993] == "one" and got[None] == "two" and 4 in got
+
+
+def test_large_ids_beside_null(spark):
+    import public_tokenizers as P
+
+    big = 9007199254740993
+    t = spark.createDataFrame([(None, "a b c d e f"), (big, "a b c d e g"), (big - 1, "a b c d e g")], "doc_id long, text string").coalesce(1)
+    ids = lambda df: sorted((r.doc_id or 0) for r in df.collect())
+    want = [0, big - 1, big]
+    assert ids(near_dedup.similar_components(t)) == want and ids(line_dedup.remove_repeats(t)) == want and ids(suffix_dedup.remove_repeats(t)) == want
+    assert ids(bpe.encode_documents(t, P.path("byte_bpe_50k.json"))) == want
+    assert ids(language.predict(t, {"langs": ["a"], "slots": 8, "hashes": 1, "words": __import__("numpy").zeros((8, 1), "uint64")})) == want
+
+
+def test_mixing_places_rows(spark):
+    """Rows that repeat an id are placed as often as their own copies say."""
+    table = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e f g", "s"), (2, "h i", "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in table], "doc_id long, text string, lang string, source string, n_chars long")
+    placed = mixing.curriculum(docs, WEIGHTS)
+    copies = sum(sum(2 * c["words"] >= r["size"] for c in r["copies"]) for r in placed.collect())
+    assert mixing.training_order(docs, WEIGHTS).count() == copies > 0
+
+
+def test_near_dedup_recall(spark):
+    """Against all pairs on sf0.01: no link is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    holders: dict = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]}
+    links = [(a, b) for a, b in pairs if linked(sets[a], sets[b])]
+    got = {r.doc_id: r.component_id for r in near_dedup.similar_components(docs).collect()}
+    assert links and all(got[a] == got[b] for a, b in links)
+
+
+def test_long_runs_are_linear():
+    import time
+
+    began = time.time()
+    assert line_dedup.units_of("!" * 200_000 + "a!" * 100_000)
+    assert time.time() - began < 5
