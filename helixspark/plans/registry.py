@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog, evaluation, joins, learned, scores
+from helixspark.plans import annotation, catalog, evaluation, joins, learned, scores, sources
 
-MODULES = (catalog, annotation, evaluation, joins, scores, learned)
+MODULES = (catalog, annotation, evaluation, joins, scores, sources, learned)
 
 
 def queries() -> dict:
