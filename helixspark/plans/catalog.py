@@ -38,7 +38,7 @@ def gene_pathogenic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.normalize(S.variants(spark, sf_dir))
-    spans = rows.where("pos % 97 = 0").select("chrom", (F.col("pos") - 200).alias("lo"), (F.col("pos") + 300).alias("hi"), F.col("gene_symbol").alias("cre_id"))
+    spans = rows.where("consequence = 'stop_gained' AND clinical_sig = 'Pathogenic' AND review_status LIKE '%expert panel%'").select("chrom", (F.col("pos") - 200).alias("lo"), (F.col("pos") + 300).alias("hi"), F.col("gene_symbol").alias("cre_id"))
     hits = V.overlaps(rows.select("chrom", "pos", "locus"), spans, 500)
     return hits.groupBy("locus").agg(F.count("*").alias("n_hits"), F.count_distinct("cre_id").alias("n_elements"))
 
@@ -104,7 +104,7 @@ SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic FROM d GROUP BY 1
 FROM n LEFT JOIN g ON g.gene_symbol = n.gene_symbol GROUP BY n.gene_symbol""",
     "source_report": f"WITH {NORM} SELECT source_db, clinical_sig, count(*) AS n, count(DISTINCT locus) AS n_loci FROM n GROUP BY 1, 2",
     "gene_pathogenic_counts": f"WITH {NORM} SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic, count(*) AS n_labelled FROM l WHERE label IS NOT NULL GROUP BY 1",
-    "interval_overlap": f"""WITH {NORM}, i AS (SELECT chrom, pos - 200 AS lo, pos + 300 AS hi, gene_symbol AS cre_id FROM n WHERE pos % 97 = 0)
+    "interval_overlap": f"""WITH {NORM}, i AS (SELECT chrom, pos - 200 AS lo, pos + 300 AS hi, gene_symbol AS cre_id FROM n WHERE consequence = 'stop_gained' AND clinical_sig = 'Pathogenic' AND review_status LIKE '%expert panel%')
 SELECT locus, count(*) AS n_hits, count(DISTINCT cre_id) AS n_elements FROM n JOIN i ON n.chrom = i.chrom AND n.pos BETWEEN lo AND hi GROUP BY locus""",
     "score_metrics": _metrics_sql(""),
     "gene_score_metrics": _metrics_sql("gene_symbol"),

@@ -83,7 +83,7 @@ def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranking_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes as features, ranked by their mean discount before and after a date."""
-    rows = _lines(spark, sf_dir).where("l_suppkey % 2 = 0 OR l_quantity > 5")
+    rows = _lines(spark, sf_dir)
     ranking = lambda early: rows.where(f"l_shipdate {'<' if early else '>='} TIMESTAMP '1995-06-01 00:00:00'").groupBy(F.concat(F.lit("GENE"), F.col("l_suppkey").cast("string")).alias("feature")).agg(F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double").alias("importance"))
     return R.ranking_stability(ranking(False), ranking(True), 0.02)
 
@@ -258,7 +258,7 @@ SELECT round(a, 6) AS f1_positive, round(b, 6) AS f1_negative, round((a + b) / 2
     "blended_models": f"WITH {_R}, z AS (SELECT cohort, label, round((score * 0.5::DOUBLE + second * 0.3::DOUBLE + third * 0.2::DOUBLE) / 1.0::DOUBLE, 6) AS score FROM r), {_quality('cohort', 'z').format(name='cohort')}",
     "blend_weights": f"""WITH {_R}, w AS (SELECT * FROM (VALUES {_WEIGHTS}) x(a, b, c)), l AS (SELECT a, b, c, count(*) AS n, avg(pow(a::DOUBLE * score + b::DOUBLE * second + c::DOUBLE * third - label, 2)) AS brier FROM r, w GROUP BY 1, 2, 3)
 SELECT n, round(brier, 6) AS brier, a::DOUBLE AS score, b::DOUBLE AS second, c::DOUBLE AS third FROM l ORDER BY round(l.brier, 9), a, b, c LIMIT 1""",
-    "ranking_changes": """WITH x AS (SELECT concat('GENE', l_suppkey) AS feature, sum(round(l_discount * 100)::BIGINT) FILTER (l_shipdate >= TIMESTAMP '1995-06-01 00:00:00')::DOUBLE AS now, sum(round(l_discount * 100)::BIGINT) FILTER (l_shipdate < TIMESTAMP '1995-06-01 00:00:00')::DOUBLE AS before FROM lineitem WHERE l_suppkey % 2 = 0 OR l_quantity > 5 GROUP BY 1),
+    "ranking_changes": """WITH x AS (SELECT concat('GENE', l_suppkey) AS feature, sum(round(l_discount * 100)::BIGINT) FILTER (l_shipdate >= TIMESTAMP '1995-06-01 00:00:00')::DOUBLE AS now, sum(round(l_discount * 100)::BIGINT) FILTER (l_shipdate < TIMESTAMP '1995-06-01 00:00:00')::DOUBLE AS before FROM lineitem GROUP BY 1),
 y AS (SELECT *, rank() OVER (ORDER BY now DESC) + (count(*) OVER (PARTITION BY now) - 1) / 2.0 AS a, rank() OVER (ORDER BY before DESC) + (count(*) OVER (PARTITION BY before) - 1) / 2.0 AS b, abs(now - before) / nullif(before, 0) AS d FROM x WHERE now IS NOT NULL AND before IS NOT NULL)
 SELECT feature, now, before, round(d, 6) AS change, CASE WHEN d > 0.04 THEN 'high' WHEN d >= 0.02 THEN 'medium' END AS severity, round(corr(a, b) OVER (), 6) AS spearman FROM y""",
     "retraining_weights": f"""WITH {_R}, w AS (SELECT variant_id, second, greatest(0.1, least(2.0, (1 - 0.5::DOUBLE * greatest(score, 1 - score) * ((score >= 0.5)::INT = label)::INT) * CASE WHEN score > 0.85 AND label = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * exp(-0.3::DOUBLE * (split_part(variant_id, '-', 1)::BIGINT % 1000) / 365))) AS e FROM r)

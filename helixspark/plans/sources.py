@@ -68,7 +68,7 @@ def gene_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     gene = F.concat(F.lit("gene"), F.col("l_suppkey").cast("string"))
     diseases = C.gene_diseases(lines.select(gene.alias("symbol"), F.when(F.col("l_tax") > 0.04, "phenotype").otherwise("gene").alias("type")))
-    validity = C.gene_validity(lines.where("l_partkey % 40 = l_suppkey % 40").select(gene.alias("symbol"), F.when(F.col("l_quantity") > 45, "Definitive").when(F.col("l_quantity") > 30, " Strong").when(F.col("l_quantity") > 10, "LIMITED").otherwise("disputed").alias("classification")))
+    validity = C.gene_validity(lines.where("l_discount < 0.01").select(gene.alias("symbol"), F.when(F.col("l_quantity") > 45, "Definitive").when(F.col("l_quantity") > 30, " Strong").when(F.col("l_quantity") > 10, "LIMITED").otherwise("disputed").alias("classification")))
     return diseases.join(validity, "gene_symbol", "full")
 
 
@@ -157,7 +157,7 @@ k AS (SELECT {_CHROM} AS chrom, pos, upper(ref) AS ref, upper(alt) AS alt, max(a
 SELECT chrom, count(*) AS n, round(sum(coalesce(least(1000.0, f / (o + 1e-9)), 1.0)), 4) AS total_enrichment FROM k GROUP BY 1""",
     "disease_mutation_rows": f"""WITH {_V}, k AS (SELECT {_CHROM} AS chrom, pos, upper(ref) AS r, upper(alt) AS a, max((clinical_sig = 'Pathogenic' OR contains(clinical_sig, 'onflict'))::INT) AS hgmd_is_disease_mutation, count(*)::INT AS hgmd_n_reports FROM v GROUP BY 1, 2, 3, 4)
 SELECT chrom, hgmd_is_disease_mutation, hgmd_n_reports, count(*) AS n FROM k GROUP BY 1, 2, 3""",
-    "gene_source_rows": """WITH d AS (SELECT concat('GENE', l_suppkey) AS g, count(*)::INT AS n FROM lineitem WHERE l_tax > 0.04 GROUP BY 1), v AS (SELECT concat('GENE', l_suppkey) AS g, max(CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 30 THEN 4 WHEN l_quantity > 10 THEN 2 ELSE 0 END) AS s FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40 GROUP BY 1)
+    "gene_source_rows": """WITH d AS (SELECT concat('GENE', l_suppkey) AS g, count(*)::INT AS n FROM lineitem WHERE l_tax > 0.04 GROUP BY 1), v AS (SELECT concat('GENE', l_suppkey) AS g, max(CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 30 THEN 4 WHEN l_quantity > 10 THEN 2 ELSE 0 END) AS s FROM lineitem WHERE l_discount < 0.01 GROUP BY 1)
 SELECT coalesce(d.g, v.g) AS gene_symbol, n AS omim_n_diseases, s AS clingen_validity_score FROM d FULL JOIN v ON d.g = v.g""",
     "locus_class_rows": f"""WITH {_V}, k AS (SELECT {_CHROM} AS chrom, pos, upper(ref) AS r, upper(alt) AS a, max(CASE clinical_sig WHEN 'Pathogenic' THEN 4 WHEN 'Likely benign' THEN 1 WHEN 'Benign' THEN 1 WHEN 'Uncertain significance' THEN 2 ELSE 0 END) AS lovd_variant_class FROM v GROUP BY 1, 2, 3, 4) SELECT chrom, lovd_variant_class, count(*) AS n FROM k GROUP BY 1, 2""",
     "variant_json_rows": "SELECT '1' AS chrom, o_orderkey::INT AS pos, 'A' AS ref, 'T' AS alt, concat('GENE', o_custkey % 50) AS gene_symbol, CASE WHEN o_orderstatus = 'F' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS allele_freq, CASE WHEN o_orderstatus = 'F' THEN 'exome' ELSE 'genome' END AS af_of FROM orders",
