@@ -145,7 +145,8 @@ def links_across(members: DataFrame, docs: DataFrame, width: int, percent: int,
     """Links between components inside the groups of members (group, doc_id, component, n_shingles)."""
     groups = members.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("weight")).where("low <> high")
     blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("weight") / load))).cast("int")
-    placed = lookup_join(members, groups, ["group"], "inner", F.col("doc_id")).withColumn("blocks", blocks)  # no task gets a whole group.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = lookup_join(members, groups, ["group"], "inner", F.col("doc_id")).withColumn("blocks", blocks)  # no task gets a whole group
+    placed = placed.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("home", "other").alias("p"), F.greatest("home", "other").alias("q"), "home", "doc_id", "component").distinct()
     dealt = checkpointed(dealt)
