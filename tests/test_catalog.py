@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from helixspark.plans import registry
@@ -24,5 +25,5 @@ def test_matches_sql(spark, duck, name):
     want = duck.sql(registry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = lambda d: sorted(map(str, (tuple(None if x != x else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x for x in r) for r in d[columns].itertuples(index=False))))
+    rows = lambda d: sorted(map(str, (tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x for x in r) for r in d[columns].itertuples(index=False))))
     assert rows(got) == rows(want)
