@@ -156,14 +156,21 @@ def sample_weights(df: DataFrame, reclassified: DataFrame, key: str, decay: floa
     return out.withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(boost), w))).drop("_flip")
 
 
-def conformal(scored: DataFrame, calibration: Column, alpha: float = 0.1) -> DataFrame:
-    """One row: the quantile of |label - score| on the calibration rows, and how many of the others their intervals cover."""
+def conformal_intervals(scored: DataFrame, calibration: Column, alpha: float = 0.1) -> DataFrame:
+    """The rows outside the calibration rows with `quantile` (of |label - score| on those), `lower`, `upper` (within 0 to 1) and `covered`; all four null
+    without calibration rows."""
     gap = F.abs(F.col("label") - F.col("score"))
     n = scored.where(calibration).agg(F.count("*").alias("n_cal")).first()[0]
     level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / n) if n else 1.0
-    q = scored.where(calibration).agg(F.percentile(gap, level).alias("q"))
-    rest = scored.where(~calibration).crossJoin(F.broadcast(q))
-    return rest.agg(F.round(F.max("q"), 6).alias("quantile"), F.count("*").alias("n"), F.round(F.avg((gap <= F.col("q")).cast("int")), 6).alias("coverage"))
+    q = F.lit(scored.where(calibration).agg(F.percentile(gap, level)).first()[0]).cast("double")
+    bound = lambda x: F.when(q.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return scored.where(~calibration).withColumns({"quantile": q, "lower": bound(F.col("score") - q), "upper": bound(F.col("score") + q), "covered": gap <= q})
+
+
+def conformal(scored: DataFrame, calibration: Column, alpha: float = 0.1) -> DataFrame:
+    """One row: the quantile of |label - score| on the calibration rows, and how many of the others their intervals cover."""
+    rest = conformal_intervals(scored, calibration, alpha)
+    return rest.agg(F.round(F.max("quantile"), 6).alias("quantile"), F.count("*").alias("n"), F.round(F.avg(F.col("covered").cast("int")), 6).alias("coverage"))
 
 
 def feature_drift(df: DataFrame, features: list[str], tag: str, bins: int = 10) -> DataFrame:

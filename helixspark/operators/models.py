@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixspark.operators import evaluation as E
+from helixspark.operators import variants as V
 
 
 def logit(score: str) -> Column:
@@ -28,28 +29,50 @@ def calibrated(scored: DataFrame, fit: Column) -> DataFrame:
     return out.withColumn("platt", vector_to_array("_prob")[1]).drop("_logit", "_x", "_p", "_r", "_prob", "_s")
 
 
-def classifiers(seed: int = 42) -> dict:
-    """The base models by name."""
+def classifiers(n_features: int, seed: int = 42, trees: int = 20, rounds: int = 10, hidden: tuple[int, ...] = (16,)) -> dict:
+    """The base models by name; sizes are parameters."""
     return {
         "logistic": LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01),
-        "forest": RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, maxDepth=6, seed=seed),
-        "boosted": GBTClassifier(featuresCol="features", labelCol="label", maxIter=10, maxDepth=4, seed=seed),
+        "forest": RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=6, seed=seed),
+        "boosted": GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, seed=seed),
+        "svm": LinearSVC(featuresCol="features", labelCol="label", regParam=0.01, maxIter=50),
+        "network": MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[n_features, *hidden, 2], maxIter=50, seed=seed),
     }
 
 
 def scored_by(models: dict, rows: DataFrame, features: list[str], fit: Column) -> DataFrame:
-    """Adds a probability column a model, fitted on the rows where `fit` holds."""
-    out = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    """Adds a probability column a model, fitted on the rows where `fit` holds, over features scaled by those rows. A model that only has
+    margins gets its probabilities by a logistic fit on the training rows' margins."""
+    raw = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)
+    out = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw.where(fit)).transform(raw).drop("_raw")
     train = out.where(fit)
     for name, model in models.items():
-        fitted = model.setPredictionCol("_p").setRawPredictionCol("_r").setProbabilityCol("_q").fit(train)
-        out = fitted.transform(out).withColumn(name, vector_to_array("_q")[1]).drop("_p", "_r", "_q")
+        model = model.setPredictionCol("_p").setRawPredictionCol("_r")
+        if model.hasParam("probabilityCol"):
+            out = model.setProbabilityCol("_q").fit(train).transform(out)
+        else:
+            fitted, vector = model.fit(train), VectorAssembler(inputCols=["_m"], outputCol="_v")
+            margins = lambda df: vector.transform(fitted.transform(df).withColumn("_m", vector_to_array("_r")[1]))  # noqa: E731, B023
+            platt = LogisticRegression(featuresCol="_v", labelCol="label", predictionCol="_p2", rawPredictionCol="_r2", probabilityCol="_q").fit(margins(train))
+            out = platt.transform(margins(out)).drop("_m", "_v", "_p2", "_r2")
+        out = out.withColumn(name, vector_to_array("_q")[1]).drop("_p", "_r", "_q")
     return out.drop("features")
 
 
+def grid_search(rows: DataFrame, features: list[str], fit: Column, validation: Column, depths: tuple[int, ...] = (2, 4), rounds: tuple[int, ...] = (5, 10), steps: tuple[float, ...] = (0.1,), seed: int = 42) -> DataFrame:
+    """Boosted trees over a grid, fitted where `fit` holds, with their metrics where `validation` holds; the best AUROC comes first."""
+    grid = {
+        f"depth{d}_rounds{r}_step{s}": GBTClassifier(featuresCol="features", labelCol="label", maxDepth=d, maxIter=r, stepSize=s, subsamplingRate=0.8, seed=seed)
+        for d in depths for r in rounds for s in steps
+    }
+    scored = scored_by(grid, rows, features, fit).where(validation)
+    long = scored.select("label", *[f"`{g}`" for g in grid]).unpivot(["label"], [F.col(f"`{g}`") for g in grid], "model", "score")
+    return V.score_metrics(long, ["model"]).orderBy(F.desc_nulls_last("auroc"), "model")
+
+
 def stacked(rows: DataFrame, features: list[str], fit: Column, key: Column, k: int = 3) -> DataFrame:
     """Base models' out-of-fold scores train a logistic model over them (`stack`); all rows where `fit` doesn't hold get whole-train base scores."""
-    models = classifiers()
+    models = classifiers(len(features))
     dealt = E.folds(rows, key, k)
     oof = None
     for i in range(k):

@@ -76,7 +76,7 @@ l AS (SELECT *, CASE WHEN clinical_sig IN ('Pathogenic', 'Likely pathogenic') TH
 SCORED_CTE = f"s AS ({S.plain(S.SCORED)})"
 
 
-def _metrics_sql(by: str) -> str:
+def metrics_sql(by: str) -> str:
     key, part, group = (f"{by}, ", f"PARTITION BY {by} ", f" GROUP BY {by}") if by else ("", "", "")
     return f"""WITH {SCORED_CTE}, h AS (SELECT {key}score, sum(label) AS p, sum(1 - label) AS n, sum(pow(score - label, 2)) AS b FROM s GROUP BY {key}score),
 r AS (SELECT *, coalesce(sum(n) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h)
@@ -106,8 +106,8 @@ FROM n LEFT JOIN g ON g.gene_symbol = n.gene_symbol GROUP BY n.gene_symbol""",
     "gene_pathogenic_counts": f"WITH {NORM} SELECT gene_symbol, CAST(sum(label) AS BIGINT) AS n_pathogenic, count(*) AS n_labelled FROM l WHERE label IS NOT NULL GROUP BY 1",
     "interval_overlap": f"""WITH {NORM}, i AS (SELECT chrom, pos - 200 AS lo, pos + 300 AS hi, gene_symbol AS cre_id FROM n WHERE consequence = 'stop_gained' AND clinical_sig = 'Pathogenic' AND review_status LIKE '%expert panel%')
 SELECT locus, count(*) AS n_hits, count(DISTINCT cre_id) AS n_elements FROM n JOIN i ON n.chrom = i.chrom AND n.pos BETWEEN lo AND hi GROUP BY locus""",
-    "score_metrics": _metrics_sql(""),
-    "gene_score_metrics": _metrics_sql("gene_symbol"),
+    "score_metrics": metrics_sql(""),
+    "gene_score_metrics": metrics_sql("gene_symbol"),
     "calibration_table": f"""WITH {SCORED_CTE} SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM s GROUP BY 1""",
     "release_directions": f"""WITH o AS ({S.plain(S.RELEASE_OLD)}), w AS ({S.plain(S.RELEASE_NEW)})
 SELECT o.clinical_sig AS old_sig, w.clinical_sig AS new_sig, count(*) AS n FROM o FULL JOIN w ON o.variant_id = w.variant_id

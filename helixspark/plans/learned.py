@@ -20,17 +20,26 @@ def calibrated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compared_models(rows, ["score", "platt", "isotonic"])
 
 
+def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.group_split(V.with_features(V.labelled(V.normalize(S.variants(spark, sf_dir)))), "gene_symbol").select("label", "split", *_FEATURES)
+
+
 def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base models on the variants' features, fitted on train genes, compared on the others."""
-    rows = E.group_split(V.with_features(V.labelled(V.normalize(S.variants(spark, sf_dir)))), "gene_symbol").select("label", "split", *_FEATURES)
-    return E.compared_models(M.scored_by(M.classifiers(), rows, _FEATURES, F.col("split") == "train").where("split <> 'train'"), ["logistic", "forest", "boosted"])
+    models = M.classifiers(len(_FEATURES))
+    return E.compared_models(M.scored_by(models, _split_features(spark, sf_dir), _FEATURES, F.col("split") == "train").where("split <> 'train'"), list(models))
+
+
+def tuned_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees over a grid, fitted on train genes, ranked on validation genes."""
+    return M.grid_search(_split_features(spark, sf_dir), _FEATURES, F.col("split") == "train", F.col("split") == "val")
 
 
 def value_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adwin.detected(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "value")
 
 
-_QUERIES = (calibrated_models, classifier_comparison, value_drift)
+_QUERIES = (calibrated_models, classifier_comparison, tuned_models, value_drift)
 
 
 def queries() -> dict:
