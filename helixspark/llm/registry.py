@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables, with production parameters, and their SQL."""
+"""The queries of the thirteen operators over the given tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm import bpe, exact_dedup, html_text, language, licenses, line_dedup, mixing, near_dedup, quality, suffix_dedup
+from helixspark.llm import bpe, collocations, exact_dedup, filter_audit, html_text, language, licenses, line_dedup, mixing, near_dedup, quality, quality_classifier, suffix_dedup
 from helixspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 WEIGHTS = [5.0, 2.0, 1.0]
 MAX_DOCS_PER_LANGUAGE = 2000
+MAX_LABELLED_DOCS = 3000
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +59,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(language.training_rows(docs, MAX_DOCS_PER_LANGUAGE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_suffix_dedup, op5_near_dedup, op6_quality_rules, op7_line_dedup, op8_license_scan, op9_bpe, op10_language_id)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MAX_LABELLED_DOCS)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (op1_exact_dedup, op2_html_extraction, op3_mixing, op4_suffix_dedup, op5_near_dedup, op6_quality_rules, op7_line_dedup, op8_license_scan, op9_bpe, op10_language_id, op11_collocations, op12_quality_classifier, op13_filter_audit)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op5_near_dedup": near_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
