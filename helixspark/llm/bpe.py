@@ -17,8 +17,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,9 @@ from helixspark.llm.common import map_frames
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text (white space by its Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for texts without code points over 255, with the classes written out: the letters, numbers and white space among these.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+NARROW = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces that a worker remembers at most; the memo is emptied beyond.
 MEMO = 300_000
 #: Characters after which a task hands on what it has encoded, so that it never holds the ids of a whole Arrow batch.
@@ -63,13 +67,21 @@ class Codec(dict):
             b = np.frombuffer(t, np.uint8).astype(np.int32)
             inside[b[:-1] * 256 + b[1:]] = True
         self.inside = inside.tobytes()
-        self.find = regex.compile(PATTERN).findall
+        self.find_any, self.find_narrow = regex.compile(PATTERN).findall, re.compile(NARROW).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
+    def find(self, text: str) -> list[str]:
+        """The pieces of a text by the tokenizer's pattern."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find_any(text)
+        return self.find_narrow(text)
+
     def fragments(self, piece: bytes) -> list[bytes]:
         """Cuts a piece at its forced boundaries."""
         inside = self.inside
-        cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if not inside[a << 8 | b]]
+        cuts = [i for i in range(1, len(piece)) if not inside[piece[i - 1] << 8 | piece[i]]]
         if not cuts:
             return [piece]
         return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])]
@@ -84,11 +96,14 @@ class Codec(dict):
     def merged_short(self, ids: list[int]) -> list[int]:
         """Rescans the pairs next to each merge; for few ids that beats a heap."""
         find = self.merge.get
-        ranks = [find(p, NO_MERGE) for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) is not NO_MERGE:
+        ranks = list(map(find, zip(ids, ids[1:]), repeat(NO_MERGE)))
+        while ranks:
+            best = min(ranks)
+            if best is NO_MERGE:
+                break
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
+            ids[i] = best[1]
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = find((ids[i - 1], ids[i]), NO_MERGE)
             if i < len(ranks):
