@@ -7,8 +7,9 @@ id, or an earlier place in its own document, has it. Repeated lines are removed
 sentences that stand in a row (together with removed lines beside them) are removed if they come to at least min_words words;
 shorter ones (stock phrases) stay. What is removed keeps its original offsets.
 
-Cases: null text counts as empty: no units, nothing removed, an empty kept text. Rows that repeat an id rank equal and get equal
-results. A null id ranks last. Extra columns are ignored; an empty table gives no rows.
+Cases: null text counts as empty: no units, nothing removed, an empty kept text. A row is known by its id and a 64-bit hash of its
+text, so rows that repeat an id with other texts, and null ids, are told apart. Rows of the same id rank equal: each loses what
+smaller ids have, nothing to each other. Null ids rank last, equal among themselves. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,30 +54,30 @@ def units_of(text: str) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, at (number of the unit's first sentence), start, stop, words, digest, sentences (of a line, else 0), again (seen before in the same text)."""
+    """doc_id, h (hash of the text), at (number of the unit's first sentence), start, stop, words, digest, sentences (of a line, else 0), again (seen before in the same text)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
+            for i, h, t in zip(b["doc_id"], b["h"], b["text"]):
                 seen: set = set()
                 for k, start, stop, words, digest, sentences in units_of(t) if t else ():
-                    rows.append((i, k, start, stop, words, digest, sentences, digest in seen))
+                    rows.append((i, h, k, start, stop, words, digest, sentences, digest in seen))
                     seen.add(digest)
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "start", "stop", "words", "digest", "sentences", "again"])
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "at", "start", "stop", "words", "digest", "sentences", "again"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_frames(rows, run, f"doc_id {id_type}, at int, start int, stop int, words int, digest long, sentences int, again boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return map_frames(rows, run, f"doc_id {id_type}, h long, at int, start int, stop int, words int, digest long, sentences int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its repeated units [(at, start, stop, words, sentences)]."""
+    """doc_id, h and the text's repeated units [(at, start, stop, words, sentences)]."""
     units = unit_rows(docs, id_col, text_col)
     owners = units.where("NOT again").groupBy("digest", "words").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("digest", "words", "owner")
-    judged = lookup_join(units, owners, ["digest", "words"], "left", F.col("doc_id"), broadcast_rows)
+    judged = lookup_join(units, owners, ["digest", "words"], "left", F.struct("doc_id", "h"), broadcast_rows)
     repeat = F.col("again") | (F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))))
-    return judged.where(repeat).groupBy("doc_id").agg(F.collect_set(F.struct("at", "start", "stop", "words", "sentences")).alias("repeats"))
+    return judged.where(repeat).groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "start", "stop", "words", "sentences")).alias("repeats"))
 
 
 def joined(sentences: Iterable) -> list[list[int]]:
@@ -93,9 +94,9 @@ def joined(sentences: Iterable) -> list[list[int]]:
 def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_removed_units, n_removed_words, n_removed_chars, removed_spans [(start, stop)] in the original text, kept_text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, broadcast_rows, id_col, text_col).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "repeats")
+    spans = repeated_spans(docs, broadcast_rows, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "repeats")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -22,8 +22,11 @@ The number of candidate buckets follows the input's bytes, so that a bucket's ha
 The candidate set is broadcast only up to broadcast_bytes (checked); beyond, candidates reach their documents by a join.
 
 Cases: null text counts as empty: n_bytes 0 and the digest of nothing. Texts shorter than span bytes lose nothing. Equal texts:
-all but the one of the smallest id lose all bytes. Rows that repeat an id are judged as one document and get equal results.
-Null ids come last (after every id). Extra columns are ignored; an empty table gives no rows.
+all but the one of the smallest id lose all bytes. Rows that repeat an id: each loses what smaller ids have, nothing to each other; a
+row is told from its twins by a 64-bit hash of its text (the column `twin`, 0 where the id alone tells). Null ids come last (after
+every id) and are twins of each other in the same way. Extra columns are ignored; an empty table gives no rows.
+
+Contexts are compared byte by byte, their windows by 64-bit digests inside a sorted part and by 128 bits across cuts.
 """
 
 from __future__ import annotations
@@ -190,10 +193,10 @@ class Run:
     document stands for it; all others lose every window of it.
     """
 
-    def __init__(self, ctx: np.ndarray, ids: np.ndarray, at: np.ndarray, span: int, k: int):
+    def __init__(self, ctx: np.ndarray, ids: np.ndarray, twins: np.ndarray, at: np.ndarray, span: int, k: int):
         self.span, self.k, self.back = span, k, span - k
         order = multikey_order(np.hstack([ctx[:, 2 + self.back :], ctx[:, 2 : 2 + self.back], ctx[:, :2]]))
-        ctx, self.ids, self.at = ctx[order], ids[order], at[order]
+        ctx, self.ids, self.twins, self.at = ctx[order], ids[order], twins[order], at[order]
         new = np.r_[True, (ctx[1:] != ctx[:-1]).any(axis=1)]
         self.which = np.cumsum(new) - 1
         self.smallest = np.minimum.reduceat(self.ids, np.flatnonzero(new))
@@ -201,10 +204,10 @@ class Run:
         self.lo, self.hi = _windows(self.ctx[:, 0].astype(np.int64), self.ctx[:, 1].astype(np.int64), span, k)
         self.full = self.ids > self.smallest[self.which]
 
-    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, stop) of the suffixes whose context a smaller document has."""
+    def settled(self) -> tuple[np.ndarray, ...]:
+        """(id, twin, start, stop) of the suffixes whose context a smaller document has."""
         f = np.flatnonzero(self.full)
-        return self.ids[f], self.at[f] - self.hi[self.which[f]], self.at[f] - self.lo[self.which[f]] + self.span
+        return self.ids[f], self.twins[f], self.at[f] - self.hi[self.which[f]], self.at[f] - self.lo[self.which[f]] + self.span
 
     def windows(self, of: np.ndarray, base: np.uint64 = _B) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(bytes before the anchor, places in `of` of the contexts that have such a window, its digests), from the most bytes down."""
@@ -220,8 +223,8 @@ class Run:
             if j:
                 h = h * base + x[:, self.span + self.back - j] - top * x[:, self.back - j]
 
-    def compared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, stop) of all windows that a smaller document has, if each leading k-gram's suffixes are complete here."""
+    def compared(self) -> tuple[np.ndarray, ...]:
+        """(id, twin, start, stop) of all windows that a smaller document has, if each leading k-gram's suffixes are complete here."""
         gram = self.ctx[:, 2 + self.back : 2 + self.back + self.k]
         run = np.cumsum(np.r_[True, (gram[1:] != gram[:-1]).any(axis=1)]) - 1
         u = np.flatnonzero(np.bincount(run)[run] > 1)
@@ -235,11 +238,11 @@ class Run:
         edge = np.diff(np.pad(mask[self.which[rest]].astype(np.int8), ((0, 0), (1, 1))), axis=1)
         r0, j0 = np.nonzero(edge == 1)
         _, j1 = np.nonzero(edge == -1)  # runs of windows j0 .. j1 - 1
-        part = self.ids[rest[r0]], self.at[rest[r0]] - (j1 - 1), self.at[rest[r0]] - j0 + self.span
+        part = self.ids[rest[r0]], self.twins[rest[r0]], self.at[rest[r0]] - (j1 - 1), self.at[rest[r0]] - j0 + self.span
         return tuple(np.concatenate(x) for x in zip(self.settled(), part))
 
     def open_windows(self) -> pd.DataFrame:
-        """doc_id, start and two digests of each window of each distinct context, for comparison across the cuts of a run."""
+        """doc_id, twin, start and two digests of each window of each distinct context, for comparison across the cuts of a run."""
         rest = np.flatnonzero(~self.full)
         first = np.full(len(self.ctx), -1)
         out = []
@@ -248,8 +251,8 @@ class Run:
             first[ok] = np.arange(len(ok))
             p = first[self.which[rest]]
             r, p = rest[p >= 0], p[p >= 0]
-            out.append(pd.DataFrame({"doc_id": self.ids[r], "start": (self.at[r] - j).astype(np.int32), "one": a[p].view(np.int64), "two": b[p].view(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "start": [], "one": [], "two": []})
+            out.append(pd.DataFrame({"doc_id": self.ids[r], "twin": self.twins[r], "start": (self.at[r] - j).astype(np.int32), "one": a[p].view(np.int64), "two": b[p].view(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "twin": [], "start": [], "one": [], "two": []})
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
@@ -304,24 +307,25 @@ def suffix_rows(docs: DataFrame, span: int, k: int, splitters: np.ndarray, hot:
                 bucket[there] = -1 - (_row_hash(ctx[there]) % np.uint64(len(splitters) + 1)).astype(np.int32)
             lo, hi = _windows(left, right, span, k)
             s, g = np.flatnonzero(send), np.flatnonzero(~send)
-            yield pd.DataFrame({"bucket": bucket[s], "ctx": [ctx[i].tobytes() for i in s], "doc_id": owner[s], "at": at[s].astype(np.int32), "stop": np.int32(0)})
+            twin = rows["twin"].to_numpy(np.int64)[text]
+            yield pd.DataFrame({"bucket": bucket[s], "ctx": [ctx[i].tobytes() for i in s], "doc_id": owner[s], "twin": twin[s], "at": at[s].astype(np.int32), "stop": np.int32(0)})
             if len(g):
-                d, a, z = merged_intervals(owner[g], at[g] - hi[g], at[g] - lo[g] + span)
-                yield pd.DataFrame({"bucket": (d % 1009).astype(np.int32), "ctx": None, "doc_id": d, "at": a.astype(np.int32), "stop": z.astype(np.int32)})
+                d, t, a, z = merged_intervals(owner[g], twin[g], at[g] - hi[g], at[g] - lo[g] + span)
+                yield pd.DataFrame({"bucket": ((d ^ t) % 1009).astype(np.int32), "ctx": None, "doc_id": d, "twin": t, "at": a.astype(np.int32), "stop": z.astype(np.int32)})
 
-    return map_frames(docs, run, "bucket int, ctx binary, doc_id long, at int, stop int")
+    return map_frames(docs, run, "bucket int, ctx binary, doc_id long, twin long, at int, stop int")
 
 
-def merged_intervals(d: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of each id, those that touch united."""
+def merged_intervals(d: np.ndarray, t: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each row (id and twin), those that touch united."""
     if not len(d):
-        return d, start, stop
-    order = np.lexsort((start, d))
-    d, start, stop = d[order], start[order], stop[order]
-    shift = (np.cumsum(np.r_[False, d[1:] != d[:-1]])).astype(np.int64) << 33  # one axis for all ids
+        return d, t, start, stop
+    order = np.lexsort((start, t, d))
+    d, t, start, stop = d[order], t[order], start[order], stop[order]
+    shift = (np.cumsum(np.r_[False, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])).astype(np.int64) << 33  # one axis for all rows
     reach = np.maximum.accumulate(stop + shift)
     new = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]])
-    return d[new], start[new], (reach - shift)[np.r_[new[1:], len(d)] - 1]
+    return d[new], t[new], start[new], (reach - shift)[np.r_[new[1:], len(d)] - 1]
 
 
 def sampled_leads(docs: DataFrame, n_docs: int, span: int, k: int, documents: int = 500, each: int = 256) -> np.ndarray:
@@ -346,7 +350,7 @@ HELD = 60_000
 
 
 def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int, held_rows: int = HELD) -> DataFrame:
-    """doc_id, start, stop; docs has doc_id and text."""
+    """doc_id, twin, start, stop; docs has doc_id, text and twin."""
     spark = docs.sparkSession
     back = span - k
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -369,11 +373,11 @@ def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int,
             for part, texts in _chunks(batches, 2 << 20):
                 c = Chunk(texts, span, k)
                 key = (c.hash & ~np.uint64(0xFFFF)) | (c.hash & np.uint64(buckets - 1))
-                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[c.text].array, "key": key.view(np.int64)}).drop_duplicates()
+                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[c.text].array, "twin": part["twin"].iloc[c.text].array, "key": key.view(np.int64)}).drop_duplicates()
 
-        keyed = map_frames(docs, anchors, "doc_id long, key long").join(found.mapInPandas(listed, "key long"), "key", "left_semi")
-        shared = keyed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("shared"))
-        rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "shared")
+        keyed = map_frames(docs, anchors, "doc_id long, twin long, key long").join(found.mapInPandas(listed, "key long"), "key", "left_semi")
+        shared = keyed.groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.collect_set("key").alias("shared"))
+        rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin")), "left").select("doc_id", "text", "twin", "shared")
 
     leads = sampled_leads(docs, n_docs, span, k)
     partitions = shuffle_partitions(spark)
@@ -381,75 +385,84 @@ def removed_intervals(docs: DataFrame, span: int, k: int, broadcast_bytes: int,
     hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
         cutting = b""  # the k-gram of a run that outgrew the task's bound
 
         def packed(*columns: np.ndarray | None) -> pd.DataFrame:  # a row of arrays: the checkpoint stays small
             columns = [None if c is None else c.to_numpy(np.int64) if isinstance(c, pd.Series) else c for c in columns]
-            return pd.DataFrame([columns], columns=["ids", "starts", "stops", "one", "two"])
+            columns[1] = columns[1] if columns[1].any() else None
+            return pd.DataFrame([columns], columns=["ids", "twins", "starts", "stops", "one", "two"])
 
-        def intervals(d: np.ndarray, a: np.ndarray, z: np.ndarray) -> pd.DataFrame:
-            d, a, z = merged_intervals(d, a, z)
-            return packed(d, a, z, None, None)
+        def intervals(*found: np.ndarray) -> pd.DataFrame:
+            return packed(*merged_intervals(*found), None, None)
 
         def settle(part: tuple, cut: bool) -> Iterator[pd.DataFrame]:
             run = Run(*part, span, k)
             yield intervals(*(run.settled() if cut else run.compared()))
             if cut:
                 w = run.open_windows()
-                yield packed(w["doc_id"], w["start"], None, w["one"], w["two"])
+                yield packed(w["doc_id"], w["twin"], w["start"], None, w["one"], w["two"])
 
         for b in batches:
             done = b["ctx"].isna()
             if done.any():
-                yield packed(b["doc_id"][done], b["at"][done], b["stop"][done], None, None)
+                yield packed(b["doc_id"][done], b["twin"][done], b["at"][done], b["stop"][done], None, None)
             for cut, rows in b[~done].groupby(b["bucket"] < 0, sort=False):
-                part = np.frombuffer(b"".join(rows["ctx"]), np.uint8).reshape(len(rows), -1), rows["doc_id"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+                part = np.frombuffer(b"".join(rows["ctx"]), np.uint8).reshape(len(rows), -1), rows["doc_id"].to_numpy(np.int64), rows["twin"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
                 if cut:
                     yield from settle(part, True)
                     continue
                 held.append(part)
                 waiting += len(rows)
             if waiting >= held_rows:
-                ctx, ids, at = (np.concatenate(x) for x in zip(*held))
+                ctx, *own = (np.concatenate(x) for x in zip(*held))  # own: ids, twins, places
                 gram = ctx[:, 2 + back : 2 + back + k]
                 heads = np.r_[0, np.flatnonzero((gram[1:] != gram[:-1]).any(axis=1)) + 1]
                 if gram[0].tobytes() == cutting:  # the rest of the cut run
                     stop = heads[1] if len(heads) > 1 else len(ctx)
-                    yield from settle((ctx[:stop], ids[:stop], at[:stop]), True)
-                    ctx, ids, at, heads = ctx[stop:], ids[stop:], at[stop:], heads[1:] - stop
+                    yield from settle((ctx[:stop], *(x[:stop] for x in own)), True)
+                    ctx, own, heads = ctx[stop:], [x[stop:] for x in own], heads[1:] - stop
                 if len(heads) > 1:  # the last k-gram may go on in the next batch
-                    yield from settle((ctx[: heads[-1]], ids[: heads[-1]], at[: heads[-1]]), False)
-                    ctx, ids, at = ctx[heads[-1] :], ids[heads[-1] :], at[heads[-1] :]
+                    yield from settle((ctx[: heads[-1]], *(x[: heads[-1]] for x in own)), False)
+                    ctx, own = ctx[heads[-1] :], [x[heads[-1] :] for x in own]
                 if len(ctx) >= held_rows:
                     cutting = ctx[0, 2 + back : 2 + back + k].tobytes()
-                    yield from settle((ctx, ids, at), True)
-                    ctx, ids, at = ctx[:0], ids[:0], at[:0]
-                held, waiting = [(ctx, ids, at)], len(ctx)
+                    yield from settle((ctx, *own), True)
+                    ctx, own = ctx[:0], [x[:0] for x in own]
+                held, waiting = [(ctx, *own)], len(ctx)
         if waiting:
-            ctx, ids, at = (np.concatenate(x) for x in zip(*held))
+            ctx, *own = (np.concatenate(x) for x in zip(*held))
             same = (ctx[:, 2 + back : 2 + back + k] == np.frombuffer(cutting.ljust(k), np.uint8)).all(axis=1) if cutting else np.zeros(len(ctx), bool)
             for cut, of in ((True, same), (False, ~same)):
                 if of.any():
-                    yield from settle((ctx[of], ids[of], at[of]), cut)
+                    yield from settle((ctx[of], *(x[of] for x in own)), cut)
 
     dealt = suffix_rows(rows, span, k, splitters, hot, known, buckets).repartition(partitions, "bucket").sortWithinPartitions(F.col("bucket") >= 0, F.substring("ctx", 3 + back, k))
-    compared = checkpointed(map_frames(dealt, compare, "ids array<long>, starts array<int>, stops array<int>, one array<long>, two array<long>"))
-    settled = compared.where("one IS NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("starts").alias("start"), F.col("stops").alias("stop"))))
-    across = compared.where("one IS NOT NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("starts").alias("start"), "one", "two")))
+    compared = checkpointed(map_frames(dealt, compare, "ids array<long>, twins array<long>, starts array<int>, stops array<int>, one array<long>, two array<long>"))
+    twins = F.coalesce("twins", F.array_repeat(F.lit(0).cast("long"), F.size("ids"))).alias("twin")
+    settled = compared.where("one IS NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), twins, F.col("starts").alias("start"), F.col("stops").alias("stop"))))
+    across = compared.where("one IS NOT NULL").select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), twins, F.col("starts").alias("start"), "one", "two")))
     if across.isEmpty():
         return settled
     owners = across.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
     late = lookup_join(across, owners, ["one", "two"], "inner", F.struct("doc_id", "start")).where("least < doc_id")
-    return settled.unionByName(late.select("doc_id", "start", (F.col("start") + span).alias("stop")))
+    return settled.unionByName(late.select("doc_id", "twin", "start", (F.col("start") + span).alias("stop")))
+
+
+def with_twins(docs: DataFrame) -> DataFrame:
+    """doc_id, text, twin: 0 where the id alone tells the row from all others with another text, else the text's hash."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id IS NOT NULL").select("doc_id", hashed.alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    marked = lookup_join(docs, several.select("doc_id", F.lit(True).alias("_several")), ["doc_id"], "left", hashed)
+    return marked.select("doc_id", "text", F.when(F.col("doc_id").isNull() | F.col("_several"), hashed).otherwise(F.lit(0).cast("long")).alias("twin"))
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes: int = 64 << 20, held_rows: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans [(start, stop)] in bytes, kept (binary), one row for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_intervals(rows, span, k, broadcast_bytes, held_rows).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    joined = rows.join(gone, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id"), "left").select("doc_id", "text", "gone")
+    rows = with_twins(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    gone = removed_intervals(rows, span, k, broadcast_bytes, held_rows).groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    joined = rows.join(gone, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id")) & (F.col("twin") == F.col("_twin")), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, texts in _chunks(batches, 4 << 20):
@@ -458,7 +471,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, k: int = 20, broadcast_bytes
                 spans = []
                 if gone is not None:
                     g = np.array([(x["start"], x["stop"]) for x in gone], np.int64)
-                    _, a, z = merged_intervals(np.zeros(len(g), np.int64), g[:, 0], g[:, 1])
+                    same = np.zeros(len(g), np.int64)
+                    *_, a, z = merged_intervals(same, same, g[:, 0], g[:, 1])
                     spans = list(zip(a.tolist(), z.tolist()))
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))

@@ -162,6 +162,78 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.remove_repeats(empty).count() == 0
 
 
+def plain_line_dedup(rows, min_words):
+    """(id, text) -> removed spans of maximal runs, by lists and dictionaries."""
+    import re
+
+    def sentences(text):
+        out, at = [], 0
+        for m in re.finditer(r"[^\n.!?]|[.!?]+(?!\s)|[.!?]*\s+|[.!?]+$|\n", text):
+            end = m.end()
+            if end == len(text) or re.search(r"[.!?]\s+$", text[at:end]) or "\n" in m.group():
+                if text[at:end].strip() or out:
+                    out.append((at, end, text[at:end]))
+                at = end
+        return out
+
+    units = {}
+    for i, text in set(rows):
+        lines, line, k = [], [], 0
+        for m in sentences(text or ""):
+            words = m[2].lower().split()
+            if words:
+                line.append((k, m[0], m[1], words))
+                k += 1
+            if line and ("\n" in m[2] or m[1] == len(text)):
+                lines.append([*line[:-1], (*line[-1][:2], max(m[1], line[-1][2]), line[-1][3])])
+                line = []
+        units[i, text] = lines
+    rank = lambda i: (i is None, i or 0)
+    owner = {}
+    for (i, _), lines in units.items():
+        for line in lines:
+            for key in [tuple(w for s in line for w in s[3]) + ("line",), *[tuple(s[3]) for s in line]]:
+                owner[key] = min(owner.get(key, rank(i)), rank(i))
+    out = {}
+    for (i, text), lines in units.items():
+        seen, gone, lined, flat = set(), set(), set(), []
+        for line in lines:
+            for s in line:
+                flat.append(s)
+                if tuple(s[3]) in seen or owner[tuple(s[3])] < rank(i):
+                    gone.add(s[0])
+                seen.add(tuple(s[3]))
+            key = tuple(w for s in line for w in s[3]) + ("line",)
+            if key in seen or owner[key] < rank(i):
+                lined |= {s[0] for s in line}
+            seen.add(key)
+        runs: list[list[int]] = []
+        for k in sorted(gone):
+            if runs and runs[-1][-1] == k - 1:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        long = {k for r in runs if sum(len(flat[k][3]) for k in r) >= min_words for k in r}
+        final = gone & (lined | long)
+        out[i, text] = "".join(text[s[1]:(flat[k + 1][1] if k + 1 < len(flat) else len(text))] for k, s in enumerate(flat) if s[0] not in final)
+    return out
+
+
+def test_line_dedup_tells_rows_apart(spark):
+    """Null ids and ids with two texts lose what smaller ids have and nothing else."""
+    rnd = random.Random(11)
+    own = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) + "."
+    shared, passage = [own() for _ in range(4)], " ".join(own() for _ in range(3))
+    rows = [(1, shared[0]), (None, f"{shared[0]}\nfirst text"), (None, own() * 3), (7, f"{own()}\n{shared[1]}"), (7, f"{shared[1]}\n{own()}"), (9, f"{shared[1]}\n{shared[0]}\n{own()}"), (9, own()), (9, own()), (None, f"{shared[2]}\n{own()}"), (None, f"{own()}\n{shared[2]}")]
+    rows += [(20, f"{own()} {passage} {own()}"), (21, f"{own()} {passage} {own()}"), (None, f"{own()} {passage}"), (22, f"{own()}\n{own()} {passage}\n{own()}"), (22, None), (23, "")]
+    rows += [rows[0], rows[4], rows[1]]
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = plain_line_dedup([(i, t or "") for i, t in rows], 25)
+    originals = sorted((str(i), want[i, t or ""]) for i, t in rows)
+    assert sorted((str(r.doc_id), r.kept_text) for r in got) == originals
+    assert want[None, rows[2][1]] == rows[2][1] and want[7, rows[4][1]] == rows[4][1] and passage not in want[21, rows[11][1]]
+
+
 def test_short_lines(spark):
     texts = ["A short copy.", "a SHORT  copy.", "own one\nsame line\nown two\nsame line\n\nown three", "own four\nSame line\nFirst own. Two words here. Last own.", "Begins new. Two words here. Ends new.", "Two words here. Ends new.\nsame line"]
     got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
@@ -292,6 +364,26 @@ def test_suffix_dedup_awkward(spark):
         assert got == {i: want[(1 << 62) if i is None else i] for i in texts}
 
 
+@pytest.mark.parametrize("extra", [{}, {"broadcast_bytes": 0}, {"held_rows": 20}])
+def test_suffix_dedup_tells_rows_apart(spark, extra):
+    """Null ids and ids with two texts lose what smaller ids have and nothing else."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+    a, b, c = words(15), words(20), words(18)
+    rows = [(1, a), (None, f"{a}\nfirst"), (None, words(25)), (None, f"{words(5)} {b}"), (None, f"{b} {words(9)}"), (7, f"{words(8)} {a}"), (7, f"{words(30)}"), (7, f"{c} {words(3)}"), (7, f"{words(4)} {c}"), (9, f"{words(2)} {c} {b}"), (9, None)]
+    rows += [rows[0], rows[5], rows[1]]
+    want = {}
+    for i, t in set(rows):
+        raw = (t or "").encode()
+        smaller = [(u or "").encode() for j, u in rows if j is not None and (i is None or j < i)]
+        hit = [any(raw[s : s + 50] in u for u in smaller) for s in range(len(raw) - 49)]
+        keep = [not any(hit[max(0, p - 49) : p + 1]) for p in range(len(raw))]
+        want[i, t] = bytes(x for x, k in zip(raw, keep) if k)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **extra).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == sorted((str(i), want[i, t]) for i, t in rows)
+    assert want[rows[2]] == rows[2][1].encode() and want[rows[8]] == rows[8][1].encode() and len(want[rows[5]]) < len(rows[5][1])
+
+
 def test_multikey_order():
     import numpy as np
 
