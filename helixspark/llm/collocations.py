@@ -7,9 +7,11 @@ max_words words are found for each part (language) by scans over shards of the r
    that are active: words from scan 0 on; a longer phrase from the scan after both its subphrases (without the last word, without
    the first) had reached min_count. Each phrase is counted for one full cycle, so in each shard once. So lengths interleave,
    and it ends when no phrase is active any more.
-2. Scans count 64-bit keys, summed by partial aggregates; only the sums of the scans of one cycle are looked at again. What reached
-   min_count is handed to the tasks as a table of `cells` bytes, each the first scan in which a phrase of that cell did so. Its size is fixed, however
-   large the corpus. Keys or phrases that share a cell become active together: then more is counted, but nothing is lost.
+2. Scans count cells, not phrases: a phrase's 64-bit key falls into one of the cells of its length (`cells` for pairs, a quarter of it for
+   each other length), counted for each first scan, so counts are upper bounds. A task packs a chunk's counts into one row for each block of 32768 cells, and blocks are summed by streaming over
+   sorted rows, in two rounds (salted by chunk, then not), so a task holds one block whatever the corpus. What reached min_count is
+   handed to the tasks as a table of a byte a cell: the first scan in which it did. Its size follows the corpus
+   up to most_cells. Phrases that share a cell become active together: then more is counted, but nothing is lost.
 3. A last pass over all shards counts the phrases whose cells reached min_count, by their words, so counts are exact and false
    candidates go.
 
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from helixspark.llm.shingles import mixed
 
 NEVER = 255
 CHUNK = 12 << 20
+BLOCK_BITS = 15
+BLOCK = 1 << BLOCK_BITS
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = 64
@@ -93,10 +98,15 @@ def word_keys(lengths: np.ndarray, letters: np.ndarray, part: str) -> np.ndarray
         return mixed((np.add.reduceat(values, at) + lengths.astype(np.uint64)) ^ np.uint64(xxhash.xxh3_64_intdigest(part)))
 
 
-def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length up to top: the length, places, keys and first scans of the phrases whose subphrases have reached the
+def regions(cells: int, max_words: int) -> list[tuple[int, int]]:
+    """(first cell, number of cells) of each length from 0 on; numbers are powers of two."""
+    sizes = [0] + [cells if k == 2 else max(1, cells // 4) for k in range(1, max_words + 1)]
+    return list(zip(np.cumsum([0, *sizes]).tolist(), sizes))
+
+
+def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, where: list[tuple[int, int]], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length up to top: the length, places, cells and first scans of the phrases whose subphrases have reached the
     minimum, and the scans in which they did themselves (or NEVER)."""
-    mask = np.uint64(len(reached) - 1)
     at, key, first, state = np.arange(len(keys)), keys, np.zeros(len(keys), np.uint8), reached[:0]
     for k in range(1, top + 1):
         if k > 1:
@@ -106,26 +116,70 @@ def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, top: int)
             with np.errstate(over="ignore"):
                 key = mixed(key[pair] * _STEP + keys[at[pair] + k - 1] + np.uint64(k))
             at, first = at[pair], np.maximum(state[pair], state[pair + 1]) + np.uint8(1)
-        state = reached[key & mask]
-        yield k, at, key, first, state
+        base, size = where[k]
+        cell = (key & np.uint64(size - 1)).astype(np.int64) + base
+        state = reached[cell]
+        yield k, at, cell, first, state
+
+
+def packed(cells: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(block, offsets, counts) of sorted cells."""
+    blocks = cells >> BLOCK_BITS
+    cut = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(cells) else np.zeros(0, int)
+    low = (cells & (BLOCK - 1)).astype(np.uint16)
+    return [(int(blocks[i]), low[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(cells)])]
 
 
-def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.ndarray, tops: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """key, first (the phrase's first scan), words, n of the phrases that scan t counts; tops: the lengths that may be active."""
+def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.ndarray, where: list[tuple[int, int]], tops: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """words, first (the phrases' first scan), block, salt (of the chunk), offsets, counts: the cells that scan t counts. tops: the lengths that may be active."""
     for part, raw in chunks(batches):
         _, lengths, pieces, letters = words_of(raw)
         if not len(lengths):
             continue
-        for k, _, key, first, _ in levels(word_keys(lengths, letters, part), pieces, reached, max(tops)):
+        salt = xxhash.xxh32_intdigest(raw[:64]) & 0x7FFFFFFF
+        for k, _, cell, first, _ in levels(word_keys(lengths, letters, part), pieces, reached, where, max(tops)):
             for f in range(max(0, t - shards + 1), t + 1) if k in tops else ():
-                found, n = np.unique(key[first == f], return_counts=True)
-                for lo in range(0, len(found), 100_000):
-                    some = slice(lo, lo + 100_000)
-                    size = len(found[some])
-                    yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(np.full(size, f, np.int32)), pa.array(np.full(size, k, np.int32)), pa.array(n[some].astype(np.int64))], ["key", "first", "words", "n"])
+                rows = packed(*np.unique(cell[first == f], return_counts=True))
+                if rows:
+                    n = len(rows)
+                    columns = [pa.array(np.full(n, v, np.int32)) for v in (k, f)] + [pa.array([r[0] for r in rows], pa.int32()), pa.array(np.full(n, salt, np.int32)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["words", "first", "block", "salt", "offsets", "counts"])
 
 
-def exact_counts(batches: Iterator[pa.RecordBatch], reached: np.ndarray, max_words: int) -> Iterator[pa.RecordBatch]:
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums rows that follow each other with the same words, first, block and salt; holds one block."""
+    total, now = np.zeros(BLOCK, np.int64), None
+
+    def row() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        values = [pa.array([v], pa.int32()) for v in now] + [pa.array([x], pa.binary()) for x in (at.astype(np.uint16).tobytes(), total[at].tobytes())]
+        return pa.RecordBatch.from_arrays(values, ["words", "first", "block", "salt", "offsets", "counts"])
+
+    for b in batches:
+        for *key, offsets, counts in zip(*(b.column(c).to_pylist() for c in ("words", "first", "block", "salt", "offsets", "counts"))):
+            if key != now:
+                if now is not None:
+                    yield row()
+                now = key
+                total[:] = 0
+            total[np.frombuffer(offsets, np.uint16)] += np.frombuffer(counts, np.int64)  # offsets are distinct
+    if now is not None:
+        yield row()
+
+
+_CELLS = "words int, first int, block int, salt int, offsets binary, counts binary"
+_OF_BLOCK = ["words", "first", "block", "salt"]
+
+
+def summed_blocks(rows: DataFrame, salts: int) -> DataFrame:
+    """Blocks summed over all rows, those of one salt first; the salt is 0 after."""
+    for n in (salts, 1) if salts > 1 else (1,):
+        dealt = rows.withColumn("salt", F.pmod("salt", F.lit(n)).cast("int"))
+        rows = dealt.repartition(*_OF_BLOCK).sortWithinPartitions(*_OF_BLOCK).mapInArrow(summed, _CELLS)
+    return rows
+
+
+def exact_counts(batches: Iterator[pa.RecordBatch], reached: np.ndarray, where: list[tuple[int, int]], max_words: int) -> Iterator[pa.RecordBatch]:
     """part, phrase, words, n of all phrases whose cells reached the minimum, counted by their words; phrase '' and 0 words: all words of the part."""
     for part, raw in chunks(batches):
         starts, lengths, pieces, letters = words_of(raw)
@@ -133,30 +187,43 @@ def exact_counts(batches: Iterator[pa.RecordBatch], reached: np.ndarray, max_wor
             continue
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-        ids, names = spelled.indices.to_numpy().astype(np.int64), spelled.dictionary.to_pylist()
-        out: list[tuple[list, list, int]] = [([""], [len(lengths)], 0)]
-        codes = np.zeros(len(ids), np.int64)  # of the phrase that starts here, dense in each length
-        for k, at, _, _, state in levels(word_keys(lengths, letters, part), pieces, reached, max_words):
-            ok = state != NEVER
-            at = at[ok]
+        ids, names = spelled.indices.to_numpy().astype(np.int64), spelled.dictionary.cast(pa.large_string())
+        out: list[tuple[pa.Array, np.ndarray, int]] = [(pa.array([""], pa.large_string()), np.array([len(lengths)]), 0)]
+        codes = ids.copy()  # of the phrase that starts here, dense in each length
+        for k, at, _, _, state in levels(word_keys(lengths, letters, part), pieces, reached, where, max_words):
+            at = at[state != NEVER]
+            if k == 1:
+                n = np.bincount(ids[at], minlength=len(names))
+                seen = np.flatnonzero(n)
+                out.append((names.take(pa.array(seen)), n[seen], 1))
+                continue
             whole = codes[at] * len(names) + ids[at + k - 1]
-            _, one, dense, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            found, dense, n = np.unique(whole, return_inverse=True, return_counts=True)
             codes[at] = dense
-            out.append(([b" ".join([names[i] for i in ids[p : p + k]]).decode() for p in at[one].tolist()], n.tolist(), k))
+            one = np.zeros(len(found), np.int64)
+            one[dense] = at  # any of the phrase's places
+            out.append((pc.binary_join_element_wise(*[names.take(pa.array(ids[one + j])) for j in range(k)], pa.scalar(" ", pa.large_string())), n, k))
         for texts, n, k in out:
             for lo in range(0, len(texts), 50_000):
-                some = texts[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), pa.array(some, pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(n[lo : lo + 50_000], pa.int64())], ["part", "phrase", "words", "n"])
+                some = texts.slice(lo, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), some.cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(n[lo : lo + 50_000].astype(np.int64))], ["part", "phrase", "words", "n"])
+
 
+def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shards: int = 3, cells: int | None = None, most_cells: int = 1 << 28, text_col: str = "text", part_col: str = "lang") -> DataFrame:
+    """part, phrase, words, n of all phrases with n >= min_count, and a row (phrase '', words 0) with all words of each part.
 
-def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shards: int = 3, cells: int = 1 << 24, text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """part, phrase, words, n of all phrases with n >= min_count, and a row (phrase '', words 0) with all words of each part. cells: a power of two."""
+    cells: of pairs of words, a power of two; by default one for each 64 bytes of text, from 2 ** 18 to most_cells.
+    """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
     rows = docs.select(F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"), F.col(text_col).alias("text")).where("length(text) > 0")
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{folder}/rows")
     dealt = spark.read.schema("part string, text string, shard int").parquet(f"{folder}/rows")
-    reached, last, t = np.full(cells, NEVER, np.uint8), {0: 0}, 0  # last: the last scan in which a phrase of a length reached the minimum
+    n_bytes = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = cells or min(most_cells, max(1 << 18, 1 << (n_bytes // 64).bit_length()))
+    salts = int((n_bytes / CHUNK / shards) ** 0.5) // 4
+    where = regions(cells, max_words)
+    reached, last, t = np.full(sum(where[-1]), NEVER, np.uint8), {0: 0}, 0  # last: the last scan in which a cell of a length reached the minimum
     while True:
         tops = tuple(k for k in range(1, max_words + 1) if last.get(k - 1, -NEVER) + shards + (k > 1) > t)
         if not tops:
@@ -164,23 +231,30 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
         if t == NEVER - 1:
             raise RuntimeError("fewer shards or words, please: scans are numbered in a byte")
         table = spark.sparkContext.broadcast(reached)
-        read = lambda found, t=t, table=table, tops=tops: scan(found, t, shards, table.value, tops)
-        counted = dealt.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(read, "key long, first int, words int, n long")
-        counted.groupBy("key", "first", "words").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/scans/scan={t}")
+        read = lambda found, t=t, table=table, tops=tops: scan(found, t, shards, table.value, where, tops)
+        counted = dealt.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(read, _CELLS)
+        summed_blocks(counted, salts).write.parquet(f"{folder}/scans/scan={t}")
         table.unpersist()
-        cycle = spark.read.schema("key long, first int, words int, n long, scan int").parquet(f"{folder}/scans")
-        cycle = cycle.where((F.col("scan") > t - shards) & (F.col("first") > t - shards))
-        over = cycle.groupBy("key", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("words", F.col("key").bitwiseAND(cells - 1).alias("cell"))
-        marks = over.groupBy("words", F.shiftright("cell", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(32767)).alias("bits"))
-        for words, block, bits in marks.collect():  # at most max_words * cells / 8 bytes
-            at = (block << 15) + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-            new = at[reached[at[at < cells]] == NEVER]
-            reached[new] = t
-            if len(new):
+        cycle = spark.read.schema(f"{_CELLS}, scan int").parquet(f"{folder}/scans").where((F.col("scan") > t - shards) & (F.col("first") > t - shards)).drop("scan")
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in summed(batches):
+                counts = np.frombuffer(b.column("counts")[0].as_py(), np.int64)
+                bits = np.zeros(BLOCK, bool)
+                bits[np.frombuffer(b.column("offsets")[0].as_py(), np.uint16)[counts >= min_count]] = True
+                if bits.any():
+                    yield pa.RecordBatch.from_arrays([b.column("words"), b.column("block"), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["words", "block", "bits"])
+
+        marks = cycle.repartition(*_OF_BLOCK).sortWithinPartitions(*_OF_BLOCK).mapInArrow(over, "words int, block int, bits binary")
+        fresh = [(words, (block << BLOCK_BITS) + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))) for words, block, bits in marks.toLocalIterator()]  # at most max_words * shards * cells / 8 bytes
+        fresh = [(words, at[reached[at] == NEVER]) for words, at in fresh]
+        for words, at in fresh:
+            reached[at] = t
+            if len(at):
                 last[words] = t
         t += 1
     table = spark.sparkContext.broadcast(reached)
-    exact = dealt.select("part", "text").mapInArrow(lambda found: exact_counts(found, table.value, max_words), "part string, phrase string, words int, n long")
+    exact = dealt.select("part", "text").mapInArrow(lambda found: exact_counts(found, table.value, where, max_words), "part string, phrase string, words int, n long")
     return checkpointed(exact.groupBy("part", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("words") == 0)))
 
 
