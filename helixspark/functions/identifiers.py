@@ -61,5 +61,6 @@ def safe_log10(value: Column, floor: float = 1e-10) -> Column:
 
 
 def enrichment(af: Column, background: Column) -> Column:
-    """af / (background + 1e-9), at most 1000; 1.0 if either is null."""
-    return F.coalesce(F.least(F.lit(1000.0), af / (background + 1e-9)), F.lit(1.0))
+    """af / (background + 1e-9), at most 1000; what a source doesn't have counts as 0. Without a source the feature's default, 1.0, holds."""
+    zero = F.lit(0.0)
+    return F.least(F.lit(1000.0), F.coalesce(af, zero) / (F.coalesce(background, zero) + 1e-9))

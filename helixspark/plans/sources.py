@@ -154,7 +154,7 @@ SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY last
     "position_score_rows": f"WITH r AS ({S.plain(POSITIONS)}) SELECT replace(a, 'chr', '') AS chrom, b::INT AS pos, max(c::DOUBLE) AS score FROM r WHERE b <> 'pos' GROUP BY 1, 2",
     "population_rows": f"""WITH {_V}, q AS (SELECT replace(chrom, 'chr', '') AS c, pos AS p FROM v WHERE gene_symbol = 'GENE7' AND replace(chrom, 'chr', '') <> 'M'), b AS (SELECT min(p) AS lo, max(p) AS hi FROM q),
 k AS (SELECT {_CHROM} AS chrom, pos, upper(ref) AS ref, upper(alt) AS alt, max(allele_freq) AS f, max(CASE WHEN pos % 2 = 0 THEN allele_freq / 4 END) AS o FROM v, b WHERE pos BETWEEN lo AND hi AND {_CHROM} IN (SELECT c FROM q) GROUP BY 1, 2, 3, 4)
-SELECT chrom, count(*) AS n, round(sum(coalesce(least(1000.0, f / (o + 1e-9)), 1.0)), 4) AS total_enrichment FROM k GROUP BY 1""",
+SELECT chrom, count(*) AS n, round(sum(least(1000.0, coalesce(f, 0) / (coalesce(o, 0) + 1e-9))), 4) AS total_enrichment FROM k GROUP BY 1""",
     "disease_mutation_rows": f"""WITH {_V}, k AS (SELECT {_CHROM} AS chrom, pos, upper(ref) AS r, upper(alt) AS a, max((clinical_sig = 'Pathogenic' OR contains(clinical_sig, 'onflict'))::INT) AS hgmd_is_disease_mutation, count(*)::INT AS hgmd_n_reports FROM v GROUP BY 1, 2, 3, 4)
 SELECT chrom, hgmd_is_disease_mutation, hgmd_n_reports, count(*) AS n FROM k GROUP BY 1, 2, 3""",
     "gene_source_rows": """WITH d AS (SELECT concat('GENE', l_suppkey) AS g, count(*)::INT AS n FROM lineitem WHERE l_tax > 0.04 GROUP BY 1), v AS (SELECT concat('GENE', l_suppkey) AS g, max(CASE WHEN l_quantity > 45 THEN 5 WHEN l_quantity > 30 THEN 4 WHEN l_quantity > 10 THEN 2 ELSE 0 END) AS s FROM lineitem WHERE l_discount < 0.01 GROUP BY 1)
