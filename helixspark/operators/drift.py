@@ -158,7 +158,8 @@ def decision(feature_report: DataFrame, label_report: DataFrame) -> DataFrame:
 def reference_statistics(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """A row a feature: n, mean, deviation, lo and hi (1st and 99th percentile) and the counts of the bins between; to be stored and reused."""
     long = df.unpivot([], features, "feature", "x").where("x IS NOT NULL AND NOT isnan(x)")
-    ref = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.percentile("x", 0.01).alias("lo"), F.percentile("x", 0.99).alias("hi"))
+    ends = E.exact_percentiles(long, "x", [0.01, 0.99], ["feature"]).select("feature", F.get("percentiles", F.lit(0)).alias("lo"), F.get("percentiles", F.lit(1)).alias("hi"))
+    ref = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).join(ends, "feature")
     return _with_bins(long, ref, bins, "counts")
 
 

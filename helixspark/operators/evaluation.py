@@ -11,29 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from helixspark.operators.selection import exact_percentiles, joined_by, running_sums
+
 #: Drift actions by population stability index.
 PSI_LEVELS = [(0.25, "retrain"), (0.20, "monitor")]
 
 
-def running_sums(df: DataFrame, order: str, values: list[str], slices: int = 256) -> DataFrame:
-    """Adds `upto_<v>` (sum of v over rows of an equal or smaller `order`) and `next_<order>`; rows have distinct values of `order`.
-
-    Approximate quantiles cut the axis into slices, each slice is ordered by itself and the slices' totals (at most `slices` rows)
-    give what lies before it. Null values of `order` come first.
-    """
-    edges = df.agg(F.percentile_approx(order, [k / slices for k in range(1, slices)], 20 * slices)).first()[0] or []
-    cut = F.array_size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    cutted = df.withColumn("_slice", F.coalesce(cut, F.lit(-1)))
-    w, across = Window.partitionBy("_slice").orderBy(order), Window.orderBy("_slice")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    totals = cutted.groupBy("_slice").agg(F.min(order).alias("_least"), *[F.sum(v).alias(f"_{v}") for v in values])
-    totals = totals.select("_slice", F.lead("_least").over(across).alias("_following"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    inner = cutted.withColumns({f"upto_{v}": F.sum(v).over(upto) for v in values} | {f"next_{order}": F.lead(order).over(w)})
-    out = inner.join(F.broadcast(totals), "_slice")
-    return out.withColumns({f"upto_{v}": F.col(f"upto_{v}") + F.col(f"_{v}") for v in values} | {f"next_{order}": F.coalesce(f"next_{order}", "_following")}).drop("_slice", "_following", *[f"_{v}" for v in values])
-
-
 def score_curve(scored: DataFrame) -> DataFrame:
     """A row a distinct score as the threshold (score >= threshold is positive): tp, fp, tpr, fpr, ppv."""
     hist = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).withColumn("_down", -F.col("score"))
@@ -162,7 +145,8 @@ def conformal_intervals(scored: DataFrame, calibration: Column, alpha: float = 0
     gap = F.abs(F.col("label") - F.col("score"))
     n = scored.where(calibration).agg(F.count("*").alias("n_cal")).first()[0]
     level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / n) if n else 1.0
-    q = F.lit(scored.where(calibration).agg(F.percentile(gap, level)).first()[0]).cast("double")
+    found = exact_percentiles(scored.where(calibration).select(gap.alias("gap")), "gap", [level]).first()
+    q = F.lit(found["percentiles"][0] if found else None).cast("double")
     bound = lambda x: F.when(q.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     return scored.where(~calibration).withColumns({"quantile": q, "lower": bound(F.col("score") - q), "upper": bound(F.col("score") + q), "covered": gap <= q})
 
@@ -176,7 +160,9 @@ def conformal(scored: DataFrame, calibration: Column, alpha: float = 0.1) -> Dat
 def feature_drift(df: DataFrame, features: list[str], tag: str, bins: int = 10) -> DataFrame:
     """A row a feature: PSI (equal-width bins over the reference's 1st to 99th percentile, shares of all rows, floor 1e-4), Jensen-Shannon, shift, action."""
     long = df.unpivot([tag], features, "feature", "x").where("x IS NOT NULL AND NOT isnan(x)")
-    ref = long.where(F.col(tag) == 0).groupBy("feature").agg(F.percentile("x", 0.01).alias("lo"), F.percentile("x", 0.99).alias("hi"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    old_rows = long.where(F.col(tag) == 0)
+    ends = exact_percentiles(old_rows, "x", [0.01, 0.99], ["feature"]).select("feature", F.get("percentiles", F.lit(0)).alias("lo"), F.get("percentiles", F.lit(1)).alias("hi"))
+    ref = old_rows.groupBy("feature").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).join(ends, "feature")
     k = F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
     old, new = F.count_if(F.col(tag) == 0), F.count_if(F.col(tag) == 1)
     joined = long.join(F.broadcast(ref), "feature")  # a row a feature

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.operators.selection import exact_percentiles
+
 #: Terms of effect lists, classes and effect ids that mean pathogenic (1) or benign (0).
 EFFECT_TERMS = {"functionprobablyaffected": 1, "functionaffected": 1, "functionnotaffected": 0}
 EFFECT_IDS = {"99": 1, "1": 1, "11": 0, "10": 0}
@@ -107,6 +109,10 @@ def capped(df: DataFrame, rows: int, key: Column) -> DataFrame:
 
 def filled(df: DataFrame, numbers: dict[str, str], categories: list[str]) -> DataFrame:
     """Nulls of number columns by their 'mean' or 'median' (one row, broadcast), of categories by __missing__."""
-    rule = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}
-    out = df.crossJoin(F.broadcast(df.agg(*[rule[r](c).alias(f"_{c}") for c, r in numbers.items()]))) if numbers else df
-    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in numbers} | {c: F.coalesce(c, F.lit("__missing__")) for c in categories}).drop(*[f"_{c}" for c in numbers])
+    values: dict[str, float | None] = {}
+    if means := [c for c, r in numbers.items() if r == "mean"]:
+        values |= df.agg(*[F.avg(c).alias(c) for c in means]).first().asDict()
+    if medians := [c for c, r in numbers.items() if r == "median"]:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in medians]).unpivot([], medians, "column", "x")
+        values |= {r["column"]: r["percentiles"][0] for r in exact_percentiles(long, "x", [0.5], ["column"]).collect()}  # a row a column
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(values.get(c))) for c in numbers} | {c: F.coalesce(c, F.lit("__missing__")) for c in categories})

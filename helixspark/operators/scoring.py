@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.operators import evaluation as E
+from helixspark.operators.selection import sliced
 
 #: Tiers (name, lower bound excluded, upper bound included), in order.
 TIERS = [("Pathogenic", 0.90, 1.01), ("Likely pathogenic", 0.70, 0.90), ("Uncertain significance", 0.30, 0.70), ("Likely benign", 0.10, 0.30), ("Benign", -0.01, 0.10)]
@@ -43,33 +46,89 @@ def tier(score: Column, tiers: list[tuple[str, float, float]] = TIERS) -> tuple[
     return name.otherwise("Uncertain significance"), sure.otherwise("low")
 
 
-def resampled(scored: DataFrame, replicates: int = 200, ci: float = 0.95, digits: int = 3, seed: int = 42) -> DataFrame:
-    """One row: AUROC and average precision with their percentile intervals over resamples of the rows.
+def _uniform(score: np.ndarray, salt: int, replicates: int) -> np.ndarray:
+    """A number in (0, 1) for each score and replicate, from a hash: the same wherever a cell is computed."""
 
-    Rows are first counted by (score to `digits` places, label); a cell's count in a replicate is Poisson with the cell's count as its
-    mean (the bootstrap's limit), drawn by quantile from a hash of (seed, replicate, cell). So the work after one pass over the rows is
-    replicates x cells, whatever their number. Replicates with one class only don't count. Replicate 0 is the rows as they are.
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    step = np.uint64(0x9E3779B97F4A7C15)
+    cell, turn = mix(score.view(np.uint64) + np.uint64(salt) * step), mix(np.arange(1, replicates + 1, dtype=np.uint64) * step)
+    return ((mix(cell[:, None] + turn[None, :]) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def poisson_counts(counts: np.ndarray, score: np.ndarray, salt: int, replicates: int) -> np.ndarray:
+    """cells x (replicates + 1): column 0 the counts themselves, the others Poisson draws with the counts as means."""
+    out = np.zeros((len(counts), replicates + 1))
+    out[:, 0] = counts
+    for mean in np.unique(counts[counts > 0]):
+        rows = np.flatnonzero(counts == mean)
+        u = _uniform(score[rows], salt, replicates)
+        if mean <= 1000:
+            k = np.arange(int(mean + 12 * math.sqrt(mean)) + 20)
+            log_p = k * math.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])
+            out[rows, 1:] = np.searchsorted(np.cumsum(np.exp(log_p))[:-1], u)
+        else:  # the normal limit
+            normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * _uniform(score[rows], salt + 7919, replicates))
+            out[rows, 1:] = np.maximum(0, np.round(mean + math.sqrt(mean) * normal))
+    return out
+
+
+def resampled(scored: DataFrame, replicates: int = 1000, ci: float = 0.95, seed: int = 42, slices: int = 256, chunk: int = 1000) -> DataFrame:
+    """One row: AUROC and average precision of the rows and their percentile intervals over resamples of the rows.
+
+    Rows are counted by distinct score and label; a cell's count in a replicate is Poisson with the cell's count as its mean (the
+    bootstrap's limit), drawn from a hash of (seed, replicate, score, label). All replicates go through the sliced running sums
+    together, as columns of one array: a pass for the slices' totals, a pass for the sums inside each slice. A task holds one slice's
+    cells and chunk x replicates draws; the driver gets 4 numbers for each slice and replicate. Replicates with one class only don't count.
     """
-    cells = scored.groupBy(F.round("score", digits).alias("score")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    many = cells.select("score", "p", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-
-    def drawn(count: str, salt: str) -> Column:
-        unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.lit(k), F.col("replicate"), F.col("score")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
-        c = F.col(count).cast("double")
-        # up to 30 by the exact quantile, beyond by the normal limit
-        exact = F.aggregate(F.sequence(F.lit(0), F.lit(90)), F.struct(F.exp(-c).alias("term"), F.exp(-c).alias("upto"), F.lit(0).alias("k")),
-                            lambda a, i: F.struct((a["term"] * c / (i + 1)).alias("term"), (a["upto"] + a["term"] * c / (i + 1)).alias("upto"), (a["k"] + (a["upto"] < unit(1)).cast("int")).alias("k")))["k"]
-        return F.when(F.col("replicate") == 0, F.col(count)).when(c <= 30, exact.cast("long")).otherwise(F.greatest(F.lit(0), F.round(c + F.sqrt(c) * normal)).cast("long"))
-
-    down = Window.partitionBy("replicate").orderBy(F.desc("score"))
-    rows = many.select("replicate", "score", drawn("p", "p").alias("p"), drawn("n", "n").alias("n"))
-    c = rows.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    parts = c.groupBy("replicate").agg(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("u"), F.sum(F.col("p") * F.try_divide("tp", F.col("tp") + F.col("fp"))).alias("a"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    each = parts.where("np > 0 AND nn > 0").select("replicate", (F.col("u") / (F.col("np") * F.col("nn"))).alias("auroc"), (F.col("a") / F.col("np")).alias("ap"))
-    low, high, later = (1 - ci) / 2, 1 - (1 - ci) / 2, F.col("replicate") > 0
-    stats = [x for m in ("auroc", "ap") for x in (F.max(F.when(~later, F.col(m))).alias(m), F.percentile(F.when(later, F.col(m)), low).alias(f"{m}_low"), F.percentile(F.when(later, F.col(m)), high).alias(f"{m}_high"))]
-    return each.agg(*stats, F.count_if(later).alias("n_replicates"))
+    hist = scored.where("score IS NOT NULL").groupBy(F.col("score").cast("double").alias("score")).agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
+    cells = sliced(hist.withColumn("down", -F.col("score")), "down", slices)
+
+    def drawn(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        score = part["score"].to_numpy() + 0.0  # -0.0 is 0.0
+        return tuple(poisson_counts(part[c].to_numpy(), score, 2 * seed + k, replicates) for k, c in enumerate(("p", "n")))
+
+    def totals(of: pd.DataFrame) -> pd.DataFrame:
+        p = n = 0
+        for at in range(0, len(of), chunk):
+            a, b = drawn(of.iloc[at : at + chunk])
+            p, n = p + a.sum(axis=0), n + b.sum(axis=0)
+        return pd.DataFrame({"slice": [of["_slice"].iloc[0]], "p": [p.tobytes()], "n": [n.tobytes()]})
+
+    found = sorted(cells.groupBy("_slice").applyInPandas(totals, "slice int, p binary, n binary").collect())
+    if not found:
+        return scored.sparkSession.createDataFrame([(None,) * 6 + (0,)], _INTERVALS)
+    per_slice = {k: np.array([np.frombuffer(r[k]) for r in found]) for k in ("p", "n")}
+    before = {r["slice"]: tuple(per_slice[k][:i].sum(axis=0) for k in ("p", "n")) for i, r in enumerate(found)}
+
+    def sums(of: pd.DataFrame) -> pd.DataFrame:
+        tp, fp = before[of["_slice"].iloc[0]]
+        of = of.sort_values("down")
+        area = precision = 0
+        for at in range(0, len(of), chunk):
+            p, n = drawn(of.iloc[at : at + chunk])
+            tps, fps = tp + np.cumsum(p, axis=0), fp + np.cumsum(n, axis=0)
+            area = area + (n * (tps - p / 2)).sum(axis=0)
+            precision = precision + (p * tps / np.maximum(tps + fps, 1)).sum(axis=0)
+            tp, fp = tps[-1], fps[-1]
+        return pd.DataFrame({"area": [area.tobytes()], "precision": [precision.tobytes()]})
+
+    parts = cells.groupBy("_slice").applyInPandas(sums, "area binary, precision binary").collect()
+    positives, negatives = (per_slice[k].sum(axis=0) for k in ("p", "n"))
+    area, precision = (np.sum([np.frombuffer(r[k]) for r in parts], axis=0) for k in ("area", "precision"))
+    both = (positives > 0) & (negatives > 0)
+    row: list[float | int | None] = []
+    for sums_, total in ((area, positives * negatives), (precision, positives)):
+        value = np.divide(sums_, total, out=np.full(len(total), np.nan), where=both)
+        later = value[1:][both[1:]]
+        row += [float(value[0]) if both[0] else None, *([float(x) for x in np.percentile(later, [50 * (1 - ci), 50 * (1 + ci)])] if len(later) else [None, None])]
+    return scored.sparkSession.createDataFrame([(*row, int(both[1:].sum()))], _INTERVALS)
+
+
+_INTERVALS = "auroc double, auroc_low double, auroc_high double, ap double, ap_low double, ap_high double, n_replicates long"
 
 
 def reliability(scored: DataFrame, bins: int = 15, by: str | None = None, least: int = 50) -> DataFrame:
@@ -215,7 +274,7 @@ def retention(scored: DataFrame, cohort: str, threshold: float = 0.5) -> DataFra
 
 def quantile_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Calibration curve over bins between the scores' quantiles; equal scores share a bin, empty bins are left out."""
-    edges = scored.agg(F.percentile("score", F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("_e"))
+    edges = E.exact_percentiles(scored, "score", [k / bins for k in range(bins + 1)]).select(F.col("percentiles").alias("_e"))
     inner = F.slice("_e", 2, bins - 1)
     k = F.size(F.filter(inner, lambda e: e < F.col("score")))
     return scored.crossJoin(F.broadcast(edges)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("label"), 6).alias("positive_rate"))
@@ -224,8 +283,7 @@ def quantile_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
 def grouped_quality(scored: DataFrame, by: str, least: int = 20) -> DataFrame:
     """AUROC and average precision of each group with at least `least` rows and both classes."""
     hist = scored.groupBy(by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.partitionBy(by).orderBy(F.desc("score"))
-    c = hist.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    c = E.running_sums(hist.withColumn("_down", -F.col("score")), "_down", ["p", "n"], by=[by]).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp"})
     g = c.groupBy(by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("u"), F.sum(F.col("p") * F.try_divide("tp", F.col("tp") + F.col("fp"))).alias("a"))
     g = g.where((F.col("n_pos") + F.col("n_neg") >= least) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     return g.select(by, "n_pos", "n_neg", F.round(F.col("u") / (F.col("n_pos") * F.col("n_neg")), 6).alias("auroc"), F.round(F.col("a") / F.col("n_pos"), 6).alias("average_precision"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixspark.operators.selection import exact_percentiles
+
 
 def eqtl_by_locus(rows: DataFrame, key: list[str]) -> DataFrame:
     """gtex_is_eqtl, gtex_min_eqtl_pval (the largest -log10 p) and gtex_max_abs_effect a locus, from (p_value, beta) rows."""
@@ -57,7 +59,8 @@ def value_counts(df: DataFrame, by: list[str], flags: dict[str, Column]) -> Data
 
 def median_filled(df: DataFrame, column: str) -> DataFrame:
     """Nulls of the column by its exact median (one row, broadcast)."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(column, 0.5).alias("_m")))).withColumn(column, F.coalesce(column, "_m")).drop("_m")
+    found = exact_percentiles(df, column, [0.5]).first()
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(found["percentiles"][0] if found else None)))
 
 
 def outcomes(df: DataFrame, status: str) -> DataFrame:

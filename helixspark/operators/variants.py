@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import expressions as X
-from helixspark.operators.evaluation import running_sums
+from helixspark.operators.selection import running_sums
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -66,10 +66,7 @@ def score_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AUROC (ties count half), Brier score and counts at 0.5 from a histogram of the distinct scores."""
     by = by or []
     hist = scored.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"), F.sum(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("b"))
-    if by:
-        ranked = hist.withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        ranked = running_sums(hist, "score", ["n"]).withColumn("below", F.col("upto_n") - F.col("n"))
+    ranked = running_sums(hist, "score", ["n"], by=by).withColumn("below", F.col("upto_n") - F.col("n"))
     high = F.col("score") >= 0.5
     agg = ranked.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("b").alias("b"),

@@ -113,7 +113,7 @@ def member_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.resampled(_rich(spark, sf_dir), replicates=100)
+    return R.resampled(_rich(spark, sf_dir))
 
 
 def temperature_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
