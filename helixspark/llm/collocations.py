@@ -9,7 +9,8 @@ max_words words are found for each part (language) by scans over shards of the r
    and it ends when no phrase is active any more.
 2. Scans count cells, not phrases: a phrase's 64-bit key falls into one of the cells of its length (`cells` for pairs, a quarter of it for
    each other length), counted for each first scan, so counts are upper bounds. A task packs a chunk's counts into one row for each block of 32768 cells, and blocks are summed by streaming over
-   sorted rows, in two rounds (salted by chunk, then not), so a task holds one block whatever the corpus. What reached min_count is
+   sorted rows, in two rounds (salted by chunk, then not), so a task holds one block whatever the corpus. A count stops at min_count. What
+   the open cycles have so far is written after each scan and goes into the next one's sums. What reached min_count is
    handed to the tasks as a table of a byte a cell: the first scan in which it did. Its size follows the corpus
    up to most_cells. Phrases that share a cell become active together: then more is counted, but nothing is lost.
 3. A last pass over all shards counts the phrases whose cells reached min_count, by their words, so counts are exact and false
@@ -122,16 +123,22 @@ def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, where: lis
         yield k, at, cell, first, state
 
 
-def packed(cells: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """(block, offsets, counts) of sorted cells."""
+def counter(most: int) -> np.dtype:
+    """The smallest type that holds counts up to `most`."""
+    return np.min_scalar_type(most)
+
+
+def packed(cells: np.ndarray, n: np.ndarray, most: int) -> list[tuple[int, bytes, bytes]]:
+    """(block, offsets, counts) of sorted cells; counts stop at `most`."""
+    n = np.minimum(n, most).astype(counter(most))
     blocks = cells >> BLOCK_BITS
     cut = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(cells) else np.zeros(0, int)
     low = (cells & (BLOCK - 1)).astype(np.uint16)
     return [(int(blocks[i]), low[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(cells)])]
 
 
-def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.ndarray, where: list[tuple[int, int]], tops: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """words, first (the phrases' first scan), block, salt (of the chunk), offsets, counts: the cells that scan t counts. tops: the lengths that may be active."""
+def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.ndarray, where: list[tuple[int, int]], tops: tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """words, first (the phrases' first scan), block, salt (of the chunk), offsets, counts (up to `most`): the cells that scan t counts. tops: the lengths that may be active."""
     for part, raw in chunks(batches):
         _, lengths, pieces, letters = words_of(raw)
         if not len(lengths):
@@ -139,21 +146,23 @@ def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.nda
         salt = xxhash.xxh32_intdigest(raw[:64]) & 0x7FFFFFFF
         for k, _, cell, first, _ in levels(word_keys(lengths, letters, part), pieces, reached, where, max(tops)):
             for f in range(max(0, t - shards + 1), t + 1) if k in tops else ():
-                rows = packed(*np.unique(cell[first == f], return_counts=True))
+                rows = packed(*np.unique(cell[first == f], return_counts=True), most)
                 if rows:
                     n = len(rows)
                     columns = [pa.array(np.full(n, v, np.int32)) for v in (k, f)] + [pa.array([r[0] for r in rows], pa.int32()), pa.array(np.full(n, salt, np.int32)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["words", "first", "block", "salt", "offsets", "counts"])
 
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums rows that follow each other with the same words, first, block and salt; holds one block."""
-    total, now = np.zeros(BLOCK, np.int64), None
+def summed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sums rows that follow each other with the same words, first, block and salt, up to `most`; bits: the cells that reached it. Holds one block."""
+    total, now, kind = np.zeros(BLOCK, np.int64), None, counter(most)
 
     def row() -> pa.RecordBatch:
         at = np.flatnonzero(total)
-        values = [pa.array([v], pa.int32()) for v in now] + [pa.array([x], pa.binary()) for x in (at.astype(np.uint16).tobytes(), total[at].tobytes())]
-        return pa.RecordBatch.from_arrays(values, ["words", "first", "block", "salt", "offsets", "counts"])
+        n = np.minimum(total[at], most)
+        over = np.packbits(total >= most).tobytes() if (n == most).any() else None
+        values = [pa.array([v], pa.int32()) for v in now] + [pa.array([x], pa.binary()) for x in (at.astype(np.uint16).tobytes(), n.astype(kind).tobytes(), over)]
+        return pa.RecordBatch.from_arrays(values, ["words", "first", "block", "salt", "offsets", "counts", "bits"])
 
     for b in batches:
         for *key, offsets, counts in zip(*(b.column(c).to_pylist() for c in ("words", "first", "block", "salt", "offsets", "counts"))):
@@ -162,7 +171,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield row()
                 now = key
                 total[:] = 0
-            total[np.frombuffer(offsets, np.uint16)] += np.frombuffer(counts, np.int64)  # offsets are distinct
+            total[np.frombuffer(offsets, np.uint16)] += np.frombuffer(counts, kind)  # offsets are distinct
     if now is not None:
         yield row()
 
@@ -171,11 +180,11 @@ _CELLS = "words int, first int, block int, salt int, offsets binary, counts bina
 _OF_BLOCK = ["words", "first", "block", "salt"]
 
 
-def summed_blocks(rows: DataFrame, salts: int) -> DataFrame:
+def summed_blocks(rows: DataFrame, salts: int, most: int) -> DataFrame:
     """Blocks summed over all rows, those of one salt first; the salt is 0 after."""
     for n in (salts, 1) if salts > 1 else (1,):
-        dealt = rows.withColumn("salt", F.pmod("salt", F.lit(n)).cast("int"))
-        rows = dealt.repartition(*_OF_BLOCK).sortWithinPartitions(*_OF_BLOCK).mapInArrow(summed, _CELLS)
+        dealt = rows.drop("bits").withColumn("salt", F.pmod("salt", F.lit(n)).cast("int"))
+        rows = dealt.repartition(*_OF_BLOCK).sortWithinPartitions(*_OF_BLOCK).mapInArrow(lambda found: summed(found, most), f"{_CELLS}, bits binary")
     return rows
 
 
@@ -209,7 +218,7 @@ def exact_counts(batches: Iterator[pa.RecordBatch], reached: np.ndarray, where:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), some.cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(n[lo : lo + 50_000].astype(np.int64))], ["part", "phrase", "words", "n"])
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shards: int = 3, cells: int | None = None, most_cells: int = 1 << 28, text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shards: int = 2, cells: int | None = None, most_cells: int = 1 << 28, text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """part, phrase, words, n of all phrases with n >= min_count, and a row (phrase '', words 0) with all words of each part.
 
     cells: of pairs of words, a power of two; by default one for each 64 bytes of text, from 2 ** 18 to most_cells.
@@ -231,21 +240,13 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
         if t == NEVER - 1:
             raise RuntimeError("fewer shards or words, please: scans are numbered in a byte")
         table = spark.sparkContext.broadcast(reached)
-        read = lambda found, t=t, table=table, tops=tops: scan(found, t, shards, table.value, where, tops)
+        read = lambda found, t=t, table=table, tops=tops: scan(found, t, shards, table.value, where, tops, min_count)
         counted = dealt.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(read, _CELLS)
-        summed_blocks(counted, salts).write.parquet(f"{folder}/scans/scan={t}")
+        if t:
+            counted = counted.unionByName(spark.read.schema(_CELLS).parquet(f"{folder}/scan={t - 1}").where(F.col("first") > t - shards))
+        summed_blocks(counted, salts, min_count).write.parquet(f"{folder}/scan={t}")
         table.unpersist()
-        cycle = spark.read.schema(f"{_CELLS}, scan int").parquet(f"{folder}/scans").where((F.col("scan") > t - shards) & (F.col("first") > t - shards)).drop("scan")
-
-        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in summed(batches):
-                counts = np.frombuffer(b.column("counts")[0].as_py(), np.int64)
-                bits = np.zeros(BLOCK, bool)
-                bits[np.frombuffer(b.column("offsets")[0].as_py(), np.uint16)[counts >= min_count]] = True
-                if bits.any():
-                    yield pa.RecordBatch.from_arrays([b.column("words"), b.column("block"), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["words", "block", "bits"])
-
-        marks = cycle.repartition(*_OF_BLOCK).sortWithinPartitions(*_OF_BLOCK).mapInArrow(over, "words int, block int, bits binary")
+        marks = spark.read.schema("words int, block int, bits binary").parquet(f"{folder}/scan={t}").where("bits IS NOT NULL")
         fresh = [(words, (block << BLOCK_BITS) + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))) for words, block, bits in marks.toLocalIterator()]  # at most max_words * shards * cells / 8 bytes
         fresh = [(words, at[reached[at] == NEVER]) for words, at in fresh]
         for words, at in fresh:
@@ -272,8 +273,8 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, best:
     cuts = candidates.select("part", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("part", "phrase", "a", "k", span(F.lit(1), F.col("k")).alias("first"), span(F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
     of = phrases.select("part", "phrase", "f")
-    cuts = lookup_join(cuts, of.select("part", F.col("phrase").alias("first"), F.col("f").alias("l")), ["part", "first"], "inner", _spread(F.col("phrase")))
-    cuts = lookup_join(cuts, of.select("part", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["part", "rest"], "inner", _spread(F.col("phrase")))
+    cuts = cuts.join(of.select("part", F.col("phrase").alias("first"), F.col("f").alias("l")), ["part", "first"])
+    cuts = cuts.join(of.select("part", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["part", "rest"])
     whole = lambda c: F.col(c).cast("decimal(20,0)")
     scored = cuts.withColumn("top", F.lit(scale).cast("decimal(10,0)") * whole("a")).withColumn("below", whole("l") + whole("r")).withColumn("score", F.expr("top div below"))
     lowest = scored.groupBy("part", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
