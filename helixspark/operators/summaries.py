@@ -108,17 +108,6 @@ def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
 
-def regulatory_overlap(points: DataFrame, intervals: DataFrame, window: int, bin_width: int) -> DataFrame:
-    """in_cre, types (sorted, joined), n_elements and max_z a point (chrom, pos, id) over the intervals (chrom, lo, hi, kind, z) that lie
-    within `window` of it: an equi-join on bins, each interval only in the bins it reaches, pre-aggregated by (point, kind)."""
-    wide = intervals.withColumns({"lo": F.col("lo") - window, "hi": F.col("hi") + window})
-    binned = wide.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / bin_width), F.floor(F.col("hi") / bin_width))))
-    at = points.withColumn("_bin", F.floor(F.col("pos") / bin_width))
-    hits = at.join(binned, ["chrom", "_bin"]).where("pos BETWEEN lo AND hi").groupBy(*points.columns).agg(F.count("*").alias("n_elements"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.max("z").alias("max_z"))
-    found = points.join(hits.select("id", "n_elements", "types", "max_z"), "id", "left")
-    return found.withColumns({"in_cre": F.col("n_elements").isNotNull(), "n_elements": F.coalesce("n_elements", F.lit(0)), "types": F.coalesce("types", F.lit("")), "max_z": F.coalesce("max_z", F.lit(0.0))})
-
-
 def gene_edges(links: DataFrame, names: DataFrame, least: int = 700) -> DataFrame:
     """Undirected gene edges of interaction links (protein1, protein2, combined_score, channels...) over a threshold; a protein without a
     name keeps its id; scores become shares of 1000, the best of several."""

@@ -55,13 +55,6 @@ def lookup_left(df: DataFrame, lookup: DataFrame, keys: list[str], defaults: dic
     return df.join(lookup, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def overlaps(points: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
-    """Points (chrom, pos, ...) with the intervals (chrom, lo, hi, name) they lie in: an equi-join on bins of `width`, then the exact test."""
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    at = points.withColumn("_bin", F.floor(F.col("pos") / width))
-    return at.join(binned, ["chrom", "_bin"]).where("pos BETWEEN lo AND hi").drop("_bin")
-
-
 def score_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AUROC (ties count half), Brier score and counts at 0.5 from a histogram of the distinct scores."""
     by = by or []

@@ -11,6 +11,7 @@ from helixspark.operators import annotation as A
 from helixspark.operators import evaluation as E
 from helixspark.operators import summaries as U
 from helixspark.operators import variants as V
+from helixspark.operators.intervals import regulatory_overlap
 from helixspark.plans.catalog import NORM, SCORED_CTE
 from helixspark.sources import fixtures as S
 
@@ -115,7 +116,7 @@ def annotation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regulatory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 22).cast("string").alias("chrom"), (100000 + F.col("o_orderkey") * 61 % 250000).cast("int").alias("pos"))
-    return U.regulatory_overlap(points, S.view(spark, sf_dir, ELEMENTS, "lineitem"), 50, 500).select("id", "in_cre", "types", "n_elements", F.round("max_z", 6).alias("max_z"))
+    return regulatory_overlap(points, S.view(spark, sf_dir, ELEMENTS, "lineitem"), 50).select("id", "in_cre", "types", "n_elements", F.round("max_z", 6).alias("max_z"))
 
 
 def eqtl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

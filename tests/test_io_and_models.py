@@ -61,6 +61,7 @@ def test_detector_finds_a_shift_in_batch_and_stream(spark, tmp_path):
     batch = rows(adwin.detected(df, "k", "t", "v"))
     assert batch and {k for k, _, _ in batch} == {"a"} and 100 <= batch[0][1] < 110
     df.write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = adwin.streamed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "t", "v").writeStream.format("memory").queryName("drifts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("drifts")) == batch
