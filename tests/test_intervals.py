@@ -69,18 +69,32 @@ def test_long_windows_have_logarithmic_state():
     assert at < 60 and len(w) <= at + 1 + n / each
 
 
-def test_stream_goes_on_after_a_restart(spark, tmp_path):
+def run_stream(spark, df, condition, folder, **sizes):
+    """One run of the query over the new rows, from the checkpoint of the run before; all its output so far."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    df.where(condition).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    q = adwin.streamed(source, "k", "t", "v", **sizes).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(once=True).start()
+    try:
+        assert q.awaitTermination(100) and q.exception() is None
+    finally:
+        q.stop()
+    return sorted(map(tuple, spark.read.schema("k string, t long, window_size int").parquet(f"{folder}/out").collect()))
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
     r = np.random.default_rng(3)
     values = np.concatenate([r.normal(0, 0.3, 150), r.normal(1.5, 0.3, 100), r.normal(0, 0.3, 120)])
     data = [(k, i, float(v) if k == "a" else float(v) / 9) for k in ("a", "b") for i, v in enumerate(values)] + [(None, 0, 1.0), ("a", 9999, None)]
     df = spark.createDataFrame(data, "k string, t long, v double")
     sizes = {"exact": 40, "each": 8}
     want = sorted(map(tuple, adwin.detected(df, "k", "t", "v", **sizes).collect()))
-    for part, condition in enumerate(("t < 130", "t >= 130 AND t < 260", "t >= 260")):  # three runs of the query, each from the checkpoint of the one before
-        df.where(condition).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        q = adwin.streamed(source, "k", "t", "v", silent_ms=3_600_000, **sizes).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(180)
-        assert q.exception() is None
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want and {k for k, *_ in want} == {"a"}
+    run_stream(spark, df, "t < 130", tmp_path, **sizes)
+    assert run_stream(spark, df, "t >= 130", tmp_path, **sizes) == want and {k for k, *_ in want} == {"a"}
+
+
+def test_state_of_a_silent_key_expires(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, float(i >= 100)) for i in range(130)], "k string, t long, v double")
+    run_stream(spark, df, "t < 100", tmp_path, silent_ms=1)
+    assert run_stream(spark, df, "t >= 100", tmp_path, silent_ms=1) == []  # 30 values only, the hundred before are gone
+    assert adwin.detected(df, "k", "t", "v").count() > 0
