@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from helixspark.llm.common import lookup_join, map_frames
 
-#: Comments, declarations, tags, a tag cut off by the end of the page, text.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[a-zA-Z/!][^>]*\Z|([^<]+|<)""", re.S)
+#: Comments (<!--> is a whole one), declarations, tags (a quote opens a value only behind =), a tag cut off by the end of the page, text.
+_TOKEN = re.compile(r"""<!---?>|<!--.*?(?:--!?>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[a-zA-Z/!][^>]*\Z|([^<]+|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -42,16 +42,27 @@ CONTAINER = frozenset("article body center div main section td".split())
 #: Elements that end an open paragraph; and pairs in which a new element ends an open one of the same kind.
 CLOSES_P = BLOCK
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|replies|disqus"
-    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo|dialog)(?:$|[\s_-])",
-    re.I,
+_WORDS = (
+    r"ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|comment-?list|respond|replies|disqus"
+    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo|dialog"
 )
+_UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
+#: The same as a whole class: what counts on elements of running text, and for a section in the article also its id.
+_WHOLE = re.compile(_WORDS, re.I)
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figure figcaption a abbr b cite code em i mark q s small span strong sub sup u time".split())
+
+
+def named_unwanted(tag: str, marks: dict[str, str], in_article: bool) -> bool:
+    """Whether an element's class, id or role says that it isn't part of the article."""
+    if tag in RUNNING or (tag == "section" and in_article):
+        names = marks.get("class", "").split() + [marks.get("role", "")] + ([marks.get("id", "")] if tag == "section" else [])
+        return any(_WHOLE.fullmatch(n) for n in names if n)
+    return any(_UNWANTED.search(v) for v in marks.values())
 
 
 #: Of these the words that never stand on a wrapper of the article; an element named by others is kept if it wraps an article that has
 #: at least half of the page's text (a layout class such as has-sidebar or page-header-fixed).
-_NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|related|recommended|cookies?|consent|gdpr|newsletter|popup|modal|overlay|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
+_NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|replies|disqus|related|recommended|cookies?|consent|gdpr|newsletter|popup|modal|overlay|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
 
 
 def host_of(url: Column) -> Column:
@@ -108,9 +119,8 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
-            elif tag in RAW:
-                if not attributes.endswith("/"):
-                    raw = tag
+            elif tag in RAW:  # a slash at its end doesn't close it
+                raw = tag
             else:
                 block = tag in BLOCK or tag in SKIP
                 if block:
@@ -125,7 +135,7 @@ def blocks_of(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if block or attributes:
                     marks = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
                     if tag not in ("html", "body", "article", "main") and marks and not unwanted:
-                        unwanted = any(_UNWANTED.search(v) for v in marks.values())
+                        unwanted = named_unwanted(tag, marks, any(t in ("article", "main") for t, *_ in stack))
                         if unwanted and tag in CONTAINER and not any(_NEVER.search(v) for v in marks.values()):
                             unwanted, doubt = False, len(wraps) + 1
                             wraps[doubt] = False

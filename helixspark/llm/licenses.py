@@ -92,6 +92,8 @@ COMMONS = [
 COMMONS_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 #: Names whose bare version is no licence.
 COMMON_NAMES = {"apache", "elastic"}
+#: Names that without the word licence need a version with all its parts ("php 3 days ago").
+WHOLE_VERSIONS = {"php", "artistic"}
 #: Notices without a licence name: label, priority, pattern, keyword.
 NOTICES = [
     ("all-rights-reserved", 4, r"all rights reserved", "all rights reserved"),
@@ -220,17 +222,22 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     for stem, name, versions, key, tag in FAMILIES:
         for v in versions:
             label, number = f"{stem}-{v.replace(' ', '.').removesuffix('.0')}", v.removesuffix(" 0") + (r"(?: 0)?" if v.endswith(" 0") or " " not in v else "")
-            version = rf"(?: version| v)? ?{number}(?! [0-9])"
+            version = rf"(?: version| ?v)? ?{number}(?! [0-9])"
             named = rf"(?:{name})(?:{licence}{version}|{version}{licence})" if stem in COMMON_NAMES else rf"(?:{name})(?:{licence})?{version}"
+            if stem in WHOLE_VERSIONS:
+                named = rf"(?:{name})(?:{licence}{version}|(?: version| ?v)? ?{v}(?! [0-9]))"
             out += [
                 (1, label, f"identifier {tag}", rf"spdx licen[cs]e identifier {tag} {number}(?! [0-9])(?: only| or later)?"),
                 (2, label, key, rf"{GRANT}(?:{name})(?:{licence})?{version}(?: or (?:any )?later(?: version)?)?"),
                 (3, label, key, named),
+                (3, label, f"license {tag}|licence {tag}", rf"licen[cs]e {tag}{version}"),  # a line of package metadata
             ]
         out += [
             (1, stem, f"identifier {tag}", rf"spdx licen[cs]e identifier {tag}"),
             (2, stem, key, rf"{GRANT}(?:{name}){licence}"),
-            (4, stem, key, rf"(?:{name}){licence}"),
+            (4, stem, key, rf"(?:{name}){licence}d?"),
+            (4, stem, f"license {tag}|licence {tag}", rf"licen[cs]e {tag}"),
+            (4, stem, "|".join(f"{w} under {the}{tag}" for w in ("licensed", "licenced") for the in ("", "the ")), rf"licen[cs]ed under (?:the )?{tag}"),
         ]
     for label, short, full in COMMONS:
         for v in COMMONS_VERSIONS:
