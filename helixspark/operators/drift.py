@@ -173,17 +173,21 @@ def _with_bins(long: DataFrame, ref: DataFrame, bins: int, name: str) -> DataFra
 
 
 def drift_against(stats: DataFrame, new: DataFrame, features: list[str], floor: float = 1e-4) -> DataFrame:
-    """feature, psi, js, action of new rows against stored reference statistics; the reference rows aren't read again."""
+    """feature, psi, js, shifted, action of new rows against stored reference statistics; the reference rows aren't read again."""
     long = new.unpivot([], features, "feature", "x").where("x IS NOT NULL AND NOT isnan(x)")
     bins = stats.select(F.max(F.size("counts"))).first()[0] or 10
     total = long.groupBy("feature").agg(F.count("*").alias("m"))
-    joined = _with_bins(long, stats.join(total, "feature"), bins, "fresh")
+    return compared(_with_bins(long, stats.join(total, "feature"), bins, "fresh"), floor)
+
+
+def compared(counted: DataFrame, floor: float = 1e-4) -> DataFrame:
+    """feature, psi, js, shifted, action of rows (feature, n, counts, m, fresh, lo, hi)."""
     share = lambda counts, n: F.transform(counts, lambda c: F.greatest(F.lit(floor), c / n))
     pairs = F.zip_with(share(F.col("counts"), F.col("n")), share(F.col("fresh"), F.col("m")), lambda a, b: F.struct(((b - a) * F.log(b / a)).alias("psi"), ((a * F.log(2 * a / (a + b)) + b * F.log(2 * b / (a + b))) / 2).alias("js")))
     total_of = lambda field: F.when(F.col("hi") > F.col("lo"), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x[field])).otherwise(0.0)
     psi, js = total_of("psi"), total_of("js")
     action = F.when(psi > E.PSI_LEVELS[0][0], E.PSI_LEVELS[0][1]).when(psi > E.PSI_LEVELS[1][0], E.PSI_LEVELS[1][1]).otherwise("none")
-    return joined.select("feature", F.round(psi, 6).alias("psi"), F.round(js, 6).alias("js"), ((js > JS_LIMIT) & (F.col("m") >= JS_LEAST_ROWS)).alias("shifted"), action.alias("action"))
+    return counted.select("feature", F.round(psi, 6).alias("psi"), F.round(js, 6).alias("js"), ((js > JS_LIMIT) & (F.col("m") >= JS_LEAST_ROWS)).alias("shifted"), action.alias("action"))
 
 
 def source_changes(seen: DataFrame, now: DataFrame) -> DataFrame:

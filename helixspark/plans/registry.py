@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixspark.plans import annotation, catalog, evaluation, jobs, joins, learned, preparation, scores, sources
+from helixspark.plans import annotation, catalog, evaluation, jobs, joins, learned, preparation, runs, scores, sources
 
-MODULES = (catalog, annotation, evaluation, joins, scores, sources, jobs, learned, preparation)
+MODULES = (catalog, annotation, evaluation, joins, scores, sources, jobs, learned, preparation, runs)
 
 
 def queries() -> dict:
