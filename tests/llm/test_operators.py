@@ -219,15 +219,16 @@ def plain_line_dedup(rows, min_words):
     return out
 
 
-def test_line_dedup_tells_rows_apart(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_line_dedup_tells_rows_apart(spark, limit):
     """Null ids and ids with two texts lose what smaller ids have and nothing else."""
     rnd = random.Random(11)
     own = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) + "."
     shared, passage = [own() for _ in range(4)], " ".join(own() for _ in range(3))
     rows = [(1, shared[0]), (None, f"{shared[0]}\nfirst text"), (None, own() * 3), (7, f"{own()}\n{shared[1]}"), (7, f"{shared[1]}\n{own()}"), (9, f"{shared[1]}\n{shared[0]}\n{own()}"), (9, own()), (9, own()), (None, f"{shared[2]}\n{own()}"), (None, f"{own()}\n{shared[2]}")]
     rows += [(20, f"{own()} {passage} {own()}"), (21, f"{own()} {passage} {own()}"), (None, f"{own()} {passage}"), (22, f"{own()}\n{own()} {passage}\n{own()}"), (22, None), (23, "")]
-    rows += [rows[0], rows[4], rows[1]]
-    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    rows += [rows[0], rows[4], rows[1]] + [(k, shared[3]) for k in range(100, 1300)]  # a hot line
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), broadcast_rows=limit).collect()
     want = plain_line_dedup([(i, t or "") for i, t in rows], 25)
     originals = sorted((str(i), want[i, t or ""]) for i, t in rows)
     assert sorted((str(r.doc_id), r.kept_text) for r in got) == originals
