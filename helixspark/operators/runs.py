@@ -1,13 +1,18 @@
-"""Jobs that write: the ETL, the saved splits, the drift run."""
+"""Jobs that write: the ETL, the saved splits, the drift run, the saved pipeline and its batch scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.operators import annotate as N
 from helixspark.operators import drift as D
 from helixspark.operators import preparation as R
+from helixspark.operators import scoring as C
 from helixspark.sources import tables as T
 
 
@@ -66,3 +71,27 @@ def run_drift(spark: SparkSession, reference_path: str, new: DataFrame, features
     both = overall.crossJoin(F.broadcast(D.decision(overall, label_report)))  # one row each
     T.publish(both, f"{path}/overall")
     return T.current(spark, f"{path}/overall"), rows.get
+
+
+def fit_pipeline(rows: DataFrame, features: list[str], train: Column, calibration: Column, path: str, model: Estimator | None = None) -> None:
+    """Fits assembler, scaler and model on the training rows and a logistic calibration of its margins on the calibration rows, and saves
+    them as one pipeline model below path; the features and the fitting rows' numbers are published with it."""
+    model = model or LogisticRegression(regParam=0.01)
+    model = model.copy().setFeaturesCol("_features").setLabelCol("label").setRawPredictionCol("_margin").setPredictionCol("_class")
+    if model.hasParam("probabilityCol"):
+        model = model.setProbabilityCol("_probability")
+    stages: list[Transformer] = [VectorAssembler(inputCols=features, outputCol="_assembled", handleInvalid="error")]
+    for stage, fit in ((StandardScaler(inputCol="_assembled", outputCol="_features", withMean=True), train), (model, train), (LogisticRegression(featuresCol="_margin", labelCol="label", rawPredictionCol="_log_odds", predictionCol="_calibrated_class", probabilityCol="_score"), calibration)):
+        stages.append(stage.fit(PipelineModel(stages).transform(rows.where(fit))))
+    PipelineModel(stages).write().overwrite().save(f"{path}/model")
+    counts = rows.agg(F.count_if(train).alias("n_train"), F.count_if(calibration).alias("n_calibration"))
+    T.publish(counts.withColumn("features", F.array(*[F.lit(f) for f in features])), f"{path}/about")
+
+
+def score_batch(rows: DataFrame, path: str) -> DataFrame:
+    """The rows with score, tier and confidence from the saved pipeline; columns of other names stay, features that rows lack count as 0."""
+    spark = rows.sparkSession
+    features = T.current(spark, f"{path}/about").first()["features"]
+    filled = rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in rows.columns else F.lit(0.0) for f in features})
+    scored = PipelineModel.load(f"{path}/model").transform(filled).withColumn("score", vector_to_array("_score")[1])
+    return C.scored_in_tiers(scored.drop("_assembled", "_features", "_margin", "_class", "_probability", "_log_odds", "_calibrated_class", "_score"))

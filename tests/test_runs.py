@@ -73,3 +73,22 @@ def test_preparation_needs_both_classes(spark, tmp_path):
     with pytest.raises(ValueError):
         J.run_preparation(raw, [], str(tmp_path / "x"))
     assert T.versions(spark, str(tmp_path / "x") + "/splits").count() == 0
+
+
+def test_scores_of_a_reloaded_pipeline(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    rows = spark.range(600).select("id", (F.col("id") % 7 / 7.0).alias("a"), (F.col("id") % 11).cast("int").alias("b"), (F.col("id") % 7 + F.col("id") % 3 > 4).cast("int").alias("label"), F.lit("kept").alias("other"))
+    for name, model in (("logistic", LogisticRegression()), ("trees", GBTClassifier(maxIter=3, seed=1))):
+        path = str(tmp_path / name)
+        J.fit_pipeline(rows, ["a", "b"], F.col("id") < 300, F.col("id").between(300, 399), path, model)
+        fresh = rows.where("id >= 400").drop("label")
+        one, two = (J.score_batch(fresh, path).orderBy("id").collect() for _ in range(2))
+        assert one == two and len(one) == 200 and {"tier", "confidence", "other"} <= set(one[0].asDict())
+        direct = PipelineModel.load(f"{path}/model").transform(rows.where("id >= 400")).orderBy("id").collect()
+        assert [r.score for r in one] == [float(r["_score"][1]) for r in direct]
+        right = rows.where("id >= 400").join(J.score_batch(fresh, path).select("id", "score"), "id").where("(score >= 0.5) = (label = 1)").count()
+        assert right > 160
+        assert J.score_batch(fresh.drop("b"), path).count() == 200 and T.current(spark, f"{path}/about").first().n_train == 300
+    assert P.batch_scores(spark, SF).count() > 0
