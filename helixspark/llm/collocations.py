@@ -40,6 +40,8 @@ from helixspark.llm.shingles import mixed
 
 NEVER = 255
 CHUNK = 12 << 20
+#: Text for a task of the last pass: each task sends every frequent phrase that it meets once, so fewer, larger ones send less.
+LAST_BYTES = 96 << 20
 BLOCK_BITS = 15
 BLOCK = 1 << BLOCK_BITS
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -255,7 +257,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
                 last[words] = t
         t += 1
     table = spark.sparkContext.broadcast(reached)
-    exact = dealt.select("part", "text").mapInArrow(lambda found: exact_counts(found, table.value, where, max_words), "part string, phrase string, words int, n long")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // LAST_BYTES))
+    exact = dealt.select("part", "text").coalesce(tasks).mapInArrow(lambda found: exact_counts(found, table.value, where, max_words), "part string, phrase string, words int, n long")
     return checkpointed(exact.groupBy("part", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("words") == 0)))
 
 
