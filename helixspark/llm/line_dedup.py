@@ -91,7 +91,7 @@ def digest_bits(owners: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, broadcast_rows: int = 1_000_000, bits: int = 1 << 27, hot_share: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, broadcast_rows: int = 100_000, bits: int = 1 << 27, hot_share: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h and the text's repeated units [(at, start, stop, words, sentences)].
 
     Up to broadcast_rows repeated digests are broadcast. Beyond, units without a repeated digest are left out in the tasks by a bitmap of
@@ -126,7 +126,7 @@ def joined(sentences: Iterable) -> list[list[int]]:
     return runs
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, n_removed_units, n_removed_words, n_removed_chars, removed_spans [(start, stop)] in the original text, kept_text."""
     id_type = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, broadcast_rows, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
