@@ -100,7 +100,7 @@ def protein_scores(raw: DataFrame) -> DataFrame:
         rows = raw.select("gene_symbol", "aa_change", F.col("eve_score").try_cast("double").alias("eve_score"))
     else:
         position, score = F.col("position").try_cast("double").cast("int"), F.col("EVE_scores_ASM").try_cast("double")
-        rows = raw.select(F.split_part("mutations_protein_name", F.lit("_"), F.lit(1)).alias("gene_symbol"), F.concat(F.trim("wt_aa"), position.cast("string"), F.trim("mt_aa")).alias("aa_change"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("eve_score"))
+        rows = raw.select(F.split_part("mutations_protein_name", F.lit("_"), F.lit(1)).alias("gene_symbol"), F.concat(F.trim("wt_aa"), position.cast("string"), F.trim("mt_aa")).alias("aa_change"), F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("eve_score"))
     return rows.where("gene_symbol IS NOT NULL AND aa_change IS NOT NULL AND eve_score IS NOT NULL").groupBy("gene_symbol", "aa_change").agg(F.max("eve_score").alias("eve_score"))
 
 
