@@ -39,7 +39,7 @@ from helixspark.llm.common import checkpointed, lookup_join, shared_folder
 from helixspark.llm.shingles import mixed
 
 NEVER = 255
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: Text for a task of the last pass: each task sends every frequent phrase that it meets once, so fewer, larger ones send less.
 LAST_BYTES = 96 << 20
 BLOCK_BITS = 15
@@ -85,7 +85,8 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     b = np.frombuffer(raw, np.uint8)
     line = b == 10
     inside = ~((b == 32) | line)
-    edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    none = np.zeros(1, np.int8)
+    edges = np.diff(np.concatenate((none, inside.view(np.int8), none)))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     return starts, ends - starts, np.cumsum(line, dtype=np.int32)[starts], b[inside]
 
@@ -93,7 +94,7 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def word_keys(lengths: np.ndarray, letters: np.ndarray, part: str) -> np.ndarray:
     """A 64-bit key for each word, other ones in each part."""
     at = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(at, lengths)
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(at.astype(np.int32), lengths)  # a chunk is far below 2 GB
     values = _LETTERS[((place & (_PLACES - 1)) << 8) | letters]
     far = np.flatnonzero(place >= _PLACES)
     with np.errstate(over="ignore"):
