@@ -55,7 +55,7 @@ def prepared_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of the prepared table."""
     table = _table(spark, sf_dir)
     doubles = {f.name for f in table.schema if f.dataType.typeName() == "double"}
-    return table.select("locus", "gene_symbol", "label", "tier", "split", *[F.round(c, 4 if c == "log_af" else 5).alias(c) if c in doubles else c for c in R.feature_columns(table)])
+    return table.select("locus", "gene_symbol", "label", "tier", "split", *[F.round(c, 9).alias(c) if c in doubles and c != "log_af" else c for c in R.feature_columns(table)])
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +106,9 @@ f AS (SELECT locus, gene_symbol, label, tier, CASE WHEN u < 0.2 THEN 'test' WHEN
 
 _WHOLE = [c for c, v in N.FEATURES.items() if v[3]]
 _DOUBLES = [c for c, v in N.FEATURES.items() if not v[3]] + ["af"]
-_LOG = "round(round(log_af, 6), 4) AS log_af"
+_LOG = "round(log_af, 6) AS log_af"
 _ORACLES = {
-    "prepared_matrix": _matrix_sql() + f"SELECT * EXCLUDE ({', '.join(_DOUBLES)}, log_af), {', '.join(f'round({c}, 5) AS {c}' for c in _DOUBLES)}, {_LOG} FROM f",
+    "prepared_matrix": _matrix_sql() + f"SELECT * EXCLUDE ({', '.join(_DOUBLES)}, log_af), {', '.join(f'round({c}, 9) AS {c}' for c in _DOUBLES)}, {_LOG} FROM f",
     "scaled_features": _matrix_sql() + """, x AS (SELECT split, feature, v FROM (SELECT split, COLUMNS(* EXCLUDE (locus, gene_symbol, label, tier, split))::DOUBLE FROM f) UNPIVOT (v FOR feature IN (* EXCLUDE split))),
 s AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS d FROM x WHERE split = 'train' GROUP BY 1)
 SELECT split, feature, count(*) AS n, round(avg((v - m) / CASE WHEN d > 0 THEN d ELSE 1 END), 4) + 0.0::DOUBLE AS mean, round(stddev_pop((v - m) / CASE WHEN d > 0 THEN d ELSE 1 END), 4) AS deviation FROM x JOIN s USING (feature) GROUP BY 1, 2""",
