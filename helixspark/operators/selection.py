@@ -72,7 +72,8 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
         upto = F.get("_below", F.col("_k")) + F.col("upto_c")
         at = lambda r: F.max(F.when((upto - F.col("c") <= r) & (r < upto), F.col("_x")))
         found = placed.groupBy(*by, "_k").agg(F.first("n").alias("n"), F.first(rank).alias("r"), at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"))
-        between = F.when(F.col("r") == F.floor("r"), F.col("a")).otherwise((F.ceil("r") - F.col("r")) * F.col("a") + (F.col("r") - F.floor("r")) * F.col("b"))
+        flat = (F.col("r") == F.floor("r")) | (F.col("a") == F.col("b"))  # a weighted sum of equal neighbours may round to another number
+        between = F.when(flat, F.col("a")).otherwise((F.ceil("r") - F.col("r")) * F.col("a") + (F.col("r") - F.floor("r")) * F.col("b"))
         out = found.groupBy(*by).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_k", between.alias("v")))), lambda s: s["v"]).alias("percentiles")).where("n IS NOT NULL")
         if margin >= 1:
             return out

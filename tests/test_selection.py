@@ -64,3 +64,10 @@ def test_bootstrap_on_exact_scores(spark):
     many = R.poisson_counts(np.array([0.0, 1.0, 25.0, 4000.0]), np.array([0.1, 0.2, 0.3, 0.4]), 5, 20_000)[:, 1:]
     assert np.allclose(many.mean(1), [0, 1, 25, 4000], rtol=0.03) and np.allclose(many.var(1), [0, 1, 25, 4000], rtol=0.05)
     assert R.resampled(df.where("label = 1"), replicates=5).first().n_replicates == 0 and R.resampled(df.limit(0), replicates=5).first().auroc is None
+
+
+def test_percentile_between_equal_neighbours_is_their_value(spark):
+    df = spark.createDataFrame([(x,) for x in (0.1, 0.3, 0.7, 0.4213, 0.8999) for _ in range(1007)], "x double")
+    inner = [k / 10 for k in range(1, 10)]
+    for x in (0.1, 0.3, 0.7, 0.4213, 0.8999):
+        assert exact_percentiles(df.where(F.col("x") == x), "x", inner).first().percentiles == [x] * 9
