@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixspark.operators import evaluation as E
 from helixspark.operators import scoring as R
-from helixspark.operators.selection import exact_percentiles, running_sums
+from helixspark.operators.selection import exact_percentiles, running_sums, sliced
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
@@ -71,3 +71,12 @@ def test_percentile_between_equal_neighbours_is_their_value(spark):
     inner = [k / 10 for k in range(1, 10)]
     for x in (0.1, 0.3, 0.7, 0.4213, 0.8999):
         assert exact_percentiles(df.where(F.col("x") == x), "x", inner).first().percentiles == [x] * 9
+
+
+def test_small_groups_are_not_cut(spark, values):
+    rows = [(g, float(x), 1) for g, xs in values.items() for x in np.unique(xs)]
+    df = spark.createDataFrame(rows, "g string, x double, v long").repartition(4)
+    slices = {r.g: r.n for r in sliced(df, "x", 7, ["g"], small=1000).groupBy("g").agg(F.count_distinct("_slice").alias("n")).collect()}
+    assert slices == {g: 7 if len(np.unique(xs)) > 1000 else 1 for g, xs in values.items()}
+    cut = sorted(map(str, running_sums(df, "x", ["v"], 7, ["g"], small=1000).collect()))
+    assert cut == sorted(map(str, running_sums(df, "x", ["v"], 7, ["g"]).collect())) and len(cut) == len(rows)
