@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixspark.operators import evaluation as E
 from helixspark.operators import scoring as R
-from helixspark.operators.selection import exact_percentiles, running_sums, sliced
+from helixspark.operators.selection import exact_percentiles, joined_by, running_sums, sliced
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
@@ -80,3 +80,15 @@ def test_small_groups_are_not_cut(spark, values):
     assert slices == {g: 7 if len(np.unique(xs)) > 1000 else 1 for g, xs in values.items()}
     cut = sorted(map(str, running_sums(df, "x", ["v"], 7, ["g"], small=1000).collect()))
     assert cut == sorted(map(str, running_sums(df, "x", ["v"], 7, ["g"]).collect())) and len(cut) == len(rows)
+
+
+def test_few_groups_are_not_dealt_by_their_key(spark):
+    """A join by three keys would bring each one's rows into one task; the brackets are broadcast."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jobs = exact_percentiles(df, "x", [0.5], ["g"]).collect()
+        plan = joined_by(df, df.groupBy("g").agg(F.count("*").alias("n")), ["g"], small=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.percentiles[0] for r in jobs) == [1498.5, 1499.5, 1500.5] and "SortMergeJoin" not in plan
