@@ -28,7 +28,8 @@ def joined_by(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
     return rows.join(F.broadcast(renamed) if small else renamed, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, made once: a checkpoint where its folder is set."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
@@ -80,7 +81,7 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
         sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_x", ends, accuracy).alias("_ends"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
         end = lambda k: F.get("_ends", F.lit(k))
         brackets = [F.struct(F.lit(k).alias("k"), F.when(F.lit(ends[2 * k] > 0), end(2 * k)).otherwise(F.col("_min")).alias("lo"), F.when(F.lit(ends[2 * k + 1] < 1), end(2 * k + 1)).otherwise(F.col("_max")).alias("hi")) for k in range(len(probabilities))]
-        sketch = _kept(sketch.select(*by, "n", F.array(*brackets).alias("_brackets")))
+        sketch = kept(sketch.select(*by, "n", F.array(*brackets).alias("_brackets")))
         small = _few(sketch)  # a join dealt by few groups would put each one's rows into one task
         met = joined_by(rows, sketch, by, small=small)
         below = met.groupBy(*by).agg(F.first("n").alias("n"), F.array(*[F.count_if(F.col("_x") < F.get("_brackets", F.lit(k))["lo"]) for k in range(len(probabilities))]).alias("_below"))
@@ -96,7 +97,7 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float],
         out = found.groupBy(*by).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_k", between.alias("v")))), lambda s: s["v"]).alias("percentiles")).where("n IS NOT NULL")
         if margin >= 1:
             return out
-        out = _kept(out)
+        out = kept(out)
         if out.where((F.size("percentiles") < len(probabilities)) | F.exists("percentiles", lambda v: v.isNull())).isEmpty():
             return out
         margin = min(1.0, margin * 20)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.operators import variants as V
-from helixspark.operators.intervals import overlapping
+from helixspark.operators.intervals import hit_counts
+from helixspark.operators.selection import kept
 from helixspark.sources import fixtures as S
 
 
@@ -40,8 +41,9 @@ def gene_pathogenic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.normalize(S.variants(spark, sf_dir))
     spans = rows.where("consequence = 'stop_gained' AND clinical_sig = 'Pathogenic' AND review_status LIKE '%expert panel%'").select("chrom", (F.col("pos") - 200).alias("lo"), (F.col("pos") + 300).alias("hi"), F.col("gene_symbol").alias("cre_id"))
-    hits = overlapping(rows.select("chrom", "pos", "locus"), spans)
-    return hits.groupBy("locus").agg(F.count("*").alias("n_hits"), F.count_distinct("cre_id").alias("n_elements"))
+    loci = kept(rows.groupBy("locus", "chrom", "pos").agg(F.count("*").alias("n")))
+    hits = loci.join(hit_counts(loci, spans, "cre_id"), ["chrom", "pos"])
+    return hits.select("locus", (F.col("n") * F.col("n_hits")).alias("n_hits"), "n_elements")
 
 
 def score_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,26 @@ def test_regulatory_overlap_keeps_rows_with_one_id_apart(spark):
     assert got == [("1", 100, 2, "a,b", 1.5, True), ("1", 100, 2, "a,b", 1.5, True), ("1", 5000, 1, "a", 0.5, True), ("2", 100, 0, "", 0.0, False)]
 
 
+def test_counts_without_pairs_equal_all_pairs(spark):
+    r = np.random.default_rng(5)
+    spans = [(str(r.integers(1, 3)), int(lo), int(lo + length), f"i{k % 17}" if k % 9 else None) for k, (lo, length) in enumerate(zip(r.integers(-300, 300_000, 120), r.choice([0, 5, 200, 3000, 250_000, 9_000_000], 120)))] + [("1", 9, 3, "none"), ("1", 5, 8, "i1"), ("1", 9, 12, "i1")]
+    points = [(str(r.integers(1, 4)), int(p)) for p in [*r.integers(0, 310_000, 400), *[777] * 60, *range(20)]]
+    df, of = spark.createDataFrame(points, "chrom string, pos int").repartition(3), spark.createDataFrame(spans, "chrom string, lo int, hi int, name string")
+    want = {(c, p): [n for d, lo, hi, n in spans if c == d and lo <= p <= hi] for c, p in points}
+    got = {(x.chrom, x.pos): (x.n_hits, x.n_elements) for x in I.hit_counts(df, of, "name").collect()}
+    assert got == {k: (len(v), len(set(v) - {None})) for k, v in want.items() if v}
+    assert I.hit_counts(df, of.limit(0), "name").count() == 0
+    whole = I.nodes(of.where("lo = 9"), [], [F.count("*").alias("n")])
+    assert sorted((x._shift, x._bin) for x in whole.collect()) == [(0, 9), (0, 12), (1, 5)]
+
+
+def test_copies_of_intervals_are_met_once(spark):
+    """Nodes are made once a place, however many intervals lie on it."""
+    of = spark.range(500).select(F.lit("1").alias("chrom"), F.lit(64).alias("lo"), F.lit(127).alias("hi"), F.lit("a").alias("name"))
+    places = spark.createDataFrame([("1", 70), ("1", 200)], "chrom string, pos int")
+    assert I.at_nodes(places, I.nodes(of, [], [F.count("*").alias("n")])).select("pos", "n").collect() == [(70, 500)]
+
+
 def drifts(values, **sizes):
     w, out = adwin.AdaptiveWindow(**sizes), []
     for at, v in enumerate(values):
