@@ -60,12 +60,19 @@ def allowed(df: DataFrame, loci: DataFrame) -> DataFrame:
     return df.join(loci.select(*LOCUS).distinct(), LOCUS, "left_semi")
 
 
+def _left(df: DataFrame, side: DataFrame, keys: list[str], probe: str, salts: int = 1024) -> DataFrame:
+    """Left join on keys; rows whose key `probe` is null, which match nothing, are dealt over many tasks instead of one."""
+    salt = F.when(F.col(probe).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))  # a plain 0 would be taken out of the join's keys
+    return df.withColumn("_salt", salt).join(side.withColumn("_salt", zero), [*keys, "_salt"], "left").drop("_salt")
+
+
 def resolved(queries: DataFrame, index: DataFrame, features: DataFrame, rs_col: str = "rs_id") -> DataFrame:
     """rs ids (rs prefix optional, any case) -> locus -> features; `known` tells whether the index has it."""
     bare = F.regexp_replace(F.lower(F.trim(rs_col)), "^rs", "")
     named = queries.withColumn("_rs", F.when(bare.rlike("^[0-9]+$"), F.concat(F.lit("rs"), bare)))
-    out = named.join(index.select(F.lower("rs_id").alias("_rs"), *LOCUS), "_rs", "left").withColumn("known", F.col("pos").isNotNull())
-    return out.join(features, LOCUS, "left").drop("_rs")
+    out = _left(named, index.select(F.lower("rs_id").alias("_rs"), *LOCUS), ["_rs"], "_rs").withColumn("known", F.col("pos").isNotNull())
+    return _left(out, features, LOCUS, "pos").drop("_rs")
 
 
 def with_gene_counts(df: DataFrame, train: Column | None = None) -> DataFrame:
