@@ -89,7 +89,7 @@ def regulatory_overlap(points: DataFrame, intervals: DataFrame, window: int) ->
     """in_cre, types (sorted, joined), n_elements and max_z of each row of points (chrom, pos, ...) over the intervals (chrom, lo, hi, kind, z)
     within `window` of it. Rows that are alike get the same values; rows that share an id but not all else don't mix."""
     wide = intervals.select("chrom", (F.col("lo") - window).alias("lo"), (F.col("hi") + window).alias("hi"), "kind", "z")
-    found = at_nodes(points.select("chrom", "pos").distinct(), kept(nodes(wide, ["kind"], [F.count("*").alias("n"), F.max("z").alias("z")])))
+    found = at_nodes(points.select("chrom", "pos").distinct(), nodes(wide, ["kind"], [F.count("*").alias("n"), F.max("z").alias("z")]))
     kinds = found.groupBy("chrom", "pos", "kind").agg(F.sum("n").alias("n"), F.max("z").alias("z"))
     hits = kinds.groupBy("chrom", "pos").agg(F.sum("n").alias("n_elements"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"), F.max("z").alias("max_z"))
     found = points.join(hits, ["chrom", "pos"], "left").select(*points.columns, "n_elements", "types", "max_z")
