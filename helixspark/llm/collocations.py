@@ -110,22 +110,36 @@ def regions(cells: int, max_words: int) -> list[tuple[int, int]]:
 
 def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, where: list[tuple[int, int]], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length up to top: the length, places, cells and first scans of the phrases whose subphrases have reached the
-    minimum, and the scans in which they did themselves (or NEVER)."""
+    minimum, and the scans in which they did themselves (or NEVER). A cell may have reached it by another phrase before this
+    one was counted, so a longer phrase starts no sooner than its subphrases did."""
     at, key, first, state = np.arange(len(keys)), keys, np.zeros(len(keys), np.uint8), reached[:0]
     for k in range(1, top + 1):
         if k > 1:
             ok = state != NEVER
-            at, key, state = at[ok], key[ok], state[ok]
+            at, key, since = at[ok], key[ok], np.maximum(state[ok] + np.uint8(1), first[ok])
             pair = np.flatnonzero((at[1:] == at[:-1] + 1) & (pieces[at[1:]] == pieces[at[:-1]]))
             with np.errstate(over="ignore"):
                 key = mixed(key[pair] * _STEP + keys[at[pair] + k - 1] + np.uint64(k))
-            at, first = at[pair], np.maximum(state[pair], state[pair + 1]) + np.uint8(1)
+            at, first = at[pair], np.maximum(since[pair], since[pair + 1])
         base, size = where[k]
         cell = (key & np.uint64(size - 1)).astype(np.int64) + base
         state = reached[cell]
         yield k, at, cell, first, state
 
 
+def active(last: dict[int, int], t: int, shards: int, max_words: int) -> tuple[int, ...]:
+    """The lengths with phrases whose cycle isn't over before scan t. last: the last scan in which a cell of a length reached the minimum."""
+    tops, start = [], 0  # start: the latest first scan of a length
+    for k in range(1, max_words + 1):
+        if k > 1:
+            if k - 1 not in last:
+                break
+            start = max(start, last[k - 1] + 1)
+        if start + shards > t:
+            tops.append(k)
+    return tuple(tops)
+
+
 def counter(most: int) -> np.dtype:
     """The smallest type that holds counts up to `most`."""
     return np.min_scalar_type(most)
@@ -235,11 +249,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
     cells = cells or min(most_cells, max(1 << 18, 1 << (n_bytes // 64).bit_length()))
     salts = int((n_bytes / CHUNK / shards) ** 0.5) // 4
     where = regions(cells, max_words)
-    reached, last, t = np.full(sum(where[-1]), NEVER, np.uint8), {0: 0}, 0  # last: the last scan in which a cell of a length reached the minimum
-    while True:
-        tops = tuple(k for k in range(1, max_words + 1) if last.get(k - 1, -NEVER) + shards + (k > 1) > t)
-        if not tops:
-            break
+    reached, last, t = np.full(sum(where[-1]), NEVER, np.uint8), {}, 0
+    while tops := active(last, t, shards, max_words):
         if t == NEVER - 1:
             raise RuntimeError("fewer shards or words, please: scans are numbered in a byte")
         table = spark.sparkContext.broadcast(reached)

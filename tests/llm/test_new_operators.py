@@ -68,6 +68,16 @@ def test_collocations(spark, shards, cells):
     assert sorted(tuple(r) for r in got.collect()) == mined(rows, 5, 40)
 
 
+def test_phrases_in_cells_that_others_filled_before(spark):
+    rnd = np.random.default_rng(0)
+    said = [" ".join(f"{c}{i}" for c in "abcd") for i in range(400) for _ in range(rnd.integers(5, 14))] + [f"q{i} r{i}" for i in range(300)] * 40
+    rnd.shuffle(said)
+    rows = [(j, ". ".join(said[j : j + 5]), "en") for j in range(0, len(said), 5)]
+    plain = Counter(" ".join(w[i : i + k]) for w in map(str.split, said) for k in range(1, 5) for i in range(len(w) - k + 1))
+    got = collocations.frequent_phrases(frame(spark, rows), min_count=5, shards=3, cells=4096).where("words > 0").select("phrase", "n").collect()
+    assert dict(map(tuple, got)) == plain and len(got) == len(plain)
+
+
 def test_collocations_in_stretches(spark, monkeypatch):
     assert [bytes(x) for x in collocations._stretches(b"ab\n" * 3)] == [b"ab\n" * 3]
     monkeypatch.setattr(collocations, "CHUNK", 10)
