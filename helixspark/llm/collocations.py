@@ -8,11 +8,11 @@ max_words words are found for each part (language) by scans over shards of the r
    the first) had reached min_count. Each phrase is counted for one full cycle, so in each shard once. So lengths interleave,
    and it ends when no phrase is active any more.
 2. Scans count cells, not phrases: a phrase's 64-bit key falls into one of the cells of its length (`cells` for pairs, a quarter of it for
-   each other length), counted for each first scan, so counts are upper bounds. A task packs a chunk's counts into one row for each block of 32768 cells, and blocks are summed by streaming over
-   sorted rows, in two rounds (salted by chunk, then not), so a task holds one block whatever the corpus. A count stops at min_count. What
+   each other length), counted for each first scan, so counts are upper bounds. A task packs the counts of some megabytes into one row for each block of 32768 cells, and blocks are summed by streaming over
+   sorted rows, in two rounds (salted by sender, then not), so a task holds one block whatever the corpus. A count stops at min_count. What
    the open cycles have so far is written after each scan and goes into the next one's sums. What reached min_count is
-   handed to the tasks as a table of a byte a cell: the first scan in which it did. Its size follows the corpus
-   up to most_cells. Phrases that share a cell become active together: then more is counted, but nothing is lost.
+   handed to the tasks as a table of two bits a cell (up to two shards): the first scan in which it did, as far as cycles are open. Its size
+   follows the corpus up to most_cells. Phrases that share a cell become active together: then more is counted, but nothing is lost.
 3. A last pass over all shards counts the phrases whose cells reached min_count, by their words, so counts are exact and false
    candidates go.
 
@@ -39,7 +39,14 @@ from helixspark.llm.common import checkpointed, lookup_join, shared_folder
 from helixspark.llm.shingles import mixed
 
 NEVER = 255
-CHUNK = 8 << 20
+#: Text whose words and keys are held at once.
+CHUNK = 1 << 20
+#: Cells that a task of a scan holds before it counts and sends them, and the text that has about as many.
+HELD_CELLS = 3 << 20
+HELD_BYTES = 8 << 20
+#: Text whose phrases a task of the last pass adds up before it sends them, and rows that wait for that at once.
+SENT_BYTES = 16 << 20
+HELD_PHRASES = 200_000
 #: Text for a task of the last pass: each task sends every frequent phrase that it meets once, so fewer, larger ones send less.
 LAST_BYTES = 96 << 20
 BLOCK_BITS = 15
@@ -65,7 +72,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(part, text) in chunks of about CHUNK bytes: a part's texts in lower case, pieces ended by a line feed, words parted by spaces and line feeds."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for b in batches:
+    for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         for part, text in zip(b.column("part").to_pylist(), b.column("text").to_pylist()):
             raw = text.encode().lower().translate(_MARKS)
             held.setdefault(part, []).append(raw)
@@ -108,23 +115,47 @@ def regions(cells: int, max_words: int) -> list[tuple[int, int]]:
     return list(zip(np.cumsum([0, *sizes]).tolist(), sizes))
 
 
-def levels(keys: np.ndarray, pieces: np.ndarray, reached: np.ndarray, where: list[tuple[int, int]], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+class Reached:
+    """Which cells have reached the minimum, and in which scan, as scan t needs it: a small code a cell. A phrase's cycle is over when it began `shards` scans
+    ago or more, so older scans share a code."""
+
+    def __init__(self, scans: np.ndarray, t: int, shards: int) -> None:
+        self.t, self.shards, self.bits = t, shards, next(b for b in (1, 2, 4, 8) if shards + 2 <= 1 << b)
+        each = 8 // self.bits
+        self.codes = np.zeros(-(-len(scans) // each), np.uint8)
+        for lo in range(0, len(scans), 1 << 20):  # a multiple of `each`
+            some = scans[lo : lo + (1 << 20)]
+            code = np.where(some == NEVER, 0, np.clip(some.astype(np.int16) + 1 - (t - shards), 0, shards) + 1).astype(np.uint8)
+            code = np.pad(code, (0, -len(code) % each)).reshape(-1, each)
+            self.codes[lo // each : lo // each + len(code)] = np.bitwise_or.reduce(code << (np.arange(each, dtype=np.uint8) * self.bits), axis=1)
+
+    def of(self, cell: np.ndarray) -> np.ndarray:
+        """0: not reached; else one more than the first scan of the phrases that wait for it, counted from scan t - shards (or before)."""
+        each = 8 // self.bits
+        return (self.codes[cell // each] >> ((cell % each) * self.bits).astype(np.uint8)) & np.uint8((1 << self.bits) - 1)
+
+    def start(self) -> int:
+        """The words' first scan, counted as `of` counts."""
+        return min(max(self.shards - self.t, 0), self.shards)
+
+
+def levels(keys: np.ndarray, pieces: np.ndarray, reached: Reached, where: list[tuple[int, int]], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length up to top: the length, places, cells and first scans of the phrases whose subphrases have reached the
-    minimum, and the scans in which they did themselves (or NEVER). A cell may have reached it by another phrase before this
-    one was counted, so a longer phrase starts no sooner than its subphrases did."""
-    at, key, first, state = np.arange(len(keys)), keys, np.zeros(len(keys), np.uint8), reached[:0]
+    minimum, and whether they did themselves. First scans count from scan t - shards; 0 is that and all before. A cell may have
+    reached the minimum by another phrase before this one was counted, so a longer phrase starts no sooner than its subphrases did."""
+    at, key, first, state = np.arange(len(keys), dtype=np.int32), keys, np.full(len(keys), reached.start(), np.uint8), np.zeros(0, np.uint8)
     for k in range(1, top + 1):
         if k > 1:
-            ok = state != NEVER
-            at, key, since = at[ok], key[ok], np.maximum(state[ok] + np.uint8(1), first[ok])
+            ok = state != 0
+            at, key, since = at[ok], key[ok], np.maximum(state[ok] - np.uint8(1), first[ok])
             pair = np.flatnonzero((at[1:] == at[:-1] + 1) & (pieces[at[1:]] == pieces[at[:-1]]))
             with np.errstate(over="ignore"):
                 key = mixed(key[pair] * _STEP + keys[at[pair] + k - 1] + np.uint64(k))
             at, first = at[pair], np.maximum(since[pair], since[pair + 1])
         base, size = where[k]
-        cell = (key & np.uint64(size - 1)).astype(np.int64) + base
-        state = reached[cell]
-        yield k, at, cell, first, state
+        cell = (key & np.uint64(size - 1)).astype(np.uint32) + np.uint32(base)
+        state = reached.of(cell)
+        yield k, at, cell, first, state != 0
 
 
 def active(last: dict[int, int], t: int, shards: int, max_words: int) -> tuple[int, ...]:
@@ -154,20 +185,32 @@ def packed(cells: np.ndarray, n: np.ndarray, most: int) -> list[tuple[int, bytes
     return [(int(blocks[i]), low[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(cells)])]
 
 
-def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: np.ndarray, where: list[tuple[int, int]], tops: tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
-    """words, first (the phrases' first scan), block, salt (of the chunk), offsets, counts (up to `most`): the cells that scan t counts. tops: the lengths that may be active."""
+def scan(batches: Iterator[pa.RecordBatch], t: int, shards: int, reached: Reached, where: list[tuple[int, int]], tops: tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """words, first (the phrases' first scan), block, salt (of what is sent together), offsets, counts (up to `most`): the cells that scan t counts. tops: the lengths that may be active."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    size = salt = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for k, f in list(held):
+            rows = packed(*np.unique(np.concatenate(held.pop((k, f))), return_counts=True), most)
+            for lo in range(0, len(rows), 256):
+                n = len(some := rows[lo : lo + 256])
+                columns = [pa.array(np.full(n, v, np.int32)) for v in (k, f)] + [pa.array([r[0] for r in some], pa.int32()), pa.array(np.full(n, salt, np.int32)), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["words", "first", "block", "salt", "offsets", "counts"])
+
     for part, raw in chunks(batches):
         _, lengths, pieces, letters = words_of(raw)
         if not len(lengths):
             continue
-        salt = xxhash.xxh32_intdigest(raw[:64]) & 0x7FFFFFFF
+        salt = salt if held else xxhash.xxh32_intdigest(raw[:64]) & 0x7FFFFFFF
         for k, _, cell, first, _ in levels(word_keys(lengths, letters, part), pieces, reached, where, max(tops)):
             for f in range(max(0, t - shards + 1), t + 1) if k in tops else ():
-                rows = packed(*np.unique(cell[first == f], return_counts=True), most)
-                if rows:
-                    n = len(rows)
-                    columns = [pa.array(np.full(n, v, np.int32)) for v in (k, f)] + [pa.array([r[0] for r in rows], pa.int32()), pa.array(np.full(n, salt, np.int32)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["words", "first", "block", "salt", "offsets", "counts"])
+                held.setdefault((k, f), []).append(found := cell[first == f - (t - shards)])
+                size += len(found)
+        if size > HELD_CELLS:
+            yield from sent()
+            size = 0
+    yield from sent()
 
 
 def summed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -205,40 +248,69 @@ def summed_blocks(rows: DataFrame, salts: int, most: int) -> DataFrame:
     return rows
 
 
-def exact_counts(batches: Iterator[pa.RecordBatch], reached: np.ndarray, where: list[tuple[int, int]], max_words: int) -> Iterator[pa.RecordBatch]:
-    """part, phrase, words, n of all phrases whose cells reached the minimum, counted by their words; phrase '' and 0 words: all words of the part."""
-    for part, raw in chunks(batches):
-        starts, lengths, pieces, letters = words_of(raw)
-        if not len(lengths):
+def phrases_of(part: str, raw: bytes, reached: Reached, where: list[tuple[int, int]], max_words: int) -> Iterator[pa.Table]:
+    """part, phrase, words, n of the phrases of a chunk whose cells reached the minimum; phrase '' and 0 words: all its words."""
+
+    def rows(texts: pa.Array, n: np.ndarray, k: int) -> pa.Table:
+        return pa.table({"part": pa.repeat(pa.scalar(part, pa.large_string()), len(n)), "phrase": texts, "words": np.full(len(n), k, np.int32), "n": n.astype(np.int64)})
+
+    starts, lengths, pieces, letters = words_of(raw)
+    if not len(lengths):
+        return
+    yield rows(pa.array([""], pa.large_string()), np.array([len(lengths)]), 0)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    ids, names = spelled.indices.to_numpy().astype(np.int64), spelled.dictionary.cast(pa.large_string())
+    codes = ids.copy()  # of the phrase that starts here, dense in each length
+    for k, at, _, _, over in levels(word_keys(lengths, letters, part), pieces, reached, where, max_words):
+        at = at[over]
+        if k == 1:
+            n = np.bincount(ids[at], minlength=len(names))
+            seen = np.flatnonzero(n)
+            yield rows(names.take(pa.array(seen)), n[seen], 1)
             continue
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
-        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-        ids, names = spelled.indices.to_numpy().astype(np.int64), spelled.dictionary.cast(pa.large_string())
-        out: list[tuple[pa.Array, np.ndarray, int]] = [(pa.array([""], pa.large_string()), np.array([len(lengths)]), 0)]
-        codes = ids.copy()  # of the phrase that starts here, dense in each length
-        for k, at, _, _, state in levels(word_keys(lengths, letters, part), pieces, reached, where, max_words):
-            at = at[state != NEVER]
-            if k == 1:
-                n = np.bincount(ids[at], minlength=len(names))
-                seen = np.flatnonzero(n)
-                out.append((names.take(pa.array(seen)), n[seen], 1))
-                continue
-            whole = codes[at] * len(names) + ids[at + k - 1]
-            found, dense, n = np.unique(whole, return_inverse=True, return_counts=True)
-            codes[at] = dense
-            one = np.zeros(len(found), np.int64)
-            one[dense] = at  # any of the phrase's places
-            out.append((pc.binary_join_element_wise(*[names.take(pa.array(ids[one + j])) for j in range(k)], pa.scalar(" ", pa.large_string())), n, k))
-        for texts, n, k in out:
-            for lo in range(0, len(texts), 50_000):
-                some = texts.slice(lo, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.string()), some.cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(n[lo : lo + 50_000].astype(np.int64))], ["part", "phrase", "words", "n"])
+        whole = codes[at] * len(names) + ids[at + k - 1]
+        found, dense, n = np.unique(whole, return_inverse=True, return_counts=True)
+        codes[at] = dense
+        one = np.zeros(len(found), np.int64)
+        one[dense] = at  # any of the phrase's places
+        yield rows(pc.binary_join_element_wise(*[names.take(pa.array(ids[one + j])) for j in range(k)], pa.scalar(" ", pa.large_string())), n, k)
+
+
+def exact_counts(batches: Iterator[pa.RecordBatch], reached: Reached, where: list[tuple[int, int]], max_words: int) -> Iterator[pa.RecordBatch]:
+    """part, phrase, words, n of all phrases whose cells reached the minimum, counted by their words. Those of SENT_BYTES of text are added up before they are sent."""
+    held: list[pa.Table] = []
+    size = limit = seen = 0
+
+    def added() -> pa.Table:
+        both = pa.concat_tables(held).group_by(["part", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
+        return both.select(["part", "phrase", "words", "n_sum"]).rename_columns(["part", "phrase", "words", "n"])
+
+    def sent(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("part", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+        for lo in range(0, len(rows), 50_000):
+            yield from rows.slice(lo, 50_000).cast(kinds).combine_chunks().to_batches()
+
+    for part, raw in chunks(batches):
+        for rows in phrases_of(part, raw, reached, where, max_words):
+            held.append(rows)
+            size += len(rows)
+        if size > max(limit, HELD_PHRASES):
+            held = [added()]
+            size = len(held[0])
+            limit = 2 * size
+        seen += len(raw)
+        if seen > SENT_BYTES and held:
+            yield from sent(added())
+            held, size, limit, seen = [], 0, 0, 0
+    if held:
+        yield from sent(added())
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shards: int = 2, cells: int | None = None, most_cells: int = 1 << 28, text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """part, phrase, words, n of all phrases with n >= min_count, and a row (phrase '', words 0) with all words of each part.
 
-    cells: of pairs of words, a power of two; by default one for each 64 bytes of text, from 2 ** 18 to most_cells.
+    cells: of pairs of words, a power of two; by default one for each 32 bytes of text, from 2 ** 18 to most_cells.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
@@ -246,14 +318,14 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{folder}/rows")
     dealt = spark.read.schema("part string, text string, shard int").parquet(f"{folder}/rows")
     n_bytes = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = cells or min(most_cells, max(1 << 18, 1 << (n_bytes // 64).bit_length()))
-    salts = int((n_bytes / CHUNK / shards) ** 0.5) // 4
+    cells = cells or min(most_cells, max(1 << 18, 1 << (n_bytes // 32).bit_length()))
+    salts = int((n_bytes / HELD_BYTES / shards) ** 0.5) // 4
     where = regions(cells, max_words)
     reached, last, t = np.full(sum(where[-1]), NEVER, np.uint8), {}, 0
     while tops := active(last, t, shards, max_words):
         if t == NEVER - 1:
             raise RuntimeError("fewer shards or words, please: scans are numbered in a byte")
-        table = spark.sparkContext.broadcast(reached)
+        table = spark.sparkContext.broadcast(Reached(reached, t, shards))
         read = lambda found, t=t, table=table, tops=tops: scan(found, t, shards, table.value, where, tops, min_count)
         counted = dealt.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(read, _CELLS)
         if t:
@@ -268,7 +340,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, s
             if len(at):
                 last[words] = t
         t += 1
-    table = spark.sparkContext.broadcast(reached)
+    table = spark.sparkContext.broadcast(Reached(reached, t, shards))
     tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // LAST_BYTES))
     exact = dealt.select("part", "text").coalesce(tasks).mapInArrow(lambda found: exact_counts(found, table.value, where, max_words), "part string, phrase string, words int, n long")
     return checkpointed(exact.groupBy("part", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("words") == 0)))

@@ -78,6 +78,16 @@ def test_phrases_in_cells_that_others_filled_before(spark):
     assert dict(map(tuple, got)) == plain and len(got) == len(plain)
 
 
+def test_cells_are_handed_to_tasks_in_two_bits():
+    scans = np.random.default_rng(1).choice(np.array([0, 1, 2, 3, 4, collocations.NEVER], np.uint8), 1001)
+    for shards, t in ((1, 5), (2, 5), (2, 9), (3, 6), (20, 5)):
+        reached = collocations.Reached(scans, t, shards)
+        code = reached.of(np.arange(1001, dtype=np.uint32)).astype(int)
+        plain = np.where(scans == collocations.NEVER, 0, np.maximum(scans.astype(int) + 1 - (t - shards), 0) + 1)
+        assert (code == plain).all()
+    assert collocations.Reached(scans, 5, 2).codes.nbytes == 251
+
+
 def test_collocations_in_stretches(spark, monkeypatch):
     assert [bytes(x) for x in collocations._stretches(b"ab\n" * 3)] == [b"ab\n" * 3]
     monkeypatch.setattr(collocations, "CHUNK", 10)
