@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixspark.operators import evaluation as E
 from helixspark.operators import variants as V
+from helixspark.sources import tables as T
 
 
 def logit(score: str) -> Column:
@@ -42,10 +43,14 @@ def classifiers(n_features: int, seed: int = 42, trees: int = 20, rounds: int =
 
 def scored_by(models: dict, rows: DataFrame, features: list[str], fit: Column) -> DataFrame:
     """Adds a probability column a model, fitted on the rows where `fit` holds, over features scaled by those rows. A model that only has
-    margins gets its probabilities by a logistic fit on the training rows' margins."""
+    margins gets its probabilities by a logistic fit on the training rows' margins.
+
+    A fit passes over its rows many times, so the rows and the training rows' scaled vectors are made once and written.
+    """
+    rows = T.staged(rows, "features")
     raw = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)
     out = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw.where(fit)).transform(raw).drop("_raw")
-    train = out.where(fit)
+    train = T.staged(out.where(fit).select("label", "features"), "train")
     for name, model in models.items():
         model = model.setPredictionCol("_p").setRawPredictionCol("_r")
         if model.hasParam("probabilityCol"):
@@ -65,8 +70,8 @@ def grid_search(rows: DataFrame, features: list[str], fit: Column, validation: C
         f"depth{d}_rounds{r}_step{s}": GBTClassifier(featuresCol="features", labelCol="label", maxDepth=d, maxIter=r, stepSize=s, subsamplingRate=0.8, seed=seed)
         for d in depths for r in rounds for s in steps
     }
-    scored = scored_by(grid, rows, features, fit).where(validation)
-    long = scored.select("label", *[f"`{g}`" for g in grid]).unpivot(["label"], [F.col(f"`{g}`") for g in grid], "model", "score")
+    scored = scored_by(grid, rows, features, fit).where(validation).select("label", *[f"`{g}`" for g in grid])
+    long = T.staged(scored, "scores").unpivot(["label"], [F.col(f"`{g}`") for g in grid], "model", "score")
     return V.score_metrics(long, ["model"]).orderBy(F.desc_nulls_last("auroc"), "model")
 
 

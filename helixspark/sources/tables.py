@@ -23,6 +23,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once into a new shared folder and read from there: what passes over them many times does not make them again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """number, version and replaced (the version before) of every publication; no rows for a table that was never published."""
     try:

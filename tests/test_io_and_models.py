@@ -82,3 +82,23 @@ def test_stack(spark):
     df = spark.range(300).select("id", (F.col("id") % 7 / 7.0).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
     out = M.stacked(df, ["x"], F.col("id") < 200, F.col("id"), 2)
     assert out.count() == 300 and out.where("id >= 200 AND (stack >= 0.5) <> (label = 1)").count() == 0
+
+
+def test_fits_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return i % 7 / 7.0
+
+    df = spark.range(300).select("id", value("id").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    models = {k: m for k, m in M.classifiers(1).items() if k in ("logistic", "forest")}
+    out = M.scored_by(models, df, ["x"], F.col("id") < 200)
+    assert out.count() == 300 and out.where("(logistic >= 0.5) <> (label = 1)").isEmpty() and made.value == 300
+
+
+def test_a_grid_is_scored_once(spark):
+    df = spark.range(300).select("id", (F.col("id") % 7 / 7.0).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    out = M.grid_search(df, ["x"], F.col("id") < 200, F.col("id") >= 250, (1,), (1, 2))
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString() and {(r.n_pos + r.n_neg, r.auroc) for r in out.collect()} == {(50, 1.0)}
