@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import product
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,21 +19,24 @@ DONOR = [
 BACKGROUND = {"A": 0.27, "C": 0.23, "G": 0.23, "T": 0.27}
 #: Default distance to a splice site, and the length of a sequence window.
 FAR, WINDOW = 50, 101
+BASES = "ACGT"
 
 
 def donor_score(seq: Column) -> Column:
     """Log-odds of a 9-mer (3 exonic and 6 intronic bases); 0 if it isn't nine of ACGT."""
-    table = F.array(*[F.create_map(*[F.lit(x) for b, p in row.items() for x in (b, math.log2(p / BACKGROUND[b]))]) for row in DONOR])
     s = F.upper(seq)
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(8)), F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(F.get(table, i), F.substr(s, i + 1, F.lit(1))), F.lit(0.0)))
-    return F.when(s.rlike("^[ACGT]{9}$"), F.round(total, 4)).otherwise(0.0)
+    number = F.conv(F.translate(F.substring(s, 1, 9), BASES, "0123"), 4, 10).cast("int")  # the 9-mer in base 4
+    parts = [F.array(*[F.lit(sum(math.log2(row[b] / BACKGROUND[b]) for row, b in zip(DONOR[k:], word))) for word in product(BASES, repeat=3)]) for k in (0, 3, 6)]
+    total = reduce(add, [F.get(p, F.shiftright(number, shift).bitwiseAND(63)) for p, shift in zip(parts, (12, 6, 0))])
+    return F.when((F.length(s) == 9) & (F.btrim(s, F.lit(BASES)) == ""), F.round(total, 4)).otherwise(0.0)
 
 
 def acceptor_score(seq: Column) -> Column:
     """Score of a 23-mer: +0.3 a pyrimidine and -0.1 a purine in the first 18 bases, the AG at places 21 and 22; 0 at any other length."""
     s = F.upper(seq)
     tract = F.substring(s, 1, 18)
-    tract_score = 0.3 * F.regexp_count(tract, F.lit("[CT]")) - 0.1 * F.regexp_count(tract, F.lit("[AG]"))
+    count = lambda letters: F.length(tract) - F.length(F.translate(tract, letters, ""))
+    tract_score = 0.3 * count("CT") - 0.1 * count("AG")
     first, second = F.substring(s, 21, 1) == "A", F.substring(s, 22, 1) == "G"
     signal = F.when(first & second, 5.0).when(first | second, 0.5).otherwise(-3.0)
     return F.when(F.length(s) == 23, F.round(tract_score + signal, 4)).otherwise(0.0)
@@ -70,7 +76,8 @@ def solvent_accessibility(plddt: Column) -> Column:
 def one_hot(seq: Column, width: int = WINDOW) -> Column:
     """`width` arrays of four bits (A, C, G, T; other letters none set): the sequence cut to the width, or filled up with A."""
     letters = F.split(F.rpad(F.substring(F.upper(F.coalesce(seq, F.lit(""))), 1, width), width, "A"), "")
-    return F.transform(F.slice(letters, 1, width), lambda x: F.array(*[(x == b).cast("int") for b in "ACGT"]))
+    bits = F.array(*[F.array(*[F.lit(int(b == letter)) for b in BASES]) for letter in " " + BASES])
+    return F.transform(F.slice(letters, 1, width), lambda x: F.get(bits, F.position(x, F.lit(BASES))))
 
 
 def residue_window(protein: Column, position: Column, half: int) -> Column:

@@ -111,11 +111,13 @@ def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splice_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _raw(spark, sf_dir, SEQUENCES)
+    """Sequence scores of each row. The bits are made once and added up by a lambda in the last projection, which keeps that out of one
+    whole-stage method: all columns in one method are too large for the JVM to compile."""
+    rows = _raw(spark, sf_dir, SEQUENCES).withColumn("hot", Q.one_hot(F.col("seq"), 12))
     d, a = F.col("donor"), F.col("acceptor")
     return rows.select("l_orderkey", "l_linenumber", Q.donor_score(F.substring("seq", 1, 9)).alias("first_donor"), Q.splice_score(F.col("seq")).alias("splice_score"), Q.acceptor_score(F.rpad("seq", 23, "A")).alias("acceptor_score"),
-                       Q.splice_distance(d, a).alias("distance"), Q.canonical_splice(d, a).alias("canonical"), Q.exon_number(F.col("exon")).alias("exon_number"), F.size(Q.one_hot(F.col("seq"), 12)).alias("window"),
-                       F.aggregate(F.flatten(Q.one_hot(F.col("seq"), 12)), F.lit(0), lambda x, y: x + y).alias("bits"), Q.mutated_window(F.col("seq"), F.lit(4), F.lit("X"), 2).alias("mutated"), F.round(Q.solvent_accessibility(F.col("l_linenumber") * 20.0), 4).alias("accessibility"))
+                       Q.splice_distance(d, a).alias("distance"), Q.canonical_splice(d, a).alias("canonical"), Q.exon_number(F.col("exon")).alias("exon_number"), F.size("hot").alias("window"),
+                       F.aggregate("hot", F.lit(0), lambda n, x: n + F.size(F.array_remove(x, 0))).alias("bits"), Q.mutated_window(F.col("seq"), F.lit(4), F.lit("X"), 2).alias("mutated"), F.round(Q.solvent_accessibility(F.col("l_linenumber") * 20.0), 4).alias("accessibility"))
 
 
 def effect_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
