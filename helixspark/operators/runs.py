@@ -75,7 +75,10 @@ def run_drift(spark: SparkSession, reference_path: str, new: DataFrame, features
 
 def fit_pipeline(rows: DataFrame, features: list[str], train: Column, calibration: Column, path: str, model: Estimator | None = None) -> None:
     """Fits assembler, scaler and model on the training rows and a logistic calibration of its margins on the calibration rows, and saves
-    them as one pipeline model below path; the features and the fitting rows' numbers are published with it."""
+    them as one pipeline model below path; the features and the fitting rows' numbers are published with it. The fits pass over their rows
+    many times, so these are made once and written, with nothing but what the fits read."""
+    rows = T.staged(rows.select("label", *features, train.alias("_train"), calibration.alias("_calibration")).where("_train OR _calibration"), "fit")
+    train, calibration = F.col("_train"), F.col("_calibration")
     model = model or LogisticRegression(regParam=0.01)
     model = model.copy().setFeaturesCol("_features").setLabelCol("label").setRawPredictionCol("_margin").setPredictionCol("_class")
     if model.hasParam("probabilityCol"):

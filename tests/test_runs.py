@@ -92,3 +92,17 @@ def test_scores_of_a_reloaded_pipeline(spark, tmp_path):
         assert right > 160
         assert J.score_batch(fresh.drop("b"), path).count() == 200 and T.current(spark, f"{path}/about").first().n_train == 300
     assert P.batch_scores(spark, SF).count() > 0
+
+
+def test_a_fitted_pipeline_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return i % 7 / 7.0
+
+    rows = spark.range(400).select("id", value("id").alias("a"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    J.fit_pipeline(rows, ["a"], F.col("id") < 200, F.col("id").between(200, 299), str(tmp_path / "once"))
+    about = T.current(spark, str(tmp_path / "once") + "/about").first()
+    assert (about.n_train, about.n_calibration) == (200, 100) and made.value <= 400
