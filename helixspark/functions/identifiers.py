@@ -13,14 +13,20 @@ def variant_id(source: Column, chrom: Column, pos: Column, ref: Column, alt: Col
 
 
 def parsed_id(identifier: Column) -> Column:
-    """source:chrom:pos:ref:alt as a struct; the source may be absent, all is null if there aren't four or five parts or pos is no number."""
-    parts = F.split(identifier, ":")
-    n = F.size(parts)
-    part = lambda k: F.get(parts, n - k)
-    pos = part(3).try_cast("int")
-    good = n.isin(4, 5) & pos.isNotNull()
-    source = F.when(n == 5, F.get(parts, F.lit(0)))
-    return F.when(good, F.struct(source.alias("source"), part(4).alias("chrom"), pos.alias("pos"), part(2).alias("ref"), part(1).alias("alt")))
+    """source:chrom:pos:ref:alt as a struct; the source may be absent, all is null if there aren't four or five parts or pos is no number.
+
+    The identifier stands in it once, as a lambda's argument: filters on the struct are pushed down with all that makes the identifier.
+    """
+
+    def fields(parts: Column) -> Column:
+        n = F.size(parts)
+        part = lambda k: F.get(parts, n - k)
+        pos = part(3).try_cast("int")
+        good = n.isin(4, 5) & pos.isNotNull()
+        source = F.when(n == 5, F.get(parts, F.lit(0)))
+        return F.when(good, F.struct(source.alias("source"), part(4).alias("chrom"), pos.alias("pos"), part(2).alias("ref"), part(1).alias("alt")))
+
+    return F.get(F.transform(F.array(F.split(identifier, ":")), fields), F.lit(0))
 
 
 def locus_key(identifier: Column) -> Column:

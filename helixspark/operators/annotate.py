@@ -124,7 +124,12 @@ def etl(raw: DataFrame) -> DataFrame:
 def prepared(raw: DataFrame, lookups: list[tuple[DataFrame, list[str], list[str]]], frequencies: DataFrame | None = None, max_tier: int = 3, test: float = 0.2, val: float = 0.1) -> DataFrame:
     """Data preparation as one plan: labels and tiers, conflicting records out, gene counts, lookups (table, keys, values) in order, features,
     defaults and flags, and a split by gene."""
-    rows = V.labelled(V.normalize(raw).where(~F.col("clinical_sig").contains("onflict")), max_tier)
+    return prepared_clean(V.normalize(raw), lookups, frequencies, max_tier, test, val)
+
+
+def prepared_clean(clean: DataFrame, lookups: list[tuple[DataFrame, list[str], list[str]]], frequencies: DataFrame | None = None, max_tier: int = 3, test: float = 0.2, val: float = 0.1) -> DataFrame:
+    """The same of variants that are normalised already."""
+    rows = V.labelled(clean.where(~F.col("clinical_sig").contains("onflict")), max_tier)
     rows = with_gene_counts(rows)
     if frequencies is not None:
         rows = filled_frequency(rows, frequencies)

@@ -14,6 +14,7 @@ from helixspark.operators import variants as V
 from helixspark.operators.intervals import regulatory_overlap
 from helixspark.plans.catalog import NORM, SCORED_CTE
 from helixspark.sources import fixtures as S
+from helixspark.sources import tables as T
 
 #: Residues in natural order, for derived protein changes.
 _CODES = list(A.AMINO_ACIDS)[:20]
@@ -34,8 +35,12 @@ def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores_of(_clean(spark, sf_dir))
+
+
+def _scores_of(clean: DataFrame) -> DataFrame:
     """A score a locus, of the loci that expert panels reviewed."""
-    rows = _clean(spark, sf_dir).where("review_status LIKE '%expert panel%'").withColumn("score", (F.col("pos") % 1000) / 1000.0 + F.length("alt") / 10.0)
+    rows = clean.where("review_status LIKE '%expert panel%'").withColumn("score", (F.col("pos") % 1000) / 1000.0 + F.length("alt") / 10.0)
     return N.one_row(rows, N.LOCUS, {"score": "max"})
 
 
@@ -95,16 +100,15 @@ def etl_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data preparation from labels to the split feature table."""
-    raw = S.variants(spark, sf_dir)
-    clean = _clean(spark, sf_dir)
+    """Data preparation from labels to the split feature table. The normalised variants, which the rows and all lookups come from, are made once."""
+    clean = T.staged(_clean(spark, sf_dir).drop("locus"), "clean").withColumn("locus", X.locus(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
     frequencies = clean.where("source_db = 'gnomad' AND allele_freq IS NOT NULL").select(F.concat(F.lit("gnomad:"), "locus").alias("variant_id"), "allele_freq")
     lookups = [
-        (_scores(spark, sf_dir).withColumnRenamed("score", "revel_score"), N.LOCUS, ["revel_score"]),
-        (N.one_row(_scores(spark, sf_dir).withColumnRenamed("score", "phylop_score"), ["chrom", "pos"], {"phylop_score": "max"}), ["chrom", "pos"], ["phylop_score"]),
+        (_scores_of(clean).withColumnRenamed("score", "revel_score"), N.LOCUS, ["revel_score"]),
+        (N.one_row(_scores_of(clean).withColumnRenamed("score", "phylop_score"), ["chrom", "pos"], {"phylop_score": "max"}), ["chrom", "pos"], ["phylop_score"]),
         (S.genes(spark, sf_dir), ["gene_symbol"], ["pli_score", "loeuf"]),
     ]
-    rows = N.prepared(raw, lookups, frequencies)
+    rows = N.prepared_clean(clean, lookups, frequencies)
     return rows.select("locus", "gene_symbol", "label", "tier", "split", "n_pathogenic_in_gene", "gene_has_known_disease", F.round("af", 9).alias("af"), "severity", "is_lof", "is_autosome", "is_mitochondrial", F.round("revel_score", 6).alias("revel_score"), "revel_pathogenic",
                        F.round("phylop_score", 6).alias("phylop_score"), "pli_score", "loeuf", "cadd_high", "n_tools_pathogenic", "dist_to_splice_site", "finngen_enrichment", "lovd_variant_class")
 

@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from helixspark.functions import identifiers as I
 from helixspark.operators import preparation as R
+from helixspark.plans import joins
 from helixspark.plans import preparation as P
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,14 @@ def test_sources_of_one_key_are_read_once(spark):
     found = P.lookups(rows)
     assert len(found) == len({tuple(k) for k, _, _ in P.SOURCES.values()}) == 5
     assert sorted(c for x in found for c in x.values) == sorted(c for _, _, v in P.SOURCES.values() for c in v)
+
+
+def test_prepared_features_normalise_their_variants_once(spark):
+    plan = joins.prepared_features(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and max(map(len, plan.split("\n"))) < 20_000
+
+
+def test_an_identifier_is_parsed_once(spark):
+    key = F.concat(F.lit("a:1:"), F.col("id").cast("string"), F.lit(":A:T"))
+    plan = spark.range(3).select(I.parsed_id(key).alias("l")).where("l IS NOT NULL")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2 and [r.l.pos for r in plan.collect()] == [0, 1, 2]
