@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixspark.operators import drift as D
 from helixspark.operators import evaluation as E
 from helixspark.operators import scoring as R
 from helixspark.operators.selection import exact_percentiles, joined_by, running_sums, sliced
@@ -92,3 +93,29 @@ def test_few_groups_are_not_dealt_by_their_key(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(r.percentiles[0] for r in jobs) == [1498.5, 1499.5, 1500.5] and "SortMergeJoin" not in plan
+
+
+def test_drift_deals_no_rows_by_feature(spark):
+    """Only counts and sums of what a task has read are shuffled: a few numbers a task, whatever the rows."""
+
+    def shuffled(run):
+        """The most rows that a stage of run() gets from a shuffle."""
+        sc = spark.sparkContext._jsc.sc()
+        stages = lambda: sc.statusStore().stageList(spark._jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        sc.listenerBus().waitUntilEmpty()
+        before = {stages().apply(i).stageId() for i in range(stages().size())}
+        run()
+        sc.listenerBus().waitUntilEmpty()
+        seen = stages()
+        new = [seen.apply(i) for i in range(seen.size())]
+        return max(x.shuffleReadRecords() for x in new if x.stageId() not in before)
+
+    most = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables, whose estimated sizes are above it
+    try:
+        for n in (20_000, 80_000):
+            df = spark.range(n).select((F.col("id") % 3 == 0).cast("int").alias("tag"), (F.col("id") % 50).cast("double").alias("few"), F.col("id").cast("double").alias("all")).repartition(4).localCheckpoint()
+            most.append((shuffled(lambda: E.feature_drift(df, ["few", "all"], "tag").collect()), shuffled(lambda: D.reference_statistics(df, ["few", "all"]).collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(0 < x < 2000 for m in most for x in m), most  # 20000 to 80000 rows a feature
