@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -123,11 +126,33 @@ def split_statistics(df: DataFrame) -> DataFrame:
     return g.withColumns({"both_classes": (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")), "weight_pos": F.round(F.try_divide("n", 2 * F.col("n_pos")), 6), "weight_neg": F.round(F.try_divide("n", 2 * (F.col("n") - F.col("n_pos"))), 6)})
 
 
-def standardised(df: DataFrame, columns: list[str], fit: Column) -> DataFrame:
-    """Columns scaled by mean and population deviation of the rows where `fit` holds; a deviation of 0 counts as 1."""
-    one = df.where(fit).agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in columns}
-    return df.crossJoin(F.broadcast(one)).withColumns(scaled).select(*df.columns)
+def moments(df: DataFrame, columns: list[str], by: Sequence[str] = (), block: int = 8) -> DataFrame:
+    """A row a group and column: by, column, n (values that are not null), mean, population deviation.
+
+    Each block of columns is an aggregate of its own, since one over hundreds of sums is too long a method for the JVM to compile. Of a table of
+    more than a block, give one that is written: each block then reads its own columns only.
+    """
+    parts = []
+    for names in (columns[k : k + block] for k in range(0, len(columns), block)):
+        found = df.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in names for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))])
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n_{c}").alias("n"), F.col(f"_m_{c}").alias("mean"), F.col(f"_s_{c}").alias("deviation")) for c in names])
+        parts.append(found.select(*by, F.inline(rows)))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def fitted_moments(df: DataFrame, columns: list[str], fit: Column) -> dict[str, tuple[float | None, float | None]]:
+    """column: mean and population deviation of the rows where `fit` holds; a deviation of 0 counts as 1."""
+    return {r["column"]: (r["mean"], r["deviation"] or 1.0) for r in moments(df.where(fit), columns).collect()}  # two numbers a column
+
+
+def standardised(df: DataFrame, columns: list[str], fit: Column, step: int = 20, fitted: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """Columns scaled by `fitted`, or else the moments of the rows where `fit` holds, some at a time: an observed step in between keeps all
+    of them from becoming one method, too long for the JVM to compile."""
+    fitted = fitted or fitted_moments(df, columns, fit)
+    for k in range(0, len(columns), step):
+        df = df.observe(f"scaled-{uuid.uuid4().hex}", F.count("*").alias("n")) if k else df
+        df = df.withColumns({c: (F.col(c) - F.lit(fitted[c][0]).cast("double")) / F.lit(fitted[c][1]).cast("double") for c in columns[k : k + step]})
+    return df
 
 
 def sample_weights(df: DataFrame, reclassified: DataFrame, key: str, decay: float = 0.5, boost: float = 2.0, yearly: float = 0.3) -> DataFrame:

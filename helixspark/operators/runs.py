@@ -26,19 +26,22 @@ def run_etl(raw: DataFrame, path: str) -> DataFrame:
     return T.current(spark, f"{path}/report")
 
 
-def run_preparation(raw: DataFrame, lookups: list[R.Lookup], path: str, scale: bool = True) -> DataFrame:
-    """The prepared table published at path/splits, a folder a split: what is known of the variants, labels and (scaled) features.
+def run_preparation(raw: DataFrame, lookups: list[R.Lookup], path: str, scale: bool = True, clean: bool = False) -> DataFrame:
+    """The prepared table published at path/splits, a folder a split: what is known of the variants (normalised already if `clean`), labels
+    and (scaled) features. The table is made once and written; scaling and publishing read that, split by split, and deal no rows again.
     Returns a row a split with rows, positives and genes; fails before it publishes if the labels lack a class."""
     spark = raw.sparkSession
-    table = R.prepared(raw, lookups)
-    table = R.scaled(table) if scale else table
     classes = Observation("labels")
+    table = (R.prepared_clean if clean else R.prepared)(raw, lookups)
     checked = table.observe(classes, F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
-    staged = T.shared_path(spark, "prepared")
-    checked.write.parquet(staged)
+    staged = T.staged(checked, "prepared", ["split"])
     if not classes.get["positive"] or not classes.get["negative"]:
         raise ValueError(f"both classes are needed, found {classes.get}")
-    T.publish(spark.read.parquet(staged), f"{path}/splits", ["split"])
+    parts = {value: staged.where(F.col("split") == value) for (value,) in staged.select("split").distinct().collect()}
+    if scale:
+        fitted = R.scaling(staged)
+        parts = {value: R.scaled(part, fitted) for value, part in parts.items()}
+    T.publish_parts(spark, parts, f"{path}/splits", "split")
     return T.current(spark, f"{path}/splits").groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"), F.count_distinct("gene_symbol").alias("n_genes"))
 
 

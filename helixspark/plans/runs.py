@@ -21,8 +21,8 @@ def etl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def preparation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split statistics of the published table."""
-    raw = S.variants(spark, sf_dir)
-    return J.run_preparation(raw, preparation.lookups(V.normalize(raw)), T.shared_path(spark, "preparation"))
+    rows = preparation.clean(spark, sf_dir)
+    return J.run_preparation(rows, preparation.lookups(rows), T.shared_path(spark, "preparation"), clean=True)
 
 
 def drift_run(spark: SparkSession, sf_dir: str) -> DataFrame:

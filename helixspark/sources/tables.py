@@ -23,10 +23,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The rows, written once into a new shared folder and read from there: what passes over them many times does not make them again."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -56,6 +56,15 @@ def publish(df: DataFrame, path: str, by: Sequence[str] = ()) -> str:
     return version
 
 
+def publish_parts(spark: SparkSession, parts: dict[str, DataFrame], path: str, by: str) -> str:
+    """The same of a table whose parts, by the value of a column, are known apart: each is written by itself, so no rows are dealt or ordered."""
+    version = uuid.uuid4().hex
+    for value, part in parts.items():
+        part.drop(by).write.mode("errorifexists").parquet(f"{path}/versions/{version}/{by}={value}")
+    _point(spark, path, version)
+    return version
+
+
 def current(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
     """The newest version of the table, or that of a publication."""
     found = versions(spark, path)

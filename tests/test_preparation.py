@@ -5,9 +5,11 @@ import re
 from pyspark.sql import functions as F
 
 from helixspark.functions import identifiers as I
+from helixspark.operators import evaluation as E
 from helixspark.operators import preparation as R
 from helixspark.plans import joins
 from helixspark.plans import preparation as P
+from helixspark.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +57,25 @@ def test_an_identifier_is_parsed_once(spark):
     key = F.concat(F.lit("a:1:"), F.col("id").cast("string"), F.lit(":A:T"))
     plan = spark.range(3).select(I.parsed_id(key).alias("l")).where("l IS NOT NULL")
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2 and [r.l.pos for r in plan.collect()] == [0, 1, 2]
+
+
+def test_the_prepared_table_reads_normalised_variants(spark):
+    plan = P._table(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and max(map(len, plan.split("\n"))) < 20_000
+
+
+def test_no_step_of_the_preparation_is_too_long_to_compile(spark):
+    longest = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        table = P._table(spark, SF)
+        known = {c: (0.5, 2.0) for c in R.feature_columns(table)}
+        written = T.staged(table, "written")
+        for df in (table, R.scaled(written, known), E.moments(written, list(known), ["split"])):
+            steps = longest(df._jdf.queryExecution().executedPlan()).iterator()
+            while steps.hasNext():
+                assert steps.next()._3().maxMethodCodeSize() <= 8000  # the JVM compiles no longer ones
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -75,6 +75,19 @@ def test_preparation_needs_both_classes(spark, tmp_path):
     assert T.versions(spark, str(tmp_path / "x") + "/splits").count() == 0
 
 
+def test_preparation_is_made_once_and_published_by_split(spark, tmp_path, monkeypatch):
+    made, dealt = [], []
+    staged, publish = T.staged, T.publish
+    monkeypatch.setattr(T, "staged", lambda df, name, *by: (made.append(name), staged(df, name, *by))[1])
+    monkeypatch.setattr(T, "publish", lambda *a, **k: (dealt.append(a), publish(*a, **k))[1])
+    rows = P.preparation.clean(spark, SF)
+    found = {r.split: (r.n, r.n_pos) for r in J.run_preparation(rows, P.preparation.lookups(rows), str(tmp_path / "p"), clean=True).collect()}
+    table = T.current(spark, str(tmp_path / "p") + "/splits")
+    assert made == ["clean", "lookups", "prepared"] and not dealt and found.keys() == {"train", "val"} and table.count() == sum(n for n, _ in found.values())
+    train = table.where("split = 'train'").agg(F.avg("af"), F.stddev_pop("af")).first()
+    assert abs(train[0]) < 1e-9 and abs(train[1] - 1) < 1e-9 and "locus" in table.columns and table.where("locus IS NULL").count() == 0
+
+
 def test_scores_of_a_reloaded_pipeline(spark, tmp_path):
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
