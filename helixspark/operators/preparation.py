@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import expressions as X
@@ -146,3 +146,13 @@ def scaled(table: DataFrame, fitted: dict | None = None) -> DataFrame:
     """The features by the mean and population deviation of the training rows (`fitted`, if the table lacks some of them); null features of a
     source without a default stay null."""
     return E.standardised(table, feature_columns(table), F.col("split") == "train", fitted=fitted)
+
+
+def scaled_moments(table: DataFrame) -> DataFrame:
+    """split, feature, n, mean and deviation of the scaled features. They follow from those of the features, which are made once and written."""
+    names = feature_columns(table)
+    m = E.moments(T.staged(table.select("split", *names), "features"), names, ["split"])
+    of_train = lambda c: F.max(F.when(F.col("split") == "train", F.col(c))).over(Window.partitionBy("column"))  # noqa: E731  # a row a split
+    m = m.withColumns({"_m": of_train("mean"), "_d": of_train("deviation")}).withColumn("_d", F.when(F.col("_d") > 0, F.col("_d")).otherwise(1.0))
+    known = F.col("_m").isNotNull()
+    return m.select("split", F.col("column").alias("feature"), F.when(known, F.col("n")).otherwise(0).alias("n"), ((F.col("mean") - F.col("_m")) / F.col("_d")).alias("mean"), F.when(known, F.col("deviation") / F.col("_d")).alias("deviation"))

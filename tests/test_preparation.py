@@ -79,3 +79,12 @@ def test_no_step_of_the_preparation_is_too_long_to_compile(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scaled_moments_are_those_of_the_scaled_rows(spark):
+    # fifteen columns, so that there is more than a block; one is constant in train, one unknown there
+    df = spark.range(60).select(F.when(F.col("id") < 40, "train").otherwise("test").alias("split"), *[((F.col("id") * (k + 3)) % 17).cast("double").alias(f"x{k}") for k in range(13)], F.when(F.col("id") >= 40, F.col("id")).otherwise(7).cast("double").alias("same"), F.when(F.col("id") >= 40, 1.0).alias("none"))
+    names = R.feature_columns(df)
+    long = R.scaled(df).select("split", *names).unpivot(["split"], names, "feature", "x").groupBy("split", "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+    want, got = ({(r.split, r.feature): (r.n, *(None if v is None else round(v, 9) + 0.0 for v in (r["mean"], r.deviation))) for r in x.collect()} for x in (long, R.scaled_moments(df)))
+    assert len(want) == 30 and want == got
