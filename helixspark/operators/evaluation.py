@@ -85,12 +85,13 @@ def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return b.agg(F.round(F.try_divide(F.sum(F.col("c") * F.col("g")), F.sum("c")), 6).alias("ece"), F.round(F.max("g"), 6).alias("mce"), F.sum("c").alias("n"))
 
 
-def compared_models(scored: DataFrame, models: list[str]) -> DataFrame:
-    """Brier score, log loss and accuracy of several score columns."""
-    long = scored.unpivot(["label"], models, "model", "score")
+def compared_models(scored: DataFrame, models: list[str], weight: str | None = None) -> DataFrame:
+    """Brier score, log loss and accuracy of several score columns. With `weight`, a row stands for as many."""
+    long = scored.unpivot(["label", *([weight] if weight else [])], models, "model", "score")
     s = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
-    return long.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))), 6).alias("brier"),
-                                     F.round(F.avg(-F.when(F.col("label") == 1, F.log(s)).otherwise(F.log(1 - s))), 6).alias("log_loss"), F.round(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")), 6).alias("accuracy"))
+    mean = (lambda c: F.sum(F.col(weight) * c) / F.sum(weight)) if weight else F.avg
+    return long.groupBy("model").agg((F.sum(weight) if weight else F.count("*")).alias("n"), F.round(mean((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))), 6).alias("brier"),
+                                     F.round(mean(-F.when(F.col("label") == 1, F.log(s)).otherwise(F.log(1 - s))), 6).alias("log_loss"), F.round(mean(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")), 6).alias("accuracy"))
 
 
 def group_errors(scored: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:

@@ -55,10 +55,11 @@ def lookup_left(df: DataFrame, lookup: DataFrame, keys: list[str], defaults: dic
     return df.join(lookup, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def score_metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """AUROC (ties count half), Brier score and counts at 0.5 from a histogram of the distinct scores."""
+def score_metrics(scored: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """AUROC (ties count half), Brier score and counts at 0.5 from a histogram of the distinct scores. With `weight`, a row stands for as many."""
     by = by or []
-    hist = scored.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"), F.sum(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("b"))
+    total = (lambda c: F.sum(F.col(weight) * c)) if weight else F.sum
+    hist = scored.groupBy(*by, "score").agg(total(F.col("label")).alias("p"), total(1 - F.col("label")).alias("n"), total(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("b"))
     ranked = running_sums(hist, "score", ["n"], by=by).withColumn("below", F.col("upto_n") - F.col("n"))
     high = F.col("score") >= 0.5
     agg = ranked.groupBy(*by).agg(

@@ -21,18 +21,21 @@ def calibrated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.group_split(V.with_features(V.labelled(V.normalize(S.variants(spark, sf_dir)))), "gene_symbol").select("label", "split", *_FEATURES)
+    """Each label, split and set of features once, with the number n of its variants: the fits pass over these instead of the variants."""
+    rows = E.group_split(V.with_features(V.labelled(V.normalize(S.variants(spark, sf_dir)))), "gene_symbol")
+    return rows.groupBy("label", "split", *_FEATURES).agg(F.count("*").alias("n"))
 
 
 def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base models on the variants' features, fitted on train genes, compared on the others."""
     models = M.classifiers(len(_FEATURES))
-    return E.compared_models(M.scored_by(models, _split_features(spark, sf_dir), _FEATURES, F.col("split") == "train").where("split <> 'train'"), list(models))
+    scored = M.scored_by(models, _split_features(spark, sf_dir), _FEATURES, F.col("split") == "train", "n")
+    return E.compared_models(scored.where("split <> 'train'"), list(models), "n")
 
 
 def tuned_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees over a grid, fitted on train genes, ranked on validation genes."""
-    return M.grid_search(_split_features(spark, sf_dir), _FEATURES, F.col("split") == "train", F.col("split") == "val")
+    return M.grid_search(_split_features(spark, sf_dir), _FEATURES, F.col("split") == "train", F.col("split") == "val", weight="n")
 
 
 def value_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

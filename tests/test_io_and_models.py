@@ -102,3 +102,31 @@ def test_a_grid_is_scored_once(spark):
     df = spark.range(300).select("id", (F.col("id") % 7 / 7.0).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
     out = M.grid_search(df, ["x"], F.col("id") < 200, F.col("id") >= 250, (1,), (1, 2))
     assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString() and {(r.n_pos + r.n_neg, r.auroc) for r in out.collect()} == {(50, 1.0)}
+
+
+def test_rows_alike_are_fitted_once_with_their_number(spark):
+    rows = spark.range(1200).select((F.col("id") % 7 / 7.0).alias("x"), (F.col("id") % 5).cast("double").alias("y"), F.lit(2.0).alias("same"), (F.col("id") % 7 + F.col("id") % 3 > 4).cast("int").alias("label"), (F.col("id") % 11 < 8).alias("fit"))
+    few = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    names, features = ["logistic"], ["x", "y", "same"]
+    each, once = ({m: c for m, c in M.classifiers(3).items() if m in names} for _ in range(2))
+    one = M.scored_by(each, rows, features, F.col("fit")).where("NOT fit")
+    two = M.scored_by(once, few, features, F.col("fit"), "n").where("NOT fit")
+    assert two.count() < few.count() < rows.count() and two.agg(F.sum("n")).first()[0] == one.count()
+    of = lambda df, by: {r["model"]: r.asDict() for r in by(df).collect()}
+    a, b = of(one, lambda d: M.E.compared_models(d, names)), of(two, lambda d: M.E.compared_models(d, names, "n"))
+    for m in names:
+        assert a[m]["n"] == b[m]["n"] and all(abs(a[m][c] - b[m][c]) < 1e-4 for c in ("brier", "log_loss", "accuracy")), (a[m], b[m])
+    scores = lambda df, *w: df.select("label", *w, F.lit("m").alias("model"), F.round("x", 3).alias("score"))
+    assert M.V.score_metrics(scores(one), ["model"]).collect() == M.V.score_metrics(scores(two, "n"), ["model"], "n").collect()
+
+
+def test_pieces_keep_all_weight(spark):
+    df = spark.createDataFrame([(1, 1), (2, 10), (3, 25)], "id int, n long")
+    cut = M.pieces(df, "n", 6)  # 36 rows: at most 6 a piece
+    assert {r.id: (r.s, r.c, r.m) for r in cut.groupBy("id").agg(F.sum("n").alias("s"), F.count("*").alias("c"), F.max("n").alias("m")).collect()} == {1: (1, 1, 1), 2: (10, 2, 6), 3: (25, 5, 6)}
+    assert M.pieces(df, "n").count() == 36 and M._rows_of(cut.select("n", F.lit(0).alias("label"), F.lit(0).alias("features")), "n").count() == 36
+
+
+def test_fits_pass_over_distinct_rows(spark):
+    few = learned._split_features(spark, SF)
+    assert few.count() < 0.9 * few.agg(F.sum("n")).first()[0]
